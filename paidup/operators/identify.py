@@ -41,18 +41,28 @@ def needle_table(aliases: DataFrame, clients: DataFrame) -> DataFrame:
     """One owner per needle text. Aliases go before clients, then the smaller ordinal wins;
     any other owner of the same text could never be the answer."""
 
-    def owner(method: str, rank: int, ordinal: str, client: str):
-        return F.struct(
-            F.lit(rank).alias("method_rank"),
-            F.col(ordinal).cast("long").alias("ord"),
-            F.col(client).alias("client"),
-            F.lit(method).alias("client_method"),
-        ).alias("owner")
-
-    from_alias = alias_catalogue(aliases).select(
-        F.col("alias").alias("needle"), owner(ALIAS, 0, "alias_ord", "real_client")
+    alias_order = aliases.schema["alias_ord"].dataType
+    catalogue = alias_catalogue(aliases)
+    from_alias = catalogue.select(
+        F.col("alias").alias("needle"),
+        F.struct(
+            F.lit(0).alias("method_rank"),
+            F.col("alias_ord"),
+            F.lit(None).cast("long").alias("client_ord"),
+            F.col("real_client").alias("client"),
+            F.lit(ALIAS).alias("client_method"),
+        ).alias("owner"),
+    )
+    from_client = client_needles(clients).select(
+        "needle",
+        F.struct(
+            F.lit(1).alias("method_rank"),
+            F.lit(None).cast(alias_order).alias("alias_ord"),
+            F.col("client_ord").cast("long").alias("client_ord"),
+            F.col("client_norm").alias("client"),
+            F.lit(DIRECT).alias("client_method"),
+        ).alias("owner"),
     )
-    from_client = client_needles(clients).select("needle", owner(DIRECT, 1, "client_ord", "client_norm"))
     return from_alias.unionByName(from_client).groupBy("needle").agg(F.min("owner").alias("owner"))
 
 

@@ -258,3 +258,58 @@ def texts_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("description")
     )
+
+
+def statement_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The movements as a bank would write them: text with blanks, some dates and amounts invalid."""
+    rows = movements(spark, sf_dir)
+    k = F.col("movement_ord")
+    day = F.when(k % 50 == 49, "20261399").otherwise(F.date_format("value_date", "yyyyMMdd"))
+    amount = F.when(k % 70 == 69, "n/a").otherwise(F.col("amount").cast("string"))
+    code = F.when(k % 30 == 29, "").otherwise((k % 1000).cast("string"))
+    return rows.select(
+        "movement_ord",
+        F.concat(F.lit(" "), day).alias("date_raw"),
+        F.concat(F.lit("  "), amount, F.lit("\t")).alias("amount"),
+        F.concat(F.lit(" "), code).alias("code"),
+        F.concat(F.lit("  "), F.lower("description"), F.lit("\t ")).alias("description"),
+    )
+
+
+def sheet_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open items as a weekly sheet: mixed date formats, document numbers stored as numbers,
+    some rows without client, some without balance."""
+    rows = _orders_of_clients(spark, sf_dir).filter(F.col("status") != "F")
+    k = F.col("k")
+    due = F.date_sub(F.lit(CUTOFF), (k % 170 - 20).cast("int"))
+    due_text = (
+        F.when(k % 40 == 39, "pendiente")
+        .when(k % 3 == 0, F.date_format(due, "dd/MM/yyyy"))
+        .when(k % 3 == 1, F.date_format(due, "yyyy-MM-dd"))
+        .otherwise(F.date_format(due, "d/M/yyyy"))
+    )
+    number = F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(".0"))).otherwise(F.concat(k.cast("string"), F.lit(".05")))
+    return rows.select(
+        k.alias("item_ord"),
+        F.when(k % 25 != 24, F.concat(F.col("client"), F.lit("  "))).alias("client"),
+        number.alias("document"),
+        F.date_format(F.date_sub(due, 30), "dd/MM/yyyy").alias("posting_date"),
+        due_text.alias("due_date"),
+        F.col("open_amount").cast("string").alias("original_amount"),
+        F.when(k % 35 == 34, "x").when(k % 35 == 33, "-5").otherwise(F.col("open_amount").cast("string")).alias("open_amount"),
+        F.lit("0").alias("future_credit"),
+    )
+
+
+def erp_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open items as an ERP export with header names."""
+    rows = sheet_fields(spark, sf_dir)
+    return rows.select(
+        "item_ord",
+        F.when(F.col("item_ord") % 9 == 8, "NC").otherwise("RF").alias("Tipo"),
+        F.col("client").alias("Nombre SN"),
+        F.col("document").alias("Nº documento"),
+        F.col("posting_date").alias("Fecha de contabilización"),
+        F.col("due_date").alias("Fecha de vencimiento"),
+        F.col("open_amount").alias("Saldo vencido"),
+    )
