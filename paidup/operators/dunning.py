@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paidup.config import STAGE_LABELS
@@ -95,11 +95,12 @@ def dunning_letters(
     )
     parts = placed.groupBy("client", "part_day", "piece").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     lines = F.array_join(F.transform("entries", lambda e: e["line"]), "\n")
-    parts = parts.select("client", "part_day", "piece", lines.alias("lines"), F.col("entries")[0].alias("first"))
+    parts = parts.select("client", "part_day", "piece", lines.alias("lines"))
 
     # Parts are numbered from the per-day counts, not from the letters themselves.
-    before = F.sum("pieces").over(_days_of_client().rowsBetween(-(1 << 62), -1))
-    all_parts = F.sum("pieces").over(_days_of_client().rowsBetween(-(1 << 62), 1 << 62))
+    by_day = Window.partitionBy("client").orderBy("day_key")
+    before = F.sum("pieces").over(by_day.rowsBetween(Window.unboundedPreceding, -1))
+    all_parts = F.sum("pieces").over(by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     numbering = pieces.select(
         "client", F.col("day_key").alias("part_day"), F.coalesce(before, F.lit(0)).alias("before"), all_parts.alias("parts")
     )
@@ -130,12 +131,6 @@ def dunning_letters(
     )
 
 
-def _days_of_client():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("client").orderBy("day_key")
-
-
 def client_stages(base: DataFrame) -> DataFrame:
     """Worst band, stage and label of each client with unpaid invoices."""
     return (

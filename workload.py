@@ -164,7 +164,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         _deposits(spark, sf_dir, 11)
         .filter(F.floor(F.col("k") / 12) % 2 == 0)
         .select(
-            F.timestamp_add("DAY", -(F.col("k") % 3).cast("int"), F.lit(CUTOFF).cast("timestamp")).alias("run_at"),
+            F.timestamp_add("DAY", -(F.floor(F.col("k") / 24) % 3).cast("int"), F.lit(CUTOFF).cast("timestamp")).alias("run_at"),
             "fingerprint",
             F.col("value_date").alias("payment_date"),
             "amount",
