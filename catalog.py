@@ -59,13 +59,18 @@ def _movements(spark: SparkSession, sf: str) -> DataFrame:
     return classify(w.movements(spark, sf))
 
 
+def _statement(spark: SparkSession, sf: str) -> DataFrame:
+    """The derived movements as a stored table, as a run would have ingested them."""
+    return classify(Workspace(spark).stage(w.movements(spark, sf), "statement"))
+
+
 def _payments(spark: SparkSession, sf: str) -> DataFrame:
-    return payments_of(_movements(spark, sf))
+    return payments_of(_statement(spark, sf))
 
 
 def run_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return match_payments(
-        _movements(spark, sf),
+        _statement(spark, sf),
         w.open_items(spark, sf),
         w.aliases(spark, sf),
         w.decisions(spark, sf),
@@ -354,8 +359,11 @@ def accumulated_hits(spark, sf):
     ws = Workspace(spark)
     items = ws.stage(amounts.priced_items(w.open_items(spark, sf)), "items")
     asked = _queries_of(spark, sf, ws).select("client_norm", "cents").distinct()
-    profiles = amounts.client_profiles(items, SETTINGS)
-    return plain(amounts.sum_hits(asked.join(profiles, "client_norm"), SETTINGS))
+    known = asked.join(amounts.client_profiles(items, SETTINGS), "client_norm").select(
+        "*", F.lit(None).cast("long").alias("n_exact"), F.lit(None).cast("array<string>").alias("exact")
+    )
+    hits = amounts.with_sum_hits(known, SETTINGS).filter(F.col("n_sums").isNotNull())
+    return plain(hits.select("client_norm", "cents", "n_sums", "first_sum"))
 
 
 @query

@@ -22,4 +22,4 @@ def payment_fingerprint(description: Column, amount: Column, value_date: Column)
         F.lit("|"),
         iso_text(value_date),
     )
-    return F.substring(F.sha1(F.encode(text, "UTF-8")), 1, 16)
+    return F.left(F.sha1(text), F.lit(16))

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as Python's str.strip sees it: Unicode White_Space plus the four separators.
-_BLANK = r"[\s\x1c-\x1f]+"
+# Fixed values. Whitespace as Python's str.strip sees it: the Unicode White_Space characters and the
+# four information separators.
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove Unicode whitespace from both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}|{_BLANK}$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def normal(text: Column) -> Column:
@@ -26,7 +30,7 @@ def blank_to_null(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words."""
-    return F.split(text, rf"(?U){_BLANK}")
+    return F.split(text, r"(?U)[\s\x1c-\x1f]+")
 
 
 def labelled(label: str, text: Column) -> Column:

@@ -7,14 +7,13 @@ Both answers depend on the client and the amount only, so they are computed once
 from __future__ import annotations
 
 from itertools import combinations
-from math import floor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paidup.config import MatchSettings
 from paidup.functions.money import cents
-from paidup.skew import grouped_lists, lookup
+from paidup.skew import grouped_lists, hot_rows, lookup, short_lists
 
 _KEY = ["client_norm", "cents"]
 
@@ -30,36 +29,40 @@ def priced_items(open_items: DataFrame) -> DataFrame:
 def price_levels(items: DataFrame, settings: MatchSettings, hot=()) -> DataFrame:
     """Invoices of a client collapsed per amount: how many, and which when they are few."""
     entry = F.struct("item_ord", "document")
-    return grouped_lists(items, _KEY, entry, settings.inline_documents, hot, ["item_ord"])
+    return grouped_lists(items, _KEY, "item_ord", entry, settings.inline_documents, hot)
 
 
-def _band(cents_col, tolerance: int):
-    """Buckets that amounts within the tolerance can fall in: two at most."""
-    width = 2 * tolerance + 1
+def band_start(value: Column, tolerance: int) -> Column:
+    """Lower end of the amount band of a value in cents; a tolerance window meets two bands at most."""
+    return value - F.pmod(value, F.lit(2 * tolerance + 1))
+
+
+def bands_near(value: Column, tolerance: int) -> Column:
+    """The bands that amounts within the tolerance of a value can lie in."""
     return F.sequence(
-        F.floor((cents_col - tolerance) / F.lit(width)).cast("long"),
-        F.floor((cents_col + tolerance) / F.lit(width)).cast("long"),
+        band_start(value - tolerance, tolerance),
+        band_start(value + tolerance, tolerance),
+        F.lit(2 * tolerance + 1).cast("long"),
     )
 
 
 def exact_hits(queries: DataFrame, levels: DataFrame, settings: MatchSettings) -> DataFrame:
     """(client_norm, cents) -> ``n_exact`` invoices within the tolerance and ``exact`` documents.
 
-    A band join under the client. A bucket holds at most ``2 * tolerance + 1`` different amounts
-    in whole cents, so the work per query is bounded however many invoices share an amount.
+    A band join under the client. A band holds at most ``2 * tolerance + 1`` different amounts in
+    whole cents, so the work per query is bounded however many invoices share an amount.
     ``exact`` is null when the list is longer than ``settings.inline_documents``.
     """
     tol = settings.tolerance_cents
-    width = 2 * tol + 1
-    probes = queries.select(*_KEY, F.explode(_band(F.col("cents"), tol)).alias("bucket"))
+    probes = queries.select(*_KEY, F.explode(bands_near(F.col("cents"), tol)).alias("band"))
     priced = levels.select(
         "client_norm",
         F.col("cents").alias("level"),
         "n_rows",
         "entries",
-        F.floor(F.col("cents") / F.lit(width)).cast("long").alias("bucket"),
+        band_start(F.col("cents"), tol).alias("band"),
     )
-    near = probes.join(priced, ["client_norm", "bucket"]).filter(F.abs(F.col("level") - F.col("cents")) <= tol)
+    near = probes.join(priced, ["client_norm", "band"]).filter(F.abs(F.col("level") - F.col("cents")) <= tol)
     listed = F.sort_array(F.flatten(F.collect_list("entries")))
     return (
         near.groupBy(*_KEY)
@@ -67,9 +70,9 @@ def exact_hits(queries: DataFrame, levels: DataFrame, settings: MatchSettings) -
         .select(
             *_KEY,
             "n_exact",
-            F.when(
-                (F.col("n_exact") <= settings.inline_documents), F.transform("listed", lambda e: e["document"])
-            ).alias("exact"),
+            F.when(F.col("n_exact") <= settings.inline_documents, F.transform("listed", lambda e: e["document"])).alias(
+                "exact"
+            ),
         )
     )
 
@@ -78,75 +81,92 @@ def exact_hits(queries: DataFrame, levels: DataFrame, settings: MatchSettings) -
 
 
 def client_profiles(items: DataFrame, settings: MatchSettings, hot=()) -> DataFrame:
-    """client_norm -> ``n_items`` and, up to the cap of the sum search, the ordered ``items``."""
-    entry = F.struct("item_ord", "document", "cents")
-    return grouped_lists(
-        items, ["client_norm"], entry, settings.max_items_for_sums, hot, ["item_ord"]
-    ).select("client_norm", F.col("n_rows").alias("n_items"), F.col("entries").alias("items"))
+    """client_norm -> ``n_items`` and, up to the cap of the sum search, the ordered ``items``.
+
+    One more item than the cap is enough to know that a client is beyond it, so ``n_items`` stops
+    counting there and no client is gathered whole.
+    """
+    cap = settings.max_items_for_sums
+    lists = short_lists(
+        items, ["client_norm"], "item_ord", F.struct("item_ord", "document", "cents"), cap + 1, hot
+    )
+    n = F.size("entries")
+    listed = lists.select("client_norm", n.alias("n_items"), F.when(n <= cap, F.col("entries")).alias("items"))
+    if not hot:
+        return listed
+    beyond = hot_rows(items, ["client_norm"], hot).select("client_norm").distinct()
+    return listed.unionByName(beyond.withColumn("n_items", F.lit(cap + 1)), allowMissingColumns=True)
 
 
 def combination_shapes(spark: SparkSession, settings: MatchSettings) -> DataFrame:
     """All choices of 2..k positions out of n items, ranked by size and then by position.
 
-    Fixed by the settings (6,748 rows with the defaults), independent of the data.
+    Fixed by the settings (6,748 rows with the defaults), independent of the data. Positions count
+    from 1; position 0 stands for "no further item".
     """
     rows = []
     for n in range(2, settings.max_items_for_sums + 1):
         rank = 0
         for k in range(2, min(settings.max_combination, n) + 1):
             for chosen in combinations(range(1, n + 1), k):
-                rows.append((n, rank, list(chosen)))
+                rows.append((n, rank, k, *chosen, *[0] * (settings.max_combination - k)))
                 rank += 1
-    shapes = spark.createDataFrame(rows, "n_items long, rank int, chosen array<int>")
-    return shapes.select(
-        "n_items",
-        "rank",
-        F.size("chosen").alias("k"),
-        *[F.get("chosen", F.lit(i)).alias(f"p{i}") for i in range(settings.max_combination)],
-    )
+    positions = ", ".join(f"{p} int" for p in _positions(settings))
+    return spark.createDataFrame(rows, f"n_items int, rank int, k int, {positions}", verifySchema=False)
 
 
-def _chosen(field: str, settings: MatchSettings):
-    return [F.get("items", F.col(f"p{i}") - 1)[field] for i in range(settings.max_combination)]
+def _positions(settings: MatchSettings) -> list[str]:
+    return [f"p{i}" for i in range(settings.max_combination)]
 
 
-def _total(settings: MatchSettings):
-    first, *rest = _chosen("cents", settings)
-    for value in rest:
-        first = first + F.coalesce(value, F.lit(0))
-    return first
+def _with_prices(profiles: DataFrame) -> DataFrame:
+    """Add ``prices``: the amounts by position, slot 0 being zero."""
+    amounts = F.transform("items", lambda i: i["cents"])
+    return profiles.withColumn("prices", F.concat(F.array(F.lit(0).cast("long")), amounts))
 
 
-def _documents(settings: MatchSettings):
-    return F.array_compact(F.array(*_chosen("document", settings)))
+def _total(settings: MatchSettings) -> Column:
+    return sum((F.get("prices", F.col(p)) for p in _positions(settings)[1:]), F.get("prices", F.col("p0")))
+
+
+def _documents(settings: MatchSettings) -> Column:
+    chosen = [F.get("items", F.col(p) - 1)["document"] for p in _positions(settings)]
+    return F.slice(F.array(*chosen), F.lit(1), F.col("k"))
 
 
 def combinations_of(profiles: DataFrame, settings: MatchSettings = MatchSettings()) -> DataFrame:
     """Every candidate sum of every client within the cap: client_norm, k, documents, total cents."""
     shapes = combination_shapes(profiles.sparkSession, settings)
-    return (
-        profiles.filter(F.col("items").isNotNull())
-        .join(F.broadcast(shapes), "n_items")
-        .select("client_norm", "k", "rank", _documents(settings).alias("documents"), _total(settings).alias("cents"))
+    priced = _with_prices(profiles.filter(F.col("items").isNotNull()))
+    return priced.join(F.broadcast(shapes), "n_items").select(
+        "client_norm", "k", "rank", _documents(settings).alias("documents"), _total(settings).alias("cents")
     )
 
 
-def sum_hits(queries: DataFrame, settings: MatchSettings) -> DataFrame:
-    """(client_norm, cents) -> ``n_sums`` and the ``first_sum``; ``queries`` carry ``items``.
+def with_sum_hits(queries: DataFrame, settings: MatchSettings) -> DataFrame:
+    """Add ``n_sums`` and ``first_sum`` to (client_norm, cents, n_items, items, n_exact, exact).
 
-    Positions are expanded next to the client's (at most 15) items and checked at once, so the
-    combinations are never shuffled: only the few that fit the amount leave the task.
+    Positions are expanded next to the client's (at most 15) items and checked inside the join with
+    the fixed shapes, so combinations are never written or shuffled: only those that fit the amount
+    leave it. Queries with an exact hit meet no shape.
     """
-    shapes = combination_shapes(queries.sparkSession, settings)
-    tol = settings.tolerance_cents
-    fits = F.abs(_total(settings) - F.col("cents")) <= tol
+    shapes = combination_shapes(queries.sparkSession, settings).withColumnRenamed("n_items", "size")
+    searched = F.when(F.col("items").isNotNull() & F.col("n_exact").isNull(), F.col("n_items"))
+    fits = F.abs(_total(settings) - F.col("cents")) <= settings.tolerance_cents
     return (
-        queries.filter(F.col("items").isNotNull() & (F.col("n_items") >= 2))
-        .join(F.broadcast(shapes), "n_items")
-        .filter(fits)
-        .select(*_KEY, "rank", _documents(settings).alias("documents"))
+        _with_prices(queries)
+        .withColumn("searched", searched)
+        .join(F.broadcast(shapes), (F.col("searched") == F.col("size")) & fits, "left")
+        .select(*_KEY, "n_items", "n_exact", "exact", "rank", _documents(settings).alias("documents"))
         .groupBy(*_KEY)
-        .agg(F.count(F.lit(1)).alias("n_sums"), F.min_by("documents", "rank").alias("first_sum"))
+        .agg(
+            F.any_value("n_items").alias("n_items"),
+            F.any_value("n_exact").alias("n_exact"),
+            F.any_value("exact").alias("exact"),
+            F.count("rank").alias("n_sums"),
+            F.min_by("documents", "rank").alias("first_sum"),
+        )
+        .withColumn("n_sums", F.nullif("n_sums", F.lit(0)))
     )
 
 
@@ -160,11 +180,10 @@ def resolve_amounts(
 ) -> DataFrame:
     """Distinct (client_norm, cents) -> n_items, n_exact, exact, n_sums, first_sum.
 
-    ``n_items`` is null for a client without open invoices.
+    ``n_items`` is null for a client without open invoices, ``n_sums`` when no sum fits or an
+    invoice fits exactly.
     """
     profiles = client_profiles(items, settings, hot_item_clients)
     known = lookup(queries, profiles, ["client_norm"], "left", hot_query_clients, ["cents"])
     levels = price_levels(items, settings, hot_item_levels)
-    known = known.join(exact_hits(queries, levels, settings), _KEY, "left")
-    sums = sum_hits(known.filter(F.col("n_exact").isNull()), settings)
-    return known.drop("items").join(sums, _KEY, "left")
+    return with_sum_hits(known.join(exact_hits(queries, levels, settings), _KEY, "left"), settings)

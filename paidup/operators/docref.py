@@ -24,7 +24,9 @@ def quoted_documents(
     number is repeated that often) it lists each number once.
     """
     documents = items.filter(F.col("document") != "").select(*_KEY, "item_ord")
-    documents = grouped_lists(documents, _KEY, F.col("item_ord"), settings.inline_documents, hot_documents, ["item_ord"])
+    documents = grouped_lists(
+        documents, _KEY, "item_ord", F.col("item_ord"), settings.inline_documents, hot_documents
+    )
     documents = ws.stage(documents, "documents")
     texts = payments.select("payment_id", "client_norm", F.coalesce("description", F.lit("")).alias("description"))
     found = candidate_substrings(texts, ["payment_id", "client_norm"], "description", documents, "document").distinct()

@@ -11,6 +11,7 @@ from paidup.config import MatchSettings
 from paidup.functions.dates import iso_text
 from paidup.functions.money import cents, currency_text
 from paidup.functions.text import labelled, normal
+from paidup.operators.amounts import band_start, bands_near
 from paidup.operators.decisions import active_decisions
 from paidup.skew import lookup
 
@@ -47,18 +48,16 @@ def candidate_documents(matches: DataFrame, open_items: DataFrame, settings: Mat
         "payment_id", "client", F.posexplode("documents").alias("pos", "document")
     )
     tol = settings.tolerance_cents
-    width = 2 * tol + 1
     long_lists = ambiguous.filter(~complete).select(
-        "payment_id", "client", F.col("client").alias("client_norm"), cents(F.col("amount")).alias("paid")
-    )
-    low = F.floor((F.col("paid") - tol) / F.lit(width)).cast("long")
-    high = F.floor((F.col("paid") + tol) / F.lit(width)).cast("long")
-    probes = long_lists.withColumn("bucket", F.explode(F.sequence(low, high)))
-    priced = open_items.select("client_norm", "document", "item_ord", cents(F.col("open_amount")).alias("cents")).withColumn(
-        "bucket", F.floor(F.col("cents") / F.lit(width)).cast("long")
+        "payment_id",
+        "client",
+        F.col("client").alias("client_norm"),
+        cents(F.col("amount")).alias("paid"),
+        F.explode(bands_near(cents(F.col("amount")), tol)).alias("band"),
     )
+    priced = open_items.select("client_norm", "document", "item_ord", cents(F.col("open_amount")).alias("cents"))
     found = (
-        probes.join(priced, ["client_norm", "bucket"])
+        long_lists.join(priced.withColumn("band", band_start(F.col("cents"), tol)), ["client_norm", "band"])
         .filter(F.abs(F.col("cents") - F.col("paid")) <= tol)
         .select("payment_id", "client", F.col("item_ord").alias("pos"), "document")
     )

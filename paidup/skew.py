@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paidup.config import SkewSettings
@@ -66,30 +66,38 @@ def lookup(
     return salted_fact.join(salted_dim, [*on, _SALT], how).drop(_SALT)
 
 
-def grouped_lists(
-    rows: DataFrame,
-    keys: Sequence[str],
-    entry: Column,
-    limit: int,
-    hot: Sequence[int] = (),
-    spread: Sequence[str] = (),
-    settings: SkewSettings = SkewSettings(),
+def short_lists(
+    rows: DataFrame, keys: Sequence[str], order: str, entry: Column, limit: int, hot: Sequence[int] = ()
 ) -> DataFrame:
-    """Per key: ``n_rows``, and ``entries``, the sorted list of ``entry`` when ``n_rows <= limit``.
+    """Per key the first ``limit`` entries by ``order``, as ``entries``; no group is gathered whole.
 
-    Sizes come from a map-side combined count; a list is gathered only for groups known to be
-    short, so no task ever holds an unbounded group.
+    The rank filter lets Spark cut every group to ``limit`` rows before the shuffle. Hot keys, which
+    have far more rows than any limit, get no list at all: they are absent from the result.
     """
     keys = list(keys)
-    tagged = rows.select("*", entry.alias("__entry"))
-    sizes = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.min("__entry").alias("__first"))
-    several = sizes.filter((F.col("n_rows") > 1) & (F.col("n_rows") <= limit)).select(*keys)
-    lists = (
-        lookup(tagged, several, keys, "inner", hot, spread, settings)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    if hot:
+        rows = rows.filter(~_key_hash(keys).isin(list(hot)))
+    return (
+        rows.select(*keys, order, entry.alias("__entry"), rank.alias("__rank"))
+        .filter(F.col("__rank") <= limit)
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("__entry")).alias("__list"))
+        .agg(F.sort_array(F.collect_list("__entry")).alias("entries"))
     )
-    single = F.when(F.col("n_rows") == 1, F.array("__first"))
-    return sizes.join(lists, keys, "left").select(
-        *keys, "n_rows", F.coalesce(single, F.col("__list")).alias("entries")
+
+
+def grouped_lists(
+    rows: DataFrame, keys: Sequence[str], order: str, entry: Column, limit: int, hot: Sequence[int] = ()
+) -> DataFrame:
+    """Per key ``n_rows``, and ``entries``, the list of ``entry`` by ``order`` when ``n_rows <= limit``."""
+    keys = list(keys)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    lists = short_lists(rows, keys, order, entry, limit, hot)
+    return sizes.join(lists, keys, "left").withColumn(
+        "entries", F.when(F.size("entries") == F.col("n_rows"), F.col("entries"))
     )
+
+
+def hot_rows(rows: DataFrame, keys: Sequence[str], hot: Sequence[int]) -> DataFrame:
+    """The rows of the hot keys."""
+    return rows.filter(_key_hash(keys).isin(list(hot)) if hot else F.lit(False))

@@ -20,8 +20,15 @@ from paidup.schemas import MONEY
 CUTOFF = dt.date(2001, 8, 1)
 
 
+_SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _orders_of_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
