@@ -37,6 +37,8 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         # The steps expand small inputs by much work per byte: do not merge them into one task.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # A run has more generated classes than the default cache holds.
+        .config("spark.sql.codegen.cache.maxEntries", "4000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
