@@ -67,6 +67,7 @@ def read_statement(
     return rows.filter(kept).select(*MOVEMENTS.fieldNames())
 
 
-def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a statement that have not ten fields."""
-    return read_raw_statement(spark, path).filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+def rejected_lines(spark: SparkSession, path: str, ws: Workspace | None = None) -> DataFrame:
+    """Lines of a statement that have not ten fields, with their position."""
+    raw = with_line_ordinal(read_raw_statement(spark, path), "movement_ord", ws or Workspace(spark))
+    return raw.filter(F.col("_corrupt_record").isNotNull()).select("movement_ord", F.col("_corrupt_record").alias("line"))
