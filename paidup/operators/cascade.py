@@ -59,10 +59,12 @@ def not_yet_processed(payments: DataFrame, history: DataFrame, hot=()) -> DataFr
     return lookup(payments, processed_fingerprints(history), ["fingerprint"], "left_anti", hot, ["payment_id"])
 
 
-def _settle_from_ledgers(payments: DataFrame, decisions: DataFrame, history: DataFrame, items: DataFrame, hot) -> DataFrame:
+def _settle_from_ledgers(
+    payments: DataFrame, decisions: DataFrame, history: DataFrame, items: DataFrame, hot, hot_numbers
+) -> DataFrame:
     """Add the verdict of history (first) or of a prior decision; null verdict = still open."""
     seen = processed_fingerprints(history).withColumn("seen", F.lit(True))
-    ruled = decision_outcomes(decisions, items).select(
+    ruled = decision_outcomes(decisions, items, hot_numbers).select(
         "fingerprint", F.struct("match_state", "match_method", "client", "documents", "note").alias("ruling")
     )
     ledgers = seen.join(ruled, "fingerprint", "full")
@@ -137,11 +139,11 @@ def match_payments(
     items = ws.stage(priced_items(open_items), "items")
     payments = ws.stage(payments_of(movements), "payments")
     hot_fingerprints, hot_texts = hot_keys(payments, ["fingerprint"], ["description"])
-    hot_clients, hot_levels, hot_documents = hot_keys(
-        items, ["client_norm"], ["client_norm", "cents"], ["client_norm", "document"]
+    hot_clients, hot_levels, hot_documents, hot_numbers = hot_keys(
+        items, ["client_norm"], ["client_norm", "cents"], ["client_norm", "document"], ["document"]
     )
 
-    judged = ws.stage(_settle_from_ledgers(payments, decisions, history, items, hot_fingerprints), "judged")
+    judged = ws.stage(_settle_from_ledgers(payments, decisions, history, items, hot_fingerprints, hot_numbers), "judged")
     settled = judged.filter(F.col("verdict").isNotNull()).select(
         "*", "verdict.*", F.size("verdict.documents").alias("n_documents")
     )

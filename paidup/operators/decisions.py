@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paidup.config import ACTIVE, NOTES
 from paidup.functions.text import blank_to_null, normal
+from paidup.skew import lookup
 
 
 def last_decisions(decisions: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def claimed_documents(active: DataFrame) -> DataFrame:
     )
 
 
-def documents_still_open(active: DataFrame, open_items: DataFrame) -> DataFrame:
+def documents_still_open(active: DataFrame, open_items: DataFrame, hot_documents=()) -> DataFrame:
     """The assigned documents that are among the open receivables."""
     wanted = (
         _applied(active)
@@ -55,11 +56,8 @@ def documents_still_open(active: DataFrame, open_items: DataFrame) -> DataFrame:
         .filter(F.col("document").isNotNull())
         .distinct()
     )
-    return (
-        open_items.select(blank_to_null(F.col("document")).alias("document"))
-        .join(wanted, "document", "left_semi")
-        .distinct()
-    )
+    numbers = open_items.select(blank_to_null(F.col("document")).alias("document"), "item_ord")
+    return lookup(numbers, wanted, ["document"], "left_semi", hot_documents, ["item_ord"]).select("document").distinct()
 
 
 def decision_validity(active: DataFrame, open_items: DataFrame) -> DataFrame:
@@ -79,14 +77,14 @@ def missing_documents(active: DataFrame, open_items: DataFrame) -> DataFrame:
     return gone.select("document").distinct().orderBy("document")
 
 
-def decision_outcomes(decisions: DataFrame, open_items: DataFrame) -> DataFrame:
+def decision_outcomes(decisions: DataFrame, open_items: DataFrame, hot_documents=()) -> DataFrame:
     """fingerprint -> the match result that its last active decision dictates.
 
     Decisions that leave the payment to the cascade (alias added, invoice no longer open, invoice
     missing, unknown action) are not in the output. Validity is tested before conflict.
     """
     active = active_decisions(decisions)
-    still_open = documents_still_open(active, open_items).withColumn("still_open", F.lit(True))
+    still_open = documents_still_open(active, open_items, hot_documents).withColumn("still_open", F.lit(True))
     claimed = claimed_documents(active)
     base = (
         active.withColumn("action", normal(F.col("action")))

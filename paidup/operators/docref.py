@@ -29,24 +29,23 @@ def quoted_documents(
     )
     documents = ws.stage(documents, "documents")
     texts = payments.select("payment_id", "client_norm", F.coalesce("description", F.lit("")).alias("description"))
-    found = candidate_substrings(texts, ["payment_id", "client_norm"], "description", documents, "document").distinct()
+    found = candidate_substrings(texts, ["payment_id", "client_norm"], "description", documents, "document")
     found = ws.stage(found, "quoted")
     (hot,) = hot_keys(found, _KEY)
     hits = lookup(found, documents, _KEY, "inner", hot, ["payment_id"])
-    rows = F.transform(F.coalesce("entries", F.array()), lambda o: F.struct(o.alias("o"), F.col("document").alias("d")))
-    listed = F.sort_array(F.flatten(F.collect_list(rows)))
-    return (
-        hits.groupBy("payment_id")
-        .agg(
-            F.sum("n_rows").alias("n_quoted"),
-            listed.alias("rows"),
-            F.array_sort(F.collect_set("document")).alias("numbers"),
-        )
-        .select(
-            "payment_id",
-            "n_quoted",
-            F.when(F.size("rows") == F.col("n_quoted"), F.transform("rows", lambda r: r["d"]))
-            .otherwise(F.col("numbers"))
-            .alias("quoted"),
-        )
+    # A number that occurs twice in a text counts once. The set is bounded by the text.
+    quoted = hits.groupBy("payment_id").agg(F.collect_set(F.struct("document", "n_rows", "entries")).alias("found"))
+    total = F.aggregate("found", F.lit(0).cast("long"), lambda n, d: n + d["n_rows"])
+    listed = F.transform(
+        "found",
+        lambda d: F.transform(
+            F.coalesce(d["entries"], F.array()), lambda o: F.struct(o.alias("ord"), d["document"].alias("document"))
+        ),
+    )
+    rows = F.transform(F.sort_array(F.flatten(listed)), lambda r: r["document"])
+    numbers = F.array_sort(F.transform("found", lambda d: d["document"]))
+    return quoted.select("payment_id", total.alias("n_quoted"), rows.alias("rows"), numbers.alias("numbers")).select(
+        "payment_id",
+        "n_quoted",
+        F.when(F.size("rows") == F.col("n_quoted"), F.col("rows")).otherwise(F.col("numbers")).alias("quoted"),
     )

@@ -92,23 +92,23 @@ def dunning_letters(
         F.when(cut, F.col("day_key")).otherwise(F.lit(0)).alias("part_day"),
         F.when(cut, F.pmod(F.xxhash64("document", "item_ord"), F.col("pieces"))).otherwise(F.lit(0)).alias("piece"),
         F.struct("day_key", "document", "item_ord", invoice_line().alias("line")).alias("entry"),
+        cut.alias("cut"),
     )
     parts = placed.groupBy("client", "part_day", "piece").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     lines = F.array_join(F.transform("entries", lambda e: e["line"]), "\n")
     parts = parts.select("client", "part_day", "piece", lines.alias("lines"))
 
-    # Parts are numbered from the per-day counts, not from the letters themselves.
-    by_day = Window.partitionBy("client").orderBy("day_key")
-    before = F.sum("pieces").over(by_day.rowsBetween(Window.unboundedPreceding, -1))
-    all_parts = F.sum("pieces").over(by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    numbering = pieces.select(
-        "client", F.col("day_key").alias("part_day"), F.coalesce(before, F.lit(0)).alias("before"), all_parts.alias("parts")
-    )
-    numbered = parts.join(numbering, ["client", "part_day"], "left").select(
+    # Parts are numbered from their keys alone, and only those of the large clients.
+    by_day = Window.partitionBy("client").orderBy("part_day", "piece")
+    numbering = placed.filter("cut").select("client", "part_day", "piece").distinct().select(
         "client",
-        "lines",
-        (F.coalesce("before", F.lit(0)) + F.col("piece") + 1).alias("part"),
-        F.coalesce("parts", F.lit(1)).alias("parts"),
+        "part_day",
+        "piece",
+        F.row_number().over(by_day).cast("long").alias("part"),
+        F.count(F.lit(1)).over(Window.partitionBy("client")).alias("parts"),
+    )
+    numbered = parts.join(numbering, ["client", "part_day", "piece"], "left").select(
+        "client", "lines", *[F.coalesce(c, F.lit(1)).alias(c) for c in ("part", "parts")]
     )
     stage = dunning_stage(F.col("worst_band"))
     closing = F.when(F.col("part") == F.col("parts"), F.concat(F.lit("\n"), total_line(F.col("total")))).otherwise("")

@@ -188,10 +188,11 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "orders")
         .filter(F.col("o_orderstatus") != "F")
         .agg(F.concat(F.lit("FV-"), F.min("o_orderkey").cast("string")).alias("smallest"))
+        .withColumn("kind", F.lit(2).cast("long"))
     )
     kind = F.floor(F.col("k") / 12) % 8
     own = F.concat(F.lit("FV-"), F.col("k").cast("string"))
-    rows = _deposits(spark, sf_dir, 10).join(F.broadcast(smallest)).withColumn("kind", kind)
+    rows = _deposits(spark, sf_dir, 10).withColumn("kind", kind).join(smallest, "kind", "left")
     action = (
         F.when(F.col("kind").isin(0, 1, 2, 7), "APLICAR_FACTURA")
         .when(F.col("kind") == 3, "PAGO_PARCIAL")
