@@ -547,3 +547,107 @@ def dunning_stage(spark, sf):
 @query
 def dunning_letters(spark, sf):
     return plain(dunning.dunning_letters(_base(spark, sf), w.CUTOFF))
+
+
+# --- files and ledgers: written from the derived tables, read back by the sources ----------------
+
+
+@query
+def statement_scan(spark, sf):
+    """The statement as a ten-column CSV, read within a date range; positions follow the lines."""
+    from paidup.sources.statement import read_statement
+
+    ws = Workspace(spark)
+    path = f"{ws.root}/statement-csv"
+    blank = F.lit(" ")
+    raw = w.statement_fields(spark, sf).orderBy("movement_ord")
+    raw.select(
+        F.lit(" 001 "), blank, blank, "date_raw", blank, "amount", "code", "description", F.lit("0"), blank
+    ).write.csv(path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return plain(read_statement(spark, path, "2001-07-10", "2001-07-25", ws))
+
+
+@query
+def erp_scan(spark, sf):
+    """The ERP export as a CSV with header: recognised by its columns, typed, filtered, aged."""
+    from paidup.sources.receivables import read_receivables
+
+    ws = Workspace(spark)
+    path = f"{ws.root}/erp-csv"
+    w.erp_fields(spark, sf).orderBy("item_ord").drop("item_ord").write.csv(path, header=True)
+    return plain(read_receivables(spark, path, w.CUTOFF, ws=ws))
+
+
+@query
+def weekly_scan(spark, sf):
+    """The weekly sheet as a positional Parquet table: recognised by its columns, first rows skipped."""
+    from paidup.sources.receivables import read_receivables
+
+    ws = Workspace(spark)
+    path = f"{ws.root}/weekly"
+    w.sheet_fields(spark, sf).orderBy("item_ord").drop("item_ord").write.parquet(path)
+    return plain(read_receivables(spark, path, w.CUTOFF, skip_rows=3, file_format="parquet", ws=ws))
+
+
+@query
+def decision_ledger(spark, sf):
+    """Decisions appended in two batches: the later batch wins per payment."""
+    from paidup.sources.ledgers import append_decisions, read_decisions
+
+    path = f"{Workspace(spark).root}/decisions"
+    rows = w.decisions(spark, sf)
+    append_decisions(rows.filter("action <> 'REVERTIR'"), path)
+    append_decisions(rows.filter("action = 'REVERTIR'"), path)
+    active = dec.active_decisions(read_decisions(spark, path))
+    return active.select("fingerprint", "action", "assigned_document", "assigned_client")
+
+
+@query
+def alias_ledger(spark, sf):
+    """Aliases added twice: the catalogue keeps the first client of each."""
+    from paidup.sources.ledgers import add_aliases, read_aliases
+
+    path = f"{Workspace(spark).root}/aliases"
+    rows = w.aliases(spark, sf)
+    add_aliases(rows, path)
+    add_aliases(rows.withColumn("real_client", F.lit("OTRO")).withColumn("alias", F.lower("alias")), path)
+    return read_aliases(spark, path).select("alias", "real_client")
+
+
+@query
+def history_ledger(spark, sf):
+    """New associations appended to the history: rows per run day afterwards."""
+    from paidup.sources.ledgers import append_history, read_history
+
+    path = f"{Workspace(spark).root}/history"
+    append_history(w.history(spark, sf), path)
+    known = read_history(spark, path)
+    fresh = ledger.new_history(stored_matches(spark, sf), known, F.lit("2001-08-02").cast("timestamp"))
+    append_history(Workspace(spark).stage(fresh, "fresh"), path)
+    days = read_history(spark, path).select(F.date_format("run_at", "yyyy-MM-dd").alias("run_day"))
+    return value_counts(days, "run_day")
+
+
+@query
+def exceptions_exchange(spark, sf):
+    """Exceptions as CSV and back: document lists survive as lists."""
+    from paidup.sources.outputs import EXCEPTIONS, export_csv, import_csv
+
+    path = f"{Workspace(spark).root}/exceptions-csv"
+    export_csv(_exceptions(spark, sf), path)
+    rows = import_csv(spark, path, EXCEPTIONS)
+    return plain(rows.select("payment_id", "value_date", "amount", "match_method", "documents", "n_documents", "origin"))
+
+
+@query
+def detail_export(spark, sf):
+    """The filtered invoice list as a CSV of nine columns, read back."""
+    from paidup.sources.outputs import export_detail
+
+    path = f"{Workspace(spark).root}/detail-csv"
+    export_detail(reports.filter_detail(_base(spark, sf), priority="CRITICO", invoice_state="VENCIDA"), path)
+    schema = (
+        "client string, document string, due_date date, days_overdue int, open_amount decimal(18,2), aging_band string, "
+        "invoice_state string, priority string, origin string"
+    )
+    return plain(spark.read.schema(schema).csv(path, header=True))

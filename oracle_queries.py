@@ -235,6 +235,8 @@ _DIST = """SELECT CAST(band_ord - 1 AS INTEGER) AS band_ord, b.aging_band, count
 _SHEET = """SELECT item_ord, client, upper(client) AS client_norm, {document} AS document, posting_date, due_date,
     CAST(amt AS DOUBLE) AS original_amount, CAST(open_amount AS DOUBLE) AS open_amount, days_overdue, {band} AS aging_band
     FROM sheet WHERE open_amount > 0 AND client IS NOT NULL AND {more}"""
+# The sheet with its rows counted from zero.
+_POS = "FROM (SELECT * REPLACE (row_number() OVER (ORDER BY item_ord) - 1 AS item_ord), item_ord AS k FROM sheet)"
 _LINE = (
     "'| ' || document || ' | ' || strftime(due_date, '%Y-%m-%d') || ' | ' || days_overdue || ' | $' "
     "|| format('{:,}', CAST(open_amount AS BIGINT)) || ' |'"
@@ -356,6 +358,19 @@ _SQL = {
         stage_label, replace({_case("stage", SUBJECTS)}, '{{client}}', client) AS subject, {_BODY} AS body FROM stages JOIN
         (SELECT client, string_agg({_LINE}, chr(10) ORDER BY days_overdue DESC, document) AS lines FROM base WHERE NOT is_paid GROUP BY 1)
         USING (client)""",
+    "statement_scan": """SELECT pos AS movement_ord, '001' AS account, value_date, CAST(a AS DOUBLE) AS amount, CAST(abs(a) AS DOUBLE) AS amount_abs,
+        CASE WHEN a > 0 THEN 'ABONO' WHEN a < 0 THEN 'CARGO' ELSE 'NULO' END AS flow,
+        CASE WHEN movement_ord % 30 <> 29 THEN CAST(movement_ord % 1000 AS INTEGER) END AS bank_code, description
+        FROM (SELECT *, CASE WHEN movement_ord % 70 <> 69 THEN amount END AS a, row_number() OVER (ORDER BY movement_ord) - 1 AS pos FROM mov)
+        WHERE movement_ord % 50 <> 49 AND value_date BETWEEN DATE '2001-07-10' AND DATE '2001-07-25'""",
+    "erp_scan": _SHEET.format(document="raw_document", band=_band("days_overdue"), more="k % 9 <> 8").replace("FROM sheet", _POS),
+    "weekly_scan": _SHEET.format(document="document", band=_band("days_overdue"), more="item_ord >= 3").replace("FROM sheet", _POS),
+    "decision_ledger": "SELECT fingerprint, action, assigned_document, assigned_client FROM act",
+    "alias_ledger": "SELECT alias, real_client FROM al",
+    "history_ledger": """SELECT run_day, count(*) AS rows FROM (SELECT strftime(run_day, '%Y-%m-%d') AS run_day FROM hist UNION ALL
+        SELECT '2001-08-02' FROM m WHERE match_state = 'ASOCIADO' AND fingerprint NOT IN (SELECT fingerprint FROM hist)) GROUP BY 1""",
+    "exceptions_exchange": """SELECT payment_id, value_date, CAST(amount AS DOUBLE) AS amount, match_method, documents, n_documents, origin FROM exc""",
+    "detail_export": f"SELECT {_DETAIL} FROM base WHERE priority = 'CRITICO' AND invoice_state = 'VENCIDA'",
 }
 
 
