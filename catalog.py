@@ -372,7 +372,19 @@ def reference_hits(spark, sf):
     ws = Workspace(spark)
     items = ws.stage(amounts.priced_items(w.open_items(spark, sf)), "items")
     named = ws.stage(_queries_of(spark, sf, ws).select("payment_id", "client_norm", "description"), "named")
-    return plain(docref.quoted_documents(named, items, ws, SETTINGS))
+    profiles = ws.stage(amounts.client_profiles(items, SETTINGS), "profiles")
+    return plain(docref.quoted_documents(named, items, profiles, ws, SETTINGS))
+
+
+@query
+def reference_hits_of_many(spark, sf):
+    """The same with every client treated as one with many invoices."""
+    ws = Workspace(spark)
+    settings = MatchSettings(listed_items=1, max_items_for_sums=1)
+    items = ws.stage(amounts.priced_items(w.open_items(spark, sf)), "items")
+    named = ws.stage(_queries_of(spark, sf, ws).select("payment_id", "client_norm", "description"), "named")
+    profiles = ws.stage(amounts.client_profiles(items, settings), "profiles")
+    return plain(docref.quoted_documents(named, items, profiles, ws, settings))
 
 
 # --- cascade, consolidation ----------------------------------------------------------------------

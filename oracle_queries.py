@@ -297,6 +297,7 @@ _SQL = {
     "combos": "SELECT client_norm, CAST(k AS BIGINT) AS k, documents, CAST(total * 100 AS BIGINT) AS cents FROM sums",
     "accumulated_hits": "SELECT client_norm, CAST(amount * 100 AS BIGINT) AS cents, n_sums, docs AS first_sum FROM sumhit",
     "reference_hits": "SELECT payment_id, n_quoted, quoted FROM quoted",
+    "reference_hits_of_many": "SELECT payment_id, n_quoted, quoted FROM quoted",
     "match_cascade": f"SELECT {_M} FROM m",
     "match_state_counts": "SELECT match_state, match_method, client_method, count(*) AS rows FROM m GROUP BY 1, 2, 3",
     "match_totals": """SELECT count(*) FILTER (client_method = 'manual') AS decisions_applied,

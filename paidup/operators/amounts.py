@@ -81,15 +81,14 @@ def exact_hits(queries: DataFrame, levels: DataFrame, settings: MatchSettings) -
 
 
 def client_profiles(items: DataFrame, settings: MatchSettings, hot=()) -> DataFrame:
-    """client_norm -> ``n_items`` and, up to the cap of the sum search, the ordered ``items``.
+    """client_norm -> ``n_items`` and, for clients with few invoices, the ordered ``items``.
 
-    One more item than the cap is enough to know that a client is beyond it, so ``n_items`` stops
-    counting there and no client is gathered whole.
+    One more item than ``settings.listed_items`` is enough to know that a client is beyond it, so
+    ``n_items`` stops counting there and no client is gathered whole.
     """
-    cap = settings.max_items_for_sums
-    lists = short_lists(
-        items, ["client_norm"], "item_ord", F.struct("item_ord", "document", "cents"), cap + 1, hot
-    )
+    cap = settings.listed_items
+    entry = F.struct("item_ord", "document", "cents")
+    lists = short_lists(items, ["client_norm"], "item_ord", entry, cap + 1, hot)
     n = F.size("entries")
     listed = lists.select("client_norm", n.alias("n_items"), F.when(n <= cap, F.col("entries")).alias("items"))
     if not hot:
@@ -98,6 +97,10 @@ def client_profiles(items: DataFrame, settings: MatchSettings, hot=()) -> DataFr
     return listed.unionByName(beyond.withColumn("n_items", F.lit(cap + 1)), allowMissingColumns=True)
 
 
+def within_sum_cap(settings: MatchSettings) -> Column:
+    return F.col("n_items").between(2, settings.max_items_for_sums)
+
+
 def combination_shapes(spark: SparkSession, settings: MatchSettings) -> DataFrame:
     """All choices of 2..k positions out of n items, ranked by size and then by position.
 
@@ -137,7 +140,7 @@ def _documents(settings: MatchSettings) -> Column:
 def combinations_of(profiles: DataFrame, settings: MatchSettings = MatchSettings()) -> DataFrame:
     """Every candidate sum of every client within the cap: client_norm, k, documents, total cents."""
     shapes = combination_shapes(profiles.sparkSession, settings)
-    priced = _with_prices(profiles.filter(F.col("items").isNotNull()))
+    priced = _with_prices(profiles.filter(within_sum_cap(settings)))
     return priced.join(F.broadcast(shapes), "n_items").select(
         "client_norm", "k", "rank", _documents(settings).alias("documents"), _total(settings).alias("cents")
     )
@@ -151,7 +154,7 @@ def with_sum_hits(queries: DataFrame, settings: MatchSettings) -> DataFrame:
     leave it. Queries with an exact hit meet no shape.
     """
     shapes = combination_shapes(queries.sparkSession, settings).withColumnRenamed("n_items", "size")
-    searched = F.when(F.col("items").isNotNull() & F.col("n_exact").isNull(), F.col("n_items"))
+    searched = F.when(within_sum_cap(settings) & F.col("n_exact").isNull(), F.col("n_items"))
     fits = F.abs(_total(settings) - F.col("cents")) <= settings.tolerance_cents
     return (
         _with_prices(queries)
@@ -173,9 +176,9 @@ def with_sum_hits(queries: DataFrame, settings: MatchSettings) -> DataFrame:
 def resolve_amounts(
     queries: DataFrame,
     items: DataFrame,
+    profiles: DataFrame,
     settings: MatchSettings = MatchSettings(),
     hot_query_clients=(),
-    hot_item_clients=(),
     hot_item_levels=(),
 ) -> DataFrame:
     """Distinct (client_norm, cents) -> n_items, n_exact, exact, n_sums, first_sum.
@@ -183,7 +186,8 @@ def resolve_amounts(
     ``n_items`` is null for a client without open invoices, ``n_sums`` when no sum fits or an
     invoice fits exactly.
     """
-    profiles = client_profiles(items, settings, hot_item_clients)
-    known = lookup(queries, profiles, ["client_norm"], "left", hot_query_clients, ["cents"])
+    # Longer lists than the sum search reads are left behind before the shuffles.
+    small = profiles.withColumn("items", F.when(within_sum_cap(settings), F.col("items")))
+    known = lookup(queries, small, ["client_norm"], "left", hot_query_clients, ["cents"])
     levels = price_levels(items, settings, hot_item_levels)
     return with_sum_hits(known.join(exact_hits(queries, levels, settings), _KEY, "left"), settings)

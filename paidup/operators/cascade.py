@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paidup.config import NOTES, MatchSettings
 from paidup.functions.fingerprint import payment_fingerprint
 from paidup.functions.money import cents
-from paidup.operators.amounts import priced_items, resolve_amounts
+from paidup.operators.amounts import client_profiles, priced_items, resolve_amounts
 from paidup.operators.classify import customer_payments
 from paidup.operators.decisions import decision_outcomes
 from paidup.operators.docref import quoted_documents
@@ -154,8 +154,9 @@ def match_payments(
     )
 
     hot_named_clients, hot_amounts = hot_keys(named, ["client_norm"], ["client_norm", "cents"])
+    profiles = ws.stage(client_profiles(items, settings, hot_clients), "profiles")
     queries = named.filter(F.col("client").isNotNull()).select("client_norm", "cents").distinct()
-    answers = resolve_amounts(queries, items, settings, hot_named_clients, hot_clients, hot_levels)
+    answers = resolve_amounts(queries, items, profiles, settings, hot_named_clients, hot_levels)
     answered = ws.stage(
         _amount_verdicts(lookup(named, answers, ["client_norm", "cents"], "left", hot_amounts, ["payment_id"])),
         "answered",
@@ -163,7 +164,16 @@ def match_payments(
 
     resolved = answered.filter(F.col("match_state").isNotNull())
     rest = answered.filter(F.col("match_state").isNull())
-    quoted = quoted_documents(rest.withColumn("client_norm", F.col("client")), items, ws, settings, hot_documents)
+    quoted = quoted_documents(
+        rest.withColumn("client_norm", F.col("client")),
+        items,
+        profiles,
+        ws,
+        settings,
+        hot_named_clients,
+        hot_clients,
+        hot_documents,
+    )
     is_quoted = F.col("n_quoted").isNotNull()
     rest = rest.join(quoted, "payment_id", "left").select(
         "payment_id",

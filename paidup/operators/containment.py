@@ -4,11 +4,13 @@ A containment predicate has no equi key, so a plain join would compare every tex
 needle. Instead each text lists the substrings of itself that could be a needle, and those meet the
 needles in an ordinary equi-join that is exact.
 
-To keep the list of substrings short, needles are summarised by a *signature*: for the hash bucket
-of their first characters, a 64-bit mask of the needle lengths found there. The signature table has
-at most ``len(_PREFIXES) * _BUCKETS`` rows whatever the size of the needle table, which is what makes
-broadcasting it safe. A substring is listed only when its prefix bucket has a needle of its length.
-Buckets may collide; the final join decides, so collisions cost time and never change results.
+To keep the list of substrings short, the needles are summarised twice. The *signature* has, for the
+hash bucket of the first characters, a 64-bit mask of the needle lengths found there: a position of
+a text is followed up only for those lengths. The *bitmap* has one bit per hash of a whole needle, 64
+to a row: a substring is listed only when its bit is set. Both tables have a largest number of rows
+whatever the number of needles (``len(_PREFIXES) * _BUCKETS`` and ``_WORDS``), which is what makes
+broadcasting them safe. Hashes may collide; the final join decides, so collisions cost time and
+never change results.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 # own prefix, so needles of one to three characters take the same path.
 _PREFIXES = {1: 1, 2: 2, 3: 3, 4: 7, 8: None}
 _BUCKETS = 1 << 18
+_WORDS = 1 << 20
 
 
 def prefix_length(needle: Column) -> Column:
@@ -45,6 +48,22 @@ def _signatures(needles: DataFrame, needle: str) -> DataFrame:
     )
 
 
+def _word(needle: Column) -> Column:
+    return F.pmod(F.shiftright(F.xxhash64(needle), 6), F.lit(_WORDS))
+
+
+def _bit(needle: Column) -> Column:
+    return F.pmod(F.xxhash64(needle), F.lit(64)).cast("int")
+
+
+def _bitmap(needles: DataFrame, needle: str) -> DataFrame:
+    return (
+        needles.select(_word(F.col(needle)).alias("word"), _bit(F.col(needle)).alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    )
+
+
 def prefix_lengths_present(needles: DataFrame, needle: str) -> list[int]:
     """The (at most five) prefix classes in use, so that texts probe no others."""
     rows = needles.select(prefix_length(F.col(needle)).alias("p")).distinct().collect()
@@ -56,8 +75,8 @@ def candidate_substrings(
 ) -> DataFrame:
     """``keys`` and every substring of ``text`` that may equal a needle, as column ``needle``.
 
-    Runs map-side: positions of a text are exploded, probed against the broadcast signatures and
-    cut to the lengths that the signature allows.
+    Runs map-side: positions of a text are exploded, probed against the broadcast signatures, cut
+    to the lengths that the signature allows, and the substrings probed against the bitmap.
     """
     present = prefix_lengths_present(needles, needle)
     if not present:
@@ -79,8 +98,14 @@ def candidate_substrings(
         F.sequence(F.col("plen"), longest),
         lambda n: F.getbit(F.col("lengths"), ((n - F.col("plen")) % 64).cast("int")) == 1,
     )
-    return (
+    listed = (
         probes.join(F.broadcast(_signatures(needles, needle)), "bucket")
         .select(*keys, "__text", "pos", F.explode(lengths).alias("len"))
         .select(*keys, F.substring("__text", F.col("pos"), F.col("len")).alias(needle))
     )
+    return (
+        listed.withColumn("word", _word(F.col(needle)))
+        .join(F.broadcast(_bitmap(needles, needle)), "word")
+        .filter(F.getbit(F.col("bits"), _bit(F.col(needle))) == 1)
+        .select(*keys, needle)
+    )

@@ -14,21 +14,47 @@ _KEY = ["client_norm", "document"]
 
 
 def quoted_documents(
-    payments: DataFrame, items: DataFrame, ws: Workspace, settings: MatchSettings = MatchSettings(), hot_documents=()
+    payments: DataFrame,
+    items: DataFrame,
+    profiles: DataFrame,
+    ws: Workspace,
+    settings: MatchSettings = MatchSettings(),
+    hot_payment_clients=(),
+    hot_item_clients=(),
+    hot_documents=(),
 ) -> DataFrame:
     """payment_id -> ``n_quoted`` invoices of its client whose number occurs in the text, ``quoted``.
 
-    ``payments``: payment_id, client_norm, description. Substrings of the text meet the documents
-    of the client in an equi-join; a payment is never compared with all invoices of its client.
-    ``quoted`` lists every invoice in item order; past the inline limit (only possible when one
-    number is repeated that often) it lists each number once.
+    ``payments``: payment_id, client_norm, description. The few invoices of a small client travel
+    with the payment and are tried one by one. For larger clients the substrings of the text meet the
+    client's documents in an equi-join, so a payment is never compared with all of them. ``quoted``
+    is in item order; past the inline limit (only possible when one number is repeated that often)
+    it has each number once.
     """
+    texts = payments.select("payment_id", "client_norm", F.coalesce("description", F.lit("")).alias("description"))
+    known = lookup(texts, profiles, ["client_norm"], "inner", hot_payment_clients, ["payment_id"])
+    hits = F.filter("items", lambda i: (i["document"] != "") & F.contains(F.col("description"), i["document"]))
+    small = (
+        known.filter(F.col("items").isNotNull())
+        .select("payment_id", F.transform(hits, lambda i: i["document"]).alias("quoted"))
+        .filter(F.size("quoted") > 0)
+        .select("payment_id", F.size("quoted").cast("long").alias("n_quoted"), "quoted")
+    )
+    large = known.filter(F.col("items").isNull()).select("payment_id", "client_norm", "description")
+    many = profiles.filter(F.col("items").isNull()).select("client_norm")
+    documents = lookup(items, many, ["client_norm"], "left_semi", hot_item_clients, ["item_ord"])
+    return small.unionByName(_quoted_of_many(large, documents, ws, settings, hot_documents))
+
+
+def _quoted_of_many(
+    texts: DataFrame, items: DataFrame, ws: Workspace, settings: MatchSettings, hot_documents
+) -> DataFrame:
+    """The same by an equi-join of text substrings with the documents of the client."""
     documents = items.filter(F.col("document") != "").select(*_KEY, "item_ord")
     documents = grouped_lists(
         documents, _KEY, "item_ord", F.col("item_ord"), settings.inline_documents, hot_documents
     )
     documents = ws.stage(documents, "documents")
-    texts = payments.select("payment_id", "client_norm", F.coalesce("description", F.lit("")).alias("description"))
     found = candidate_substrings(texts, ["payment_id", "client_norm"], "description", documents, "document")
     found = ws.stage(found, "quoted")
     (hot,) = hot_keys(found, _KEY)

@@ -61,10 +61,11 @@ def random_case(seed):
     return payments, receivables, alias_rows, decision_rows, seen
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_random_inputs_match_the_plain_loop(spark, seed):
+@pytest.mark.parametrize("seed, listed", [(1, 64), (2, 15), (3, 64)])
+def test_random_inputs_match_the_plain_loop(spark, seed, listed):
     payments, receivables, alias_rows, decision_rows, seen = random_case(seed)
-    got = h.outcomes(run(spark, payments, receivables, alias_rows, decision_rows, seen))
+    settings = MatchSettings(listed_items=listed)
+    got = h.outcomes(run(spark, payments, receivables, alias_rows, decision_rows, seen, settings))
     want = h.plain_cascade(payments, receivables, alias_rows, decision_rows, seen)
     assert got == want
     assert len({m for _, m, _, _, _ in want}) >= 8
@@ -154,9 +155,11 @@ def test_lists_past_the_inline_limit_stay_whole_in_long_form(spark):
     assert [r.document for r in found] == [f"D{i}" for i in range(9)] + ["E"]
 
 
-def test_repeated_numbers_are_all_quoted(spark):
+@pytest.mark.parametrize("extra", [0, 70])
+def test_repeated_numbers_are_all_quoted(spark, extra):
     receivables = [("ACERO", "FV-1", 100, 1), ("ACERO", "FV-2", 200, 1), ("ACERO", "FV-1", 700, 1)]
-    got = h.outcomes(run(spark, [(5555, "ACERO FV-1 FV-2"), (5556, "ACERO fv-1")], receivables))
+    receivables += [("ACERO", f"ZZ-{i}", 10, 1) for i in range(extra)]
+    got = h.outcomes(run(spark, [(5555, "ACERO FV-1 FV-2 FV-1"), (5556, "ACERO fv-1")], receivables))
     assert got[0][4] == ["FV-1", "FV-2", "FV-1"]
     assert got[1][1] == "ninguno"
 

@@ -68,5 +68,5 @@ def test_clients_beyond_the_cap_have_no_items(spark):
     assert len(hot) == 1
     for keys in ([], hot):
         rows = {r.client_norm: r for r in client_profiles(items, MatchSettings(), keys).collect()}
-        assert rows["BIG"].n_items == 16 and rows["BIG"].items is None
+        assert rows["BIG"].n_items == 65 and rows["BIG"].items is None
         assert [len(rows[f"C{i}"].items) for i in range(4)] == [5, 5, 5, 5]
