@@ -81,11 +81,13 @@ def reversals(
     last = last_decisions(decisions).withColumn("last_action", normal(F.col("action")))
     state = F.upper(F.coalesce("decision_state", F.lit(ACTIVE)))
     ok = F.col("last_action").isNotNull() & (state == ACTIVE) & (F.col("last_action") != "AGREGAR_ALIAS")
-    asked = requests.select(
-        "fingerprint",
-        F.col("comment").alias("reason") if "comment" in requests.columns else F.lit("").alias("reason"),
-        (F.col("user") if "user" in requests.columns else F.lit("analista")).alias("requested_by"),
-    ).dropDuplicates(["fingerprint"])
+    reason = F.col("comment") if "comment" in requests.columns else F.lit("")
+    by = F.col("user") if "user" in requests.columns else F.lit("analista")
+    asked = (
+        requests.groupBy("fingerprint")
+        .agg(F.min(F.struct(reason.alias("reason"), by.alias("requested_by"))).alias("request"))
+        .select("fingerprint", "request.*")
+    )
     rows = asked.join(last, "fingerprint", "left").withColumn("accepted", F.coalesce(ok, F.lit(False)))
     default = F.concat(F.lit("Reversión de decisión previa ("), F.col("last_action"), F.lit(")."))
     rows = rows.select(
