@@ -16,26 +16,42 @@ from pyspark.sql import functions as F
 from paidup.config import SkewSettings
 
 _SALT = "__salt"
+_MERGERS = 256
 
 
 def _key_hash(columns: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def hot_keys(
     df: DataFrame, *keys: Sequence[str], settings: SkewSettings = SkewSettings()
 ) -> list[list[int]]:
     """For each key (a list of columns) the hashes of the values that hold very many rows.
 
-    One aggregation answers all keys. At most 100 hashes per key come back to the driver.
+    One pass answers all keys. Sketches merge in two levels, so that the last task reads a fixed
+    number of them; at most ``settings.most_keys`` hashes per key come back to the driver.
     """
-    hashed = df.select(*[_key_hash(key).alias(f"k{i}") for i, key in enumerate(keys)])
-    row = hashed.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.expr(f"approx_top_k(k{i}, 100, {settings.tracked})").alias(f"t{i}") for i in range(len(keys))],
-    ).first()
-    floor = max(settings.min_rows, settings.min_share * row["n"])
-    return [[entry["item"] for entry in row[f"t{i}"] or () if entry["count"] >= floor] for i in range(len(keys))]
+    names = [f"k{i}" for i in range(len(keys))]
+    hashed = df.select(*[_key_hash(key).alias(name) for name, key in zip(names, keys)])
+    row = (
+        hashed.groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGERS)).alias("merger"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.expr(f"approx_top_k_accumulate({k}, {settings.tracked})").alias(k) for k in names],
+        )
+        .groupBy(F.pmod("merger", F.lit(1)))  # no row at all for an empty table
+        .agg(F.sum("n").alias("n"), *[F.expr(f"approx_top_k_combine({k}, {settings.tracked})").alias(k) for k in names])
+        .select("n", *[F.expr(f"approx_top_k_estimate({k}, {settings.most_keys})").alias(k) for k in names])
+        .first()
+    )
+    if row is None:
+        return [[] for _ in keys]
+    floor = max(settings.min_rows, row["n"] * max(settings.min_share, 1 / _partitions(df)))
+    return [[entry["item"] for entry in row[k] or () if entry["count"] >= floor] for k in names]
 
 
 def lookup(
@@ -55,7 +71,7 @@ def lookup(
     if not hot:
         return fact.join(dim, on, how)
     is_hot = _key_hash(on).isin(list(hot))
-    salts = settings.salts
+    salts = settings.salts or _partitions(fact)
     salted_fact = fact.withColumn(
         _SALT, F.when(is_hot, F.pmod(_key_hash(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     )

@@ -32,6 +32,10 @@ def test_salted_lookup_spreads_the_hot_key(spark, fact):
     assert "__salt" in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_no_hot_keys_in_an_empty_table(spark):
+    assert hot_keys(spark.createDataFrame([], "a string, b long"), ["a"], ["a", "b"]) == [[], []]
+
+
 def test_grouped_lists(spark, fact):
     rows = {r.k: r for r in grouped_lists(fact, ["k"], "id", F.col("id"), 8).collect()}
     want = {}
