@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paidup.llm.decontaminate import without_contaminated
 from paidup.llm.language import with_known_language
+from paidup.llm.near_copies import one_of_each
+from paidup.llm.packing import packed_corpus
 from paidup.workspace import Workspace
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
     ("language_id", with_known_language),
+    ("near_dedup", one_of_each),
     ("benchmark_decontamination", without_contaminated),
+    ("packing", packed_corpus),
 ]
 
 #: SQL has neither the learned model nor the packing; the tests hold run() against a plain version.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paidup.llm.decontaminate import op1_decontaminate
 from paidup.llm.language import op7_language
 from paidup.llm.licenses import op6_licenses
+from paidup.llm.near_copies import op8_near_copies
 from paidup.llm.packing import op10_packing
 from paidup.llm.token_files import op4_token_files
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_files": op4_token_files,
         "op6_licenses": op6_licenses,
         "op7_language": op7_language,
+        "op8_near_copies": op8_near_copies,
         "op10_packing": op10_packing,
     }
 
