@@ -25,7 +25,7 @@ from paidup.llm.session import prepared
 from paidup.llm.text import LOWER, blocks, utf8
 
 #: Most labelled texts of a language that the model is fitted on.
-PER_LANGUAGE = 800
+PER_LANGUAGE = 400
 #: Buckets of the hash, width of an embedding.
 BUCKETS, WIDTH = 1 << 16, 16
 EPOCHS, BATCH, RATE = 6, 16, 2.0
@@ -70,7 +70,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 buckets.append(bucket.astype(np.int32))
                 weights.append((count / max(len(own), 1)).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))],
+                [
+                    batch.column("lang"),
+                    pa.array([x.tobytes() for x in buckets], pa.binary()),
+                    pa.array([x.tobytes() for x in weights], pa.binary()),
+                ],
                 ["lang", "buckets", "weights"],
             )
 
@@ -105,8 +109,8 @@ def trained(rows: list) -> Model | None:
         return None
     random = np.random.default_rng(11)
     label = np.array([languages.index(r.lang) for r in rows])
-    buckets = [np.asarray(r.buckets, np.int64) for r in rows]
-    weights = [np.asarray(r.weights, np.float64) for r in rows]
+    buckets = [np.frombuffer(r.buckets, np.int32) for r in rows]
+    weights = [np.frombuffer(r.weights, np.float32) for r in rows]
     apart = random.permutation(len(rows))
     held, own = apart[: len(rows) // 5], apart[len(rows) // 5 :]
     embedding = random.normal(0, 0.1, (BUCKETS, WIDTH))
@@ -163,8 +167,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     chosen = own.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     ranked = chosen.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("__rank"))
     counted = ranked.filter(F.col("__rank") <= per_language).select("lang", "text")
-    rows = counted.mapInArrow(_counts, "lang string, buckets array<int>, weights array<float>").collect()
-    return trained(sorted(rows, key=lambda r: (r.lang, len(r.buckets), r.buckets, r.weights)))
+    rows = counted.mapInArrow(_counts, "lang string, buckets binary, weights binary").collect()
+    return trained(sorted(rows, key=lambda r: (r.lang, bytes(r.buckets), bytes(r.weights))))
 
 
 def _letterless(batch: pa.RecordBatch) -> np.ndarray:

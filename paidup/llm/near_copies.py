@@ -7,13 +7,15 @@ class, of which one stands for all. Inverted lists of the retained values genera
   fewer than k shingles, a share of all), so they meet in the list of one of the ``k - SHARED + 1``
   values of either that are rarest; only these postings are kept, and never the hottest lists.
 * A list does not emit its pairs. Its documents are compared with one pivot, those that link become
-  one component, and the next rounds compare only across the components of a list. After ``ROUNDS``
-  pivots whatever is left is compared whole: all documents outside the list's largest component
-  with all documents of other components.
+  one component, and the next rounds compare only across the components of a list.
+* After ``ROUNDS`` pivots every document that is left goes to its longest open list once, its home.
+  There the documents outside the largest component are compared with all, block by block, by exact
+  products of incidence matrices, and only a spanning forest of the links is returned. What remains
+  are pairs of documents of different homes; these are tested one by one.
 * The bottom-k sketch of the union estimates the similarity of a pair and drops the hopeless ones;
   the rest is decided by the exact Jaccard similarity of the full sets.
 
-``SHARED`` of 64 values lies seven standard deviations below what a pair at the threshold shares.
+``SHARED`` of 64 values lies more than six standard deviations below what a pair at the threshold shares.
 Shingles are compared by 64-bit hashes.
 
 Null or wordless texts have an empty set and are linked with nothing. Rows with one doc_id are one
@@ -25,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +38,9 @@ from paidup.llm.text import GRAPHIC, Words, blocks, mixed
 from paidup.workspace import Workspace
 
 #: Values of a sketch, and how many two sketches share at least if their documents are to be linked.
-K, SHARED = 64, 34
-ROUNDS = 3
+K, SHARED = 64, 36
+#: Pivots that a list is tried with, and documents of either side that one task compares.
+ROUNDS, COMPARED = 3, 512
 
 _SHINGLE = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 _SHORT = (np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F))
@@ -122,6 +126,52 @@ def _linked(percent: int):
     return run
 
 
+def _compared(percent: int):
+    """Exact Jaccard similarities of two blocks of documents, from products of their incidence matrices."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[~rows["column"]], rows[rows["column"]]
+        sets = [[np.frombuffer(s, np.int64) for s in side["set"]] for side in (x, y)]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        flat = [np.concatenate(side) for side in sets]
+        owner = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in sets]
+        shared = np.intersect1d(*flat)
+        column = [np.searchsorted(shared, f) for f in flat]
+        both = np.zeros((len(x), len(y)), np.float32)
+        for k in range(2):
+            inside = column[k] < len(shared)
+            inside[inside] = shared[column[k][inside]] == flat[k][inside]
+            column[k], owner[k] = column[k][inside], owner[k][inside]
+        for at in range(0, len(shared), 4096):
+            parts = []
+            for k, side in enumerate((x, y)):
+                now = (column[k] >= at) & (column[k] < at + 4096)
+                part = np.zeros((len(side), min(4096, len(shared) - at)), np.float32)
+                part[owner[k][now], column[k][now] - at] = 1
+                parts.append(part)
+            both += parts[0] @ parts[1].T
+        n = [np.array([len(s) for s in side]) for side in sets]
+        met = np.rint(both).astype(np.int64)
+        hit = 100 * met >= percent * (n[0][:, None] + n[1][None, :] - met)
+        hit &= x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
+        links, root = [], {}
+
+        def top(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                c = root[c]
+            return c
+
+        for i, j in np.argwhere(hit).tolist():
+            a, b = top(x["component"].iat[i]), top(y["component"].iat[j])
+            if a != b:
+                root[a] = b
+                links.append((x["rep"].iat[i], y["rep"].iat[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _with_both(pairs: DataFrame, table: DataFrame, key: str, column: str) -> DataFrame:
     """Adds what the table has for either side of each pair."""
     for side in ("a", "b"):
@@ -174,46 +224,93 @@ class NearCopies:
     def links(self) -> DataFrame:
         """(node, component) of all representatives that are linked with another."""
         workspace = self.workspace
-        lists = workspace.stage(self.postings(), "postings")
-        involved = lists.select(F.col("rep").alias("doc_id")).distinct()
-        self.sets = workspace.stage(self.docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set binary"), "sets")
-        found = tested = labels = None
-        for round_ in range(ROUNDS + 1):
-            if labels is None:
-                now = lists.withColumn("component", F.col("rep"))
-            else:
-                names = labels.select(F.col("node").alias("rep"), "component")
-                now = lists.join(names, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-                several = now.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-                now = workspace.stage(now.join(several.select("value"), "value", "left_semi"), f"open{round_}")
-            if round_ < ROUNDS:
-                order = F.col("rep") if not round_ else F.xxhash64("rep", F.lit(round_))
-                pivots = now.groupBy("value").agg(F.min_by(F.struct("rep", "n", "component"), order).alias("pivot"))
-                pairs = now.join(pivots, "value").filter("component <> pivot.component and rep <> pivot.rep")
-                pairs = pairs.select("rep", "n", F.col("pivot.rep").alias("other"), F.col("pivot.n").alias("other_n"))
-            else:
-                sizes = now.groupBy("value", "component").agg(F.count("*").alias("c"))
-                main = sizes.groupBy("value").agg(F.max_by("component", "c").alias("main"))
-                minor = now.join(main, "value").filter("component <> main")
-                other = now.select("value", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "component")])
-                pairs = minor.join(other, "value").filter("component <> o_component")
-                pairs = pairs.select("rep", "n", F.col("o_rep").alias("other"), F.col("o_n").alias("other_n"))
-            close = pairs.filter(
-                F.col("n") * 100 >= F.col("other_n") * self.percent
-            ).filter(F.col("other_n") * 100 >= F.col("n") * self.percent)
-            fresh = close.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-            if tested is not None:
-                fresh = fresh.join(tested, ["a", "b"], "left_anti")
-            fresh = workspace.stage(fresh, f"pairs{round_}")
-            tested = fresh if tested is None else tested.unionAll(fresh)
-            if fresh.isEmpty():
-                continue
-            more = self.verified(fresh)
-            found = workspace.stage(more if found is None else found.unionAll(more), f"found{round_}")
-            labels = components(workspace, found)
-        if labels is None:
-            return lists.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
-        return labels
+        self.lists = workspace.stage(self.postings(), "postings")
+        involved = self.lists.select(F.col("rep").alias("doc_id")).distinct()
+        sets = self.docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set binary")
+        self.sets = workspace.stage(sets, "sets")
+        self.found = self.labels = self.tested = None
+        for round_ in range(ROUNDS):
+            now = self._open(f"open{round_}")
+            order = F.col("rep") if not round_ else F.xxhash64("rep", F.lit(round_))
+            pivots = now.groupBy("value").agg(F.min_by(F.struct("rep", "n", "component"), order).alias("pivot"))
+            pairs = now.join(pivots, "value").filter("component <> pivot.component")
+            self._test(pairs.select("rep", "n", F.col("pivot.rep").alias("other"), F.col("pivot.n").alias("other_n")))
+        now = self._open("open-homes")
+        homes = workspace.stage(self._homes(now), "homes")
+        self._learn(self._within_homes(homes))
+        now = self._open("open-rest").join(homes.select("rep", "home"), "rep")
+        largest = now.groupBy("value", "component").agg(F.count("*").alias("c"))
+        largest = largest.groupBy("value").agg(F.max_by("component", "c").alias("main"))
+        minor = now.join(largest, "value").filter("component <> main")
+        other = now.select("value", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "component", "home")])
+        pairs = minor.join(other, "value").filter("component <> o_component and home <> o_home")
+        self._test(pairs.select("rep", "n", F.col("o_rep").alias("other"), F.col("o_n").alias("other_n")))
+        if self.labels is None:
+            return self.lists.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+        return self.labels
+
+    def _open(self, name: str) -> DataFrame:
+        """The lists that hold more than one component."""
+        if self.labels is None:
+            return self.lists.withColumn("component", F.col("rep"))
+        names = self.labels.select(F.col("node").alias("rep"), "component")
+        now = self.lists.join(names, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        several = now.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+        return self.workspace.stage(now.join(several.select("value"), "value", "left_semi"), name)
+
+    def _test(self, pairs: DataFrame) -> None:
+        """Verifies the pairs that were not tested before."""
+        close = pairs.filter(F.col("n") * 100 >= F.col("other_n") * self.percent)
+        close = close.filter(F.col("other_n") * 100 >= F.col("n") * self.percent).filter("rep <> other")
+        fresh = close.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        if self.tested is not None:
+            fresh = fresh.join(self.tested, ["a", "b"], "left_anti")
+        fresh = self.workspace.stage(fresh, "pairs")
+        self.tested = fresh if self.tested is None else self.tested.unionAll(fresh)
+        if not fresh.isEmpty():
+            self._learn(self.verified(fresh))
+
+    def _learn(self, links: DataFrame) -> None:
+        self.found = self.workspace.stage(links if self.found is None else self.found.unionAll(links), "found")
+        self.labels = components(self.workspace, self.found)
+
+    def _homes(self, now: DataFrame) -> DataFrame:
+        """(rep, n, component, home): the longest open list of each document."""
+        sizes = now.groupBy("value").agg(F.count("*").alias("size"))
+        return now.join(sizes, "value").groupBy("rep").agg(
+            F.max("n").alias("n"),
+            F.max("component").alias("component"),
+            F.max(F.struct("size", "value")).getField("value").alias("home"),
+        )
+
+    def _within_homes(self, homes: DataFrame) -> DataFrame:
+        """All links between the components of a home, compared block by block; only a forest is returned."""
+        sizes = homes.groupBy("home", "component").agg(F.count("*").alias("c"))
+        about = sizes.groupBy("home").agg(
+            F.max_by("component", F.struct("c", "component")).alias("main"),
+            F.sum("c").alias("all"),
+            (F.sum("c") - F.max("c")).alias("few"),
+        )
+        parts = about.filter("few > 0").select(
+            "home",
+            "main",
+            F.ceil(F.col("few") / COMPARED).cast("long").alias("rows"),
+            F.ceil(F.col("all") / COMPARED).cast("long").alias("columns"),
+        )
+        sets = self.sets.select(F.col("doc_id").alias("rep"), "set")
+        own = homes.join(parts, "home").join(sets, "rep")
+        at = F.xxhash64("rep")
+        across = own.select(
+            "home", "rep", "component", "set", F.lit(False).alias("column"),
+            F.pmod(at, F.col("rows")).alias("i"),
+            F.explode(F.when(F.col("component") != F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))).alias("j"),
+        )
+        down = own.select(
+            "home", "rep", "component", "set", F.lit(True).alias("column"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"),
+            F.pmod(at, F.col("columns")).alias("j"),
+        )
+        return across.unionAll(down).groupBy("home", "i", "j").applyInPandas(_compared(self.percent), "a long, b long")
 
     def result(self) -> DataFrame:
         self.classes()

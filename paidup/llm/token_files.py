@@ -205,6 +205,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op4_token_files(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = write_token_files(docs, tokenizer_path("byte_bpe_50k.json"), end=2)
-    return files.select("path", "start").repartition("path").mapInArrow(
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number that is asked for is not coalesced
+    return files.select("path", "start").repartition(tasks, "path").mapInArrow(
         _read_back, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
