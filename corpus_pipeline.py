@@ -8,12 +8,14 @@ from paidup.llm.decontaminate import without_contaminated
 from paidup.llm.language import with_known_language
 from paidup.llm.near_copies import one_of_each
 from paidup.llm.packing import packed_corpus
+from paidup.llm.repeats import without_repeats
 from paidup.workspace import Workspace
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
     ("language_id", with_known_language),
     ("near_dedup", one_of_each),
+    ("repeated_passages", without_repeats),
     ("benchmark_decontamination", without_contaminated),
     ("packing", packed_corpus),
 ]
