@@ -8,10 +8,12 @@ class, of which one stands for all. Inverted lists of the retained values genera
   values of either that are rarest; only these postings are kept, and never the hottest lists.
 * A list does not emit its pairs. Its documents are compared with one pivot, those that link become
   one component, and the next rounds compare only across the components of a list.
-* After ``ROUNDS`` pivots every document that is left goes to its longest open list once, its home.
-  There the documents outside the largest component are compared with all, block by block, by exact
-  products of incidence matrices, and only a spanning forest of the links is returned. What remains
-  are pairs of documents of different homes; these are tested one by one.
+* After ``ROUNDS`` pivots the pairs that are left in lists of up to ``SHORT`` documents are tested one by
+  one. Of the longer lists, the longest open one of a document is its home. Documents outside the
+  largest component of their home are compared with all documents of it, block by block, by exact
+  products of incidence matrices, and only a spanning forest of the links is returned. The other
+  lists are gone through in the same way by sketches; only pairs that no home has compared and
+  whose sketches share enough come out, to be verified one by one.
 * The bottom-k sketch of the union estimates the similarity of a pair and drops the hopeless ones;
   the rest is decided by the exact Jaccard similarity of the full sets.
 
@@ -41,6 +43,8 @@ from paidup.workspace import Workspace
 K, SHARED = 64, 36
 #: Pivots that a list is tried with, and documents of either side that one task compares.
 ROUNDS, COMPARED = 3, 512
+#: Longest list whose pairs are listed, at most this many for a document.
+SHORT = 32
 
 _SHINGLE = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 _SHORT = (np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F))
@@ -126,35 +130,42 @@ def _linked(percent: int):
     return run
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each pair of sets shares, by products of their incidence matrices."""
+    flat = [np.concatenate(side) for side in (x, y)]
+    owner = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (x, y)]
+    common = np.intersect1d(*flat)
+    both = np.zeros((len(x), len(y)), np.float32)
+    columns = []
+    for k in range(2):
+        column = np.searchsorted(common, flat[k])
+        inside = column < len(common)
+        inside[inside] = common[column[inside]] == flat[k][inside]
+        order = np.argsort(column[inside], kind="stable")
+        columns.append((column[inside][order], owner[k][inside][order]))
+    for at in range(0, len(common), 4096):
+        parts = []
+        for (column, own), side in zip(columns, (x, y)):
+            a, b = np.searchsorted(column, [at, at + 4096])
+            part = np.zeros((len(side), min(4096, len(common) - at)), np.float32)
+            part[own[a:b], column[a:b] - at] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return np.rint(both).astype(np.int64)
+
+
 def _compared(percent: int):
-    """Exact Jaccard similarities of two blocks of documents, from products of their incidence matrices."""
+    """Exact Jaccard similarities of two blocks of documents; a spanning forest of the links between components."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, y = rows[~rows["column"]], rows[rows["column"]]
-        sets = [[np.frombuffer(s, np.int64) for s in side["set"]] for side in (x, y)]
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        flat = [np.concatenate(side) for side in sets]
-        owner = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in sets]
-        shared = np.intersect1d(*flat)
-        column = [np.searchsorted(shared, f) for f in flat]
-        both = np.zeros((len(x), len(y)), np.float32)
-        for k in range(2):
-            inside = column[k] < len(shared)
-            inside[inside] = shared[column[k][inside]] == flat[k][inside]
-            column[k], owner[k] = column[k][inside], owner[k][inside]
-        for at in range(0, len(shared), 4096):
-            parts = []
-            for k, side in enumerate((x, y)):
-                now = (column[k] >= at) & (column[k] < at + 4096)
-                part = np.zeros((len(side), min(4096, len(shared) - at)), np.float32)
-                part[owner[k][now], column[k][now] - at] = 1
-                parts.append(part)
-            both += parts[0] @ parts[1].T
-        n = [np.array([len(s) for s in side]) for side in sets]
-        met = np.rint(both).astype(np.int64)
-        hit = 100 * met >= percent * (n[0][:, None] + n[1][None, :] - met)
-        hit &= x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
+        met = _shared(*([np.frombuffer(s, np.int64) for s in side["values"]] for side in (x, y)))
+        n, m = (side["n"].to_numpy() for side in (x, y))
+        hit = 100 * met >= percent * (n[:, None] + m[None, :] - met)
+        own, other = x["component"].to_numpy(), y["component"].to_numpy()
+        hit &= own[:, None] != other[None, :]
         links, root = [], {}
 
         def top(c: int) -> int:
@@ -163,7 +174,7 @@ def _compared(percent: int):
             return c
 
         for i, j in np.argwhere(hit).tolist():
-            a, b = top(x["component"].iat[i]), top(y["component"].iat[j])
+            a, b = top(own[i]), top(other[j])
             if a != b:
                 root[a] = b
                 links.append((x["rep"].iat[i], y["rep"].iat[j]))
@@ -172,6 +183,31 @@ def _compared(percent: int):
     return run
 
 
+def _likely(percent: int, shared: int):
+    """Pairs of two blocks that no home has compared and whose sketches share enough."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[~rows["column"]], rows[rows["column"]]
+        out = ["rep", "n", "other", "other_n"]
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: [] for c in out}, dtype="int64")
+        n, m = (side["n"].to_numpy() for side in (x, y))
+        least = np.minimum(np.minimum(-(-n[:, None] * percent // 100), -(-m[None, :] * percent // 100)), shared)
+        hit = _shared(*([np.asarray(s, np.int64) for s in side["values"]] for side in (x, y))) >= least
+        hit &= (n[:, None] * 100 >= m[None, :] * percent) & (m[None, :] * 100 >= n[:, None] * percent)
+        hit &= x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
+        lists = [[set(v) for v in side["lists"]] for side in (x, y)]
+        home, asked = ([side[c].tolist() for side in (x, y)] for c in ("home", "asked"))
+        pairs = [
+            (x["rep"].iat[i], n[i], y["rep"].iat[j], m[j])
+            for i, j in np.argwhere(hit).tolist()
+            if not (asked[0][i] and home[0][i] in lists[1][j]) and not (asked[1][j] and home[1][j] in lists[0][i])
+        ]
+        return pd.DataFrame(pairs, columns=out, dtype="int64")
+
+    return run
+
+
 def _with_both(pairs: DataFrame, table: DataFrame, key: str, column: str) -> DataFrame:
     """Adds what the table has for either side of each pair."""
     for side in ("a", "b"):
@@ -235,16 +271,16 @@ class NearCopies:
             pivots = now.groupBy("value").agg(F.min_by(F.struct("rep", "n", "component"), order).alias("pivot"))
             pairs = now.join(pivots, "value").filter("component <> pivot.component")
             self._test(pairs.select("rep", "n", F.col("pivot.rep").alias("other"), F.col("pivot.n").alias("other_n")))
-        now = self._open("open-homes")
-        homes = workspace.stage(self._homes(now), "homes")
-        self._learn(self._within_homes(homes))
-        now = self._open("open-rest").join(homes.select("rep", "home"), "rep")
-        largest = now.groupBy("value", "component").agg(F.count("*").alias("c"))
-        largest = largest.groupBy("value").agg(F.max_by("component", "c").alias("main"))
-        minor = now.join(largest, "value").filter("component <> main")
-        other = now.select("value", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "component", "home")])
-        pairs = minor.join(other, "value").filter("component <> o_component and home <> o_home")
+        now = self._of_length(self._open("open-short"), "size <= {}")
+        other = now.select("value", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "component")])
+        pairs = now.join(other, "value").filter("component <> o_component and rep < o_rep")
         self._test(pairs.select("rep", "n", F.col("o_rep").alias("other"), F.col("o_n").alias("other_n")))
+        now = workspace.stage(self._of_length(self._open("open-homes"), "size > {}"), "long")
+        homes = workspace.stage(self._homes(now), "homes")
+        self._learn(self._blocks(now, homes, _compared(self.percent)))
+        now = workspace.stage(self._of_length(self._open("open-rest"), "size > {}"), "long")
+        left = self._blocks(now, homes, _likely(self.percent, self.shared), rest=True)
+        self._test(left.select("rep", "n", "other", "other_n"))
         if self.labels is None:
             return self.lists.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
         return self.labels
@@ -258,6 +294,11 @@ class NearCopies:
         several = now.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
         return self.workspace.stage(now.join(several.select("value"), "value", "left_semi"), name)
 
+    @staticmethod
+    def _of_length(now: DataFrame, condition: str) -> DataFrame:
+        sizes = now.groupBy("value").agg(F.count("*").alias("size")).filter(condition.format(SHORT))
+        return now.join(sizes.select("value"), "value", "left_semi")
+
     def _test(self, pairs: DataFrame) -> None:
         """Verifies the pairs that were not tested before."""
         close = pairs.filter(F.col("n") * 100 >= F.col("other_n") * self.percent)
@@ -275,42 +316,63 @@ class NearCopies:
         self.labels = components(self.workspace, self.found)
 
     def _homes(self, now: DataFrame) -> DataFrame:
-        """(rep, n, component, home): the longest open list of each document."""
+        """(rep, home, asked, lists): the longest open list of each document, whether the document is outside
+        the largest component of that list, and all its open lists."""
         sizes = now.groupBy("value").agg(F.count("*").alias("size"))
-        return now.join(sizes, "value").groupBy("rep").agg(
-            F.max("n").alias("n"),
+        homes = now.join(sizes, "value").groupBy("rep").agg(
             F.max("component").alias("component"),
             F.max(F.struct("size", "value")).getField("value").alias("home"),
+            F.collect_list("value").alias("lists"),
         )
-
-    def _within_homes(self, homes: DataFrame) -> DataFrame:
-        """All links between the components of a home, compared block by block; only a forest is returned."""
-        sizes = homes.groupBy("home", "component").agg(F.count("*").alias("c"))
-        about = sizes.groupBy("home").agg(
+        main = self._main(now).select(F.col("value").alias("home"), "main")
+        asked = F.col("component") != F.col("main")
+        return homes.join(main, "home").select("rep", "home", asked.alias("asked"), "lists")
+
+    @staticmethod
+    def _main(now: DataFrame) -> DataFrame:
+        """The largest component of each list, and the sizes of the list and of the rest."""
+        sizes = now.groupBy("value", "component").agg(F.count("*").alias("c"))
+        return sizes.groupBy("value").agg(
             F.max_by("component", F.struct("c", "component")).alias("main"),
             F.sum("c").alias("all"),
             (F.sum("c") - F.max("c")).alias("few"),
         )
-        parts = about.filter("few > 0").select(
-            "home",
+
+    def _blocks(self, now: DataFrame, homes: DataFrame, compare, rest: bool = False) -> DataFrame:
+        """Compares documents outside the largest component of a list with all of the list, block by block.
+
+        First each in its home only, by the full sets; the rest in every open list, by the sketches.
+        """
+        now = now.join(homes, "rep")
+        asks = F.col("component") != F.col("main")
+        parts = self._main(now)
+        if not rest:
+            rows = now.filter("asked and home = value").groupBy("value").agg(F.count("*").alias("few"))
+            parts = parts.drop("few").join(rows, "value")
+            asks = F.col("asked") & (F.col("home") == F.col("value"))
+        parts = parts.filter("few > 0").select(
+            "value",
             "main",
-            F.ceil(F.col("few") / COMPARED).cast("long").alias("rows"),
-            F.ceil(F.col("all") / COMPARED).cast("long").alias("columns"),
+            F.ceil(F.col("few") / COMPARED).cast("long").alias("n_rows"),
+            F.ceil(F.col("all") / COMPARED).cast("long").alias("n_columns"),
         )
-        sets = self.sets.select(F.col("doc_id").alias("rep"), "set")
-        own = homes.join(parts, "home").join(sets, "rep")
-        at = F.xxhash64("rep")
-        across = own.select(
-            "home", "rep", "component", "set", F.lit(False).alias("column"),
-            F.pmod(at, F.col("rows")).alias("i"),
-            F.explode(F.when(F.col("component") != F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))).alias("j"),
+        if rest:
+            content = self.reps.select("rep", F.col("sketch").alias("values"))
+            kept = ["value", "rep", "n", "component", "values", "home", "asked", "lists"]
+            out = "rep long, n long, other long, other_n long"
+        else:
+            content = self.sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("values"))
+            kept = ["value", "rep", "n", "component", "values"]
+            out = "a long, b long"
+        own = now.join(parts, "value").join(content, "rep")
+        at, zero = F.xxhash64("rep"), F.lit(0).cast("long")
+        across = own.filter(asks).select(
+            *kept, F.lit(False).alias("column"), F.pmod(at, F.col("n_rows")).alias("i"), F.explode(F.sequence(zero, F.col("n_columns") - 1)).alias("j")
         )
         down = own.select(
-            "home", "rep", "component", "set", F.lit(True).alias("column"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"),
-            F.pmod(at, F.col("columns")).alias("j"),
+            *kept, F.lit(True).alias("column"), F.explode(F.sequence(zero, F.col("n_rows") - 1)).alias("i"), F.pmod(at, F.col("n_columns")).alias("j")
         )
-        return across.unionAll(down).groupBy("home", "i", "j").applyInPandas(_compared(self.percent), "a long, b long")
+        return across.unionAll(down).groupBy("value", "i", "j").applyInPandas(compare, out)
 
     def result(self) -> DataFrame:
         self.classes()
