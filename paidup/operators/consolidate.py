@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paidup.config import EXCEPTION_STATES
 from paidup.functions.labels import origin_label
+from paidup.functions.text import normal
 from paidup.skew import lookup
 
 
@@ -34,6 +35,19 @@ def first_payments(matches: DataFrame, keys=("document",)) -> DataFrame:
     )
 
 
+def _payments_by_client(open_items: DataFrame, matches: DataFrame) -> DataFrame:
+    """First payments per client and document; a payment without a client counts for every client of its document."""
+    keys = ["client_norm", "document"]
+    client = normal(F.col("client"))
+    blank = client.isNull() | (client == "")
+    named = first_payments(matches.withColumn("client", client).filter(~blank), keys)
+    unnamed = first_payments(matches.filter(blank))
+    owners = open_items.select(*keys).distinct()
+    both = named.unionByName(owners.join(unnamed, "document").select(*named.columns))
+    first = F.min(F.struct("payment_id", "match_method", "payment_date")).alias("first")
+    return both.groupBy(*keys).agg(first).select(*keys, "first.*")
+
+
 def invoice_state(is_paid: Column, days: Column) -> Column:
     return F.when(is_paid, "PAGADA").when(days > 0, "VENCIDA").otherwise("AL_DIA")
 
@@ -58,7 +72,8 @@ def consolidate_items(
     ``join_on_client`` is set.
     """
     keys = ["client_norm", "document"] if join_on_client else ["document"]
-    joined = lookup(open_items, first_payments(matches, keys), keys, "left", hot_documents, ["item_ord"])
+    payments = _payments_by_client(open_items, matches) if join_on_client else first_payments(matches)
+    joined = lookup(open_items, payments, keys, "left", hot_documents, ["item_ord"])
     paid, days = F.col("is_paid"), F.col("days_overdue")
     return (
         joined.withColumn("is_paid", F.col("payment_id").isNotNull())

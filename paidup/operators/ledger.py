@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paidup.config import ACTIVE, DECISION_ACTIONS, REVERTED
 from paidup.functions.text import blank_to_null, normal
@@ -27,17 +28,20 @@ def shaped(df: DataFrame, schema) -> DataFrame:
 def decision_problem() -> Column:
     """Why a decision cannot be recorded, null when it can."""
     action = normal(F.col("action"))
-    return F.when(
+    return F.when(action == "REVERTIR", "reversals are requested on their own").when(
         (action == "AGREGAR_ALIAS") & blank_to_null(F.col("assigned_client")).isNull(), "alias without client"
     ).when(action.isNull() | ~action.isin(*DECISION_ACTIONS), "unknown action")
 
 
 def accepted_decisions(requests: DataFrame, decided_at: Column) -> DataFrame:
     """The requests that can be recorded, as decision rows of this moment."""
-    rows = requests.filter(decision_problem().isNull()).withColumn("decided_at", decided_at)
+    schema = DECISIONS
+    if "request_ord" in requests.columns:
+        schema = T.StructType([*DECISIONS.fields, T.StructField("request_ord", T.LongType(), True)])
+    rows = shaped(requests, schema).withColumn("decided_at", decided_at)
     if "decision_state" not in requests.columns:
         rows = rows.withColumn("decision_state", F.lit(ACTIVE))
-    return shaped(rows, DECISIONS).withColumn("user", F.coalesce("user", F.lit("analista")))
+    return rows.filter(decision_problem().isNull()).withColumn("user", F.coalesce("user", F.lit("analista")))
 
 
 def rejected_decisions(requests: DataFrame) -> DataFrame:
@@ -52,18 +56,19 @@ def aliases_from_decisions(decisions: DataFrame) -> DataFrame:
         F.col("alias_source").alias("alias"),
         F.col("assigned_client").alias("real_client"),
         F.concat(F.lit("Agregado desde dashboard — "), F.coalesce("description", F.lit(""))).alias("notes"),
+        *([F.col("request_ord").alias("alias_ord")] if "request_ord" in decisions.columns else []),
     )
 
 
 def new_aliases(requested: DataFrame, existing: DataFrame) -> DataFrame:
-    """Normalised aliases that the catalogue lacks; the first request of an alias is kept."""
+    """Normalised aliases that the catalogue lacks; the first request of an alias is kept, with its order."""
     order = F.col("alias_ord") if "alias_ord" in requested.columns else F.monotonically_increasing_id()
     wanted = (
         requested.withColumn("__ord", order)
         .select(normal(F.col("alias")).alias("alias"), normal(F.col("real_client")).alias("real_client"), "notes", "__ord")
         .groupBy("alias")
-        .agg(F.min_by(F.struct("real_client", "notes"), "__ord").alias("first"))
-        .select("alias", "first.*")
+        .agg(F.min_by(F.struct("real_client", "notes"), "__ord").alias("first"), F.min("__ord").alias("request_ord"))
+        .select("alias", "first.*", "request_ord")
     )
     known = existing.select(F.upper("alias").alias("alias")).distinct()
     return wanted.join(known, "alias", "left_anti")
@@ -83,10 +88,13 @@ def reversals(
     ok = F.col("last_action").isNotNull() & (state == ACTIVE) & (F.col("last_action") != "AGREGAR_ALIAS")
     reason = F.col("comment") if "comment" in requests.columns else F.lit("")
     by = F.col("user") if "user" in requests.columns else F.lit("analista")
+    at = F.col("request_ord") if "request_ord" in requests.columns else F.monotonically_increasing_id()
     asked = (
-        requests.groupBy("fingerprint")
-        .agg(F.min(F.struct(reason.alias("reason"), by.alias("requested_by"))).alias("request"))
+        requests.withColumn("__at", at)
+        .groupBy("fingerprint")
+        .agg(F.min(F.struct("__at", reason.alias("reason"), by.alias("requested_by"))).alias("request"))
         .select("fingerprint", "request.*")
+        .drop("__at")
     )
     rows = asked.join(last, "fingerprint", "left").withColumn("accepted", F.coalesce(ok, F.lit(False)))
     default = F.concat(F.lit("Reversión de decisión previa ("), F.col("last_action"), F.lit(")."))

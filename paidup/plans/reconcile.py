@@ -115,8 +115,14 @@ def run_reconciliation(
 
 
 def record_decisions(requests: DataFrame, decisions_path: str, aliases_path: str) -> None:
-    """Append the acceptable decisions, and the aliases they teach."""
+    """Append the acceptable decisions, and the aliases they teach, in the order of the requests.
+
+    The order is ``request_ord``; without that column it is the order in which the requests stand,
+    taken before anything is written.
+    """
     ws = Workspace(requests.sparkSession)
+    if "request_ord" not in requests.columns:
+        requests = requests.withColumn("request_ord", F.monotonically_increasing_id())
     rows = ws.stage(accepted_decisions(requests, F.current_timestamp()), "decisions")
     ledgers.append_decisions(rows, decisions_path)
     ledgers.add_aliases(aliases_from_decisions(rows), aliases_path)

@@ -44,9 +44,19 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], stored)
 
 
+def _next_batch(spark: SparkSession, path: str, schema: T.StructType) -> int:
+    """Later than every batch of the ledger, whatever the clock says."""
+    last = _read(spark, path, schema).agg(F.max("batch")).first()[0] or 0
+    return max(last + 1, time.time_ns())
+
+
 def _append(rows: DataFrame, path: str, schema: T.StructType) -> None:
-    rows = shaped(rows, schema).withColumn("batch", F.lit(time.time_ns()))
-    rows.withColumn("pos", F.monotonically_increasing_id()).write.mode("append").parquet(path)
+    """Rows keep the order of their ``request_ord``; without one, the order they stand in."""
+    pos = F.col("request_ord").cast("long") if "request_ord" in rows.columns else F.monotonically_increasing_id()
+    shaped_ = T.StructType([*schema.fields, T.StructField("pos", T.LongType(), True)])
+    batch = _next_batch(rows.sparkSession, path, schema)
+    out = shaped(rows.withColumn("pos", pos), shaped_).withColumn("batch", F.lit(batch))
+    out.select(*_stored(schema).fieldNames()).write.mode("append").parquet(path)
 
 
 def append_order() -> Column:
@@ -117,12 +127,41 @@ def read_history_file(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_ITEM = r"""(?:'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+")"""
+
+
+def list_is_readable(text: Column) -> Column:
+    """Whether the text is a list of quoted items, in either quote character."""
+    return text.rlike(rf"(?s)^\s*\[\s*(?:{_ITEM}(?:\s*,\s*{_ITEM})*+)?\s*,?\s*\]\s*$")
+
+
 def text_list(text: Column) -> Column:
-    """``['A', 'B']`` as an array; missing or malformed text as an empty one."""
-    parsed = F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<string>")
+    """``['A', "B's"]`` as an array; missing or malformed text as an empty one."""
+    items = F.regexp_extract_all(text, F.lit("(?s)" + _ITEM), F.lit(0))
+
+    def plain(item: Column) -> Column:
+        mark = "\u0001"
+        inner = F.replace(F.substring(item, F.lit(2), F.length(item) - 2), F.lit("\\\\"), F.lit(mark))
+        for written, meant in (("\\'", "'"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), (mark, "\\")):
+            inner = F.replace(inner, F.lit(written), F.lit(meant))
+        return inner
+
+    unquoted = F.from_json(text, "array<string>")
+    parsed = F.when(list_is_readable(text), F.transform(items, plain)).otherwise(unquoted)
     return F.coalesce(parsed, F.array().cast("array<string>"))
 
 
+def list_text(items: Column) -> Column:
+    """An array as text that ``text_list`` reads back."""
+
+    def quoted(item: Column) -> Column:
+        for meant, written in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            item = F.replace(item, F.lit(meant), F.lit(written))
+        return F.concat(F.lit("'"), item, F.lit("'"))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
+
+
 # --- aliases ----------------------------------------------------------------------------------
 
 

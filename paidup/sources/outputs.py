@@ -9,7 +9,7 @@ from pyspark.sql.utils import AnalysisException
 
 from paidup.operators.reports import DETAIL_COLUMNS
 from paidup.schemas import MATCH_RESULT, OPEN_ITEMS
-from paidup.sources.ledgers import text_list
+from paidup.sources.ledgers import list_text, text_list
 
 CONSOLIDATED = T.StructType(
     [
@@ -44,9 +44,8 @@ def export_csv(df: DataFrame, path: str) -> None:
     """CSV with header; arrays as ``['A', 'B']`` text."""
     for field in df.schema.fields:
         if isinstance(field.dataType, T.ArrayType):
-            quoted = F.transform(field.name, lambda x: F.concat(F.lit("'"), x, F.lit("'")))
-            df = df.withColumn(field.name, F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")))
-    df.write.mode("overwrite").csv(path, header=True)
+            df = df.withColumn(field.name, list_text(F.col(field.name)))
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def export_detail(filtered: DataFrame, path: str) -> None:
@@ -58,5 +57,5 @@ def import_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     """A table written by ``export_csv``."""
     arrays = {f.name for f in schema.fields if isinstance(f.dataType, T.ArrayType)}
     text = T.StructType([T.StructField(f.name, T.StringType() if f.name in arrays else f.dataType) for f in schema.fields])
-    rows = spark.read.schema(text).csv(path, header=True)
+    rows = spark.read.schema(text).csv(path, header=True, escape='"', multiLine=True)
     return rows.select(*[text_list(F.col(f.name)).alias(f.name) if f.name in arrays else f.name for f in schema.fields])
