@@ -25,12 +25,12 @@ from paidup.llm.session import prepared
 from paidup.llm.text import LOWER, blocks, utf8
 
 #: Most labelled texts of a language that the model is fitted on.
-PER_LANGUAGE = 400
+PER_LANGUAGE = 200
 #: Buckets of the hash, width of an embedding.
 BUCKETS, WIDTH = 1 << 16, 16
 EPOCHS, BATCH, RATE = 6, 16, 2.0
 #: Share of the calibration texts that the rejection may cost, and the score above which nothing is rejected.
-REJECTED, SURE = 0.002, 0.6
+REJECTED, SURE = 0.002, 0.4
 
 _FOLD = LOWER.copy()
 _FOLD[:128][~np.isin(np.arange(128), np.r_[65:91, 97:123])] = 32
