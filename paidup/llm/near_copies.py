@@ -12,8 +12,9 @@ class, of which one stands for all. Inverted lists of the retained values genera
   one. Of the longer lists, the longest open one of a document is its home. Documents outside the
   largest component of their home are compared with all documents of it, block by block, by exact
   products of incidence matrices, and only a spanning forest of the links is returned. The other
-  lists are gone through in the same way by sketches; only pairs that no home has compared and
-  whose sketches share enough come out, to be verified one by one.
+  lists are gone through in the same way by sketches, each pair that no home has compared in the
+  smallest list of both; the documents of a block that have a likely partner in it, never the
+  pairs, go on and are compared by their full sets in the same way.
 * The bottom-k sketch of the union estimates the similarity of a pair and drops the hopeless ones;
   the rest is decided by the exact Jaccard similarity of the full sets.
 
@@ -183,27 +184,39 @@ def _compared(percent: int):
     return run
 
 
+def _within(homes: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """Whether each home (row) is one of the lists of each document (column)."""
+    own, at = np.unique(homes, return_inverse=True)
+    flat = np.concatenate(lists)
+    place = np.searchsorted(own, flat)
+    inside = place < len(own)
+    inside[inside] = own[place[inside]] == flat[inside]
+    held = np.zeros((len(own), len(lists)), bool)
+    held[place[inside], np.repeat(np.arange(len(lists)), [len(x) for x in lists])[inside]] = True
+    return held[at]
+
+
 def _likely(percent: int, shared: int):
-    """Pairs of two blocks that no home has compared and whose sketches share enough."""
+    """The documents of two blocks that have a likely partner in the other: their sketches share enough, no home
+    has compared them, and no smaller list holds both."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, y = rows[~rows["column"]], rows[rows["column"]]
-        out = ["rep", "n", "other", "other_n"]
+        out = ["value", "i", "j", "rep", "n", "component", "column"]
         if not len(x) or not len(y):
-            return pd.DataFrame({c: [] for c in out}, dtype="int64")
+            return rows.iloc[:0][out]
         n, m = (side["n"].to_numpy() for side in (x, y))
         least = np.minimum(np.minimum(-(-n[:, None] * percent // 100), -(-m[None, :] * percent // 100)), shared)
         hit = _shared(*([np.asarray(s, np.int64) for s in side["values"]] for side in (x, y))) >= least
         hit &= (n[:, None] * 100 >= m[None, :] * percent) & (m[None, :] * 100 >= n[:, None] * percent)
         hit &= x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
-        lists = [[set(v) for v in side["lists"]] for side in (x, y)]
-        home, asked = ([side[c].tolist() for side in (x, y)] for c in ("home", "asked"))
-        pairs = [
-            (x["rep"].iat[i], n[i], y["rep"].iat[j], m[j])
-            for i, j in np.argwhere(hit).tolist()
-            if not (asked[0][i] and home[0][i] in lists[1][j]) and not (asked[1][j] and home[1][j] in lists[0][i])
-        ]
-        return pd.DataFrame(pairs, columns=out, dtype="int64")
+        if hit.any():
+            lists = [[np.asarray(v, np.int64) for v in side["lists"]] for side in (x, y)]
+            home, asked = ([side[c].to_numpy() for side in (x, y)] for c in ("home", "asked"))
+            hit &= ~(asked[0][:, None] & _within(home[0], lists[1]))
+            hit &= ~(asked[1][:, None] & _within(home[1], lists[0])).T
+            hit &= _shared(*([v[v < key[0]] for v in side] for side in lists)) == 0
+        return pd.concat([x[hit.any(axis=1)], y[hit.any(axis=0)]])[out]
 
     return run
 
@@ -279,8 +292,9 @@ class NearCopies:
         homes = workspace.stage(self._homes(now), "homes")
         self._learn(self._blocks(now, homes, _compared(self.percent)))
         now = workspace.stage(self._of_length(self._open("open-rest"), "size > {}"), "long")
-        left = self._blocks(now, homes, _likely(self.percent, self.shared), rest=True)
-        self._test(left.select("rep", "n", "other", "other_n"))
+        likely = workspace.stage(self._blocks(now, homes, _likely(self.percent, self.shared), rest=True), "likely")
+        sets = self.sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("values"))
+        self._learn(likely.join(sets, "rep").groupBy("value", "i", "j").applyInPandas(_compared(self.percent), "a long, b long"))
         if self.labels is None:
             return self.lists.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
         return self.labels
@@ -341,7 +355,8 @@ class NearCopies:
     def _blocks(self, now: DataFrame, homes: DataFrame, compare, rest: bool = False) -> DataFrame:
         """Compares documents outside the largest component of a list with all of the list, block by block.
 
-        First each in its home only, by the full sets; the rest in every open list, by the sketches.
+        First each in its home only, by the full sets; the rest in every open list, by the sketches, to find
+        the documents with a likely partner.
         """
         now = now.join(homes, "rep")
         asks = F.col("component") != F.col("main")
@@ -359,7 +374,7 @@ class NearCopies:
         if rest:
             content = self.reps.select("rep", F.col("sketch").alias("values"))
             kept = ["value", "rep", "n", "component", "values", "home", "asked", "lists"]
-            out = "rep long, n long, other long, other_n long"
+            out = "value long, i long, j long, rep long, n long, component long, column boolean"
         else:
             content = self.sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("values"))
             kept = ["value", "rep", "n", "component", "values"]

@@ -214,6 +214,39 @@ def test_near_copies(docs, rows, monkeypatch):
             assert g.kept == (g.doc_id == g.component_id)
 
 
+def test_near_copies_of_one_group_by_blocks(spark, monkeypatch):
+    """Copies around the threshold: many pairs are likely, few are links, and no list holds all of them."""
+    draw = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        for _ in range(draw.randrange(1, 7)):
+            own[draw.randrange(len(own))] = f"x{draw.randrange(40)}"
+        texts.append(own)
+    sets = [set(zip(w, w[1:], w[2:])) for w in texts]
+    top = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and top[a] != top[b]:
+                old, new = max(top[a], top[b]), min(top[a], top[b])
+                top = [new if t == old else t for t in top]
+    assert len(set(top)) > 1
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    for short, compared in ((1, 16), (8, 512)):
+        monkeypatch.setattr(near_copies, "SHORT", short)
+        monkeypatch.setattr(near_copies, "ROUNDS", 1)
+        monkeypatch.setattr(near_copies, "COMPARED", compared)
+        got = near_copies.NearCopies(docs).result().collect()
+        assert {g.doc_id: g.component_id for g in got} == dict(enumerate(top))
+
+
+def test_homes_within_lists():
+    lists = [np.array([1, 5]), np.array([], np.int64), np.array([7, 2, 1])]
+    got = near_copies._within(np.array([1, 7, 9]), lists)
+    assert got.tolist() == [[True, False, True], [False, False, True], [False, False, False]]
+
+
 def test_warc(spark):
     pages = [(3, "http://a/x", "<p>same"), (1, None, "<p>same"), (2, "http://b\r\nX: y", None), (7, "u", ""), (None, "u", "<p>same"), (9, "u", "é" * 90000)]
     archives = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), archive_bytes=1000)
