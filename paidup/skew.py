@@ -2,8 +2,8 @@
 
 The fact side of every lookup below may be skewed without bound; the looked-up side has at most
 one row per key. Heavy keys are found by a mergeable frequent-items sketch (one pass, no shuffle of
-the rows); only their rows are salted, and only their lookup rows are repeated. Results never
-depend on which keys the sketch reports.
+the rows); only their rows are salted, and only their lookup rows are repeated. The lookups give the same
+rows whatever the sketch reports; ``short_lists`` gives no list for a key that is reported hot.
 """
 
 from __future__ import annotations
