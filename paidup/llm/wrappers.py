@@ -225,6 +225,22 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: A host with at least one of so many parts of all pages is dealt over as many parts as it holds.
+PARTS = 500
+
+
+def _by_host(pages: DataFrame, known: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    """Joins pages with what is known of their host; the pages of a hot host are dealt over its parts.
+
+    ``hot`` has at most ``PARTS`` rows and asks for at most ``2 * PARTS`` copies in all, whatever the size.
+    """
+    hot = F.broadcast(hot)
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = pages.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), parts))
+    copies = known.join(hot, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.drop("parts").join(copies.drop("parts"), ["host", "part"], how).drop("part")
+
+
 def extract(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     spark = prepared(pages.sparkSession)
@@ -235,11 +251,14 @@ def extract(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) ->
     ).withColumn("host", F.when(host != "", host))
     hosted = own.filter("host is not null")
     # a host needs as many pages as make a constant text template
-    large = hosted.groupBy("host").agg(F.count("*").alias("n"), F.min(F.xxhash64("html")).alias("least"))
-    large = large.filter(F.col("n") >= least_pages)
+    sizes = hosted.groupBy("host").agg(F.count("*").alias("n"), F.min(F.xxhash64("html")).alias("least"))
+    sizes = workspace.stage(sizes, "hosts")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = sizes.filter(F.col("n") * PARTS >= total).select("host", F.ceil(F.col("n") * PARTS / max(total, 1)).cast("long").alias("parts"))
+    large = sizes.filter(F.col("n") >= least_pages)
     first = hosted.join(large, "host").filter(F.xxhash64("html") == F.col("least")).groupBy("host").agg(F.min("html").alias("html"))
     models = workspace.stage(first.mapInArrow(_models, "host string, model string"), "models")
-    seen = hosted.join(models, "host").select("host", "html", "model").mapInArrow(
+    seen = _by_host(hosted, models, hot, "inner").select("host", "html", "model").mapInArrow(
         _slots, "host string, slot int, text long, page long"
     )
     counts = workspace.stage(seen.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("pages")), "slots")
@@ -248,7 +267,7 @@ def extract(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) ->
         (F.col("all") >= least_pages) & (F.col("pages") >= F.col("all") * share)
     )
     wrappers = constant.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("constant")).join(models, "host")
-    return own.join(wrappers, "host", "left").select("page_id", "url", "html", "model", "constant").mapInArrow(
+    return _by_host(own, wrappers, hot, "left").select("page_id", "url", "html", "model", "constant").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long"
     )
 
