@@ -358,11 +358,10 @@ class NearCopies:
         First each in its home only, by the full sets; the rest in every open list, by the sketches, to find
         the documents with a likely partner.
         """
-        now = now.join(homes, "rep")
         asks = F.col("component") != F.col("main")
         parts = self._main(now)
         if not rest:
-            rows = now.filter("asked and home = value").groupBy("value").agg(F.count("*").alias("few"))
+            rows = homes.filter("asked").groupBy(F.col("home").alias("value")).agg(F.count("*").alias("few"))
             parts = parts.drop("few").join(rows, "value")
             asks = F.col("asked") & (F.col("home") == F.col("value"))
         parts = parts.filter("few > 0").select(
@@ -379,15 +378,17 @@ class NearCopies:
             content = self.sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("values"))
             kept = ["value", "rep", "n", "component", "values"]
             out = "a long, b long"
-        own = now.join(parts, "value").join(content, "rep")
+        # What a document brings is put together once for each document, its blocks are listed in one pass.
+        own = now.join(parts, "value").join(homes.join(content, "rep"), "rep")
         at, zero = F.xxhash64("rep"), F.lit(0).cast("long")
-        across = own.filter(asks).select(
-            *kept, F.lit(False).alias("column"), F.pmod(at, F.col("n_rows")).alias("i"), F.explode(F.sequence(zero, F.col("n_columns") - 1)).alias("j")
-        )
-        down = own.select(
-            *kept, F.lit(True).alias("column"), F.explode(F.sequence(zero, F.col("n_rows") - 1)).alias("i"), F.pmod(at, F.col("n_columns")).alias("j")
-        )
-        return across.unionAll(down).groupBy("value", "i", "j").applyInPandas(compare, out)
+
+        def block(column: bool, i, j):
+            return F.struct(F.lit(column).alias("column"), i.alias("i"), j.alias("j"))
+
+        across = F.transform(F.sequence(zero, F.col("n_columns") - 1), lambda j: block(False, F.pmod(at, F.col("n_rows")), j))
+        down = F.transform(F.sequence(zero, F.col("n_rows") - 1), lambda i: block(True, i, F.pmod(at, F.col("n_columns"))))
+        listed = own.select(*kept, F.explode(F.when(asks, F.concat(across, down)).otherwise(down)).alias("block"))
+        return listed.select(*kept, "block.*").groupBy("value", "i", "j").applyInPandas(compare, out)
 
     def result(self) -> DataFrame:
         self.classes()
