@@ -592,12 +592,15 @@ def erp_scan(spark, sf):
 
 @query
 def weekly_scan(spark, sf):
-    """The weekly sheet as a positional Parquet table: recognised by its columns, first rows skipped."""
+    """The weekly sheet as a positional Parquet table under three title rows: recognised by its columns, titles skipped."""
     from paidup.sources.receivables import read_receivables
 
     ws = Workspace(spark)
     path = f"{ws.root}/weekly"
-    w.sheet_fields(spark, sf).orderBy("item_ord").drop("item_ord").write.parquet(path)
+    sheet = w.sheet_fields(spark, sf)
+    titles = spark.range(-3, 0).select(F.col("id").alias("item_ord"), F.lit("CARTERA SEMANAL").alias("client"))
+    whole = sheet.unionByName(titles, allowMissingColumns=True)
+    whole.orderBy("item_ord").drop("item_ord").write.parquet(path)
     return plain(read_receivables(spark, path, w.CUTOFF, skip_rows=3, file_format="parquet", ws=ws))
 
 

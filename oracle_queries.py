@@ -365,7 +365,7 @@ _SQL = {
         FROM (SELECT *, CASE WHEN movement_ord % 70 <> 69 THEN amount END AS a, row_number() OVER (ORDER BY movement_ord) - 1 AS pos FROM mov)
         WHERE movement_ord % 50 <> 49 AND value_date BETWEEN DATE '2001-07-10' AND DATE '2001-07-25'""",
     "erp_scan": _SHEET.format(document="raw_document", band=_band("days_overdue"), more="k % 9 <> 8").replace("FROM sheet", _POS),
-    "weekly_scan": _SHEET.format(document="document", band=_band("days_overdue"), more="item_ord >= 3").replace("FROM sheet", _POS),
+    "weekly_scan": _SHEET.format(document="document", band=_band("days_overdue"), more="true").replace("FROM sheet", _POS.replace("- 1", "+ 2")),
     "decision_ledger": "SELECT fingerprint, action, assigned_document, assigned_client FROM act",
     "alias_ledger": "SELECT alias, real_client FROM al",
     "history_ledger": """SELECT run_day, count(*) AS rows FROM (SELECT strftime(run_day, '%Y-%m-%d') AS run_day FROM hist UNION ALL
