@@ -121,3 +121,11 @@ def test_worst_band(spark):
     df = spark.createDataFrame([("a", "0-30"), ("a", "91-120"), ("a", "AL_DIA"), ("b", None)], "c string, band string")
     rows = {r.c: r.w for r in df.groupBy("c").agg(worst_band(F.col("band")).alias("w")).collect()}
     assert rows == {"a": "91-120", "b": "AL_DIA"}
+
+
+def test_the_table_of_sums_has_a_largest_size():
+    from paidup.config import MatchSettings
+
+    assert MatchSettings().n_shapes == 6748
+    with pytest.raises(ValueError, match="shapes"):
+        MatchSettings(max_items_for_sums=40, max_combination=8, listed_items=64)
