@@ -4,7 +4,8 @@ Documents are cut into pieces of at most ``LENGTH`` ids; a full piece is a seque
 others are dealt to groups of bounded size, each is packed by best fit over decreasing lengths, and
 lower bounds from dual feasible functions are compared with the number of sequences. A group without
 a gap is proven and stays. The groups with a gap keep the sequences that are quite full, exchange the
-pieces of all others, are dealt anew in fewer groups and packed again, until one group is left.
+pieces of all others, are dealt anew in groups of the same bounded size and packed again. When a round
+settles little, exchange does not help these sizes: all its groups stay as they are, not certified.
 
 Null and empty texts are pieces of the end id alone. Rows repeat as given; a null doc_id stays null.
 """
@@ -28,6 +29,8 @@ from paidup.workspace import Workspace
 LENGTH = 2048
 #: Pieces of a group.
 GROUP = 60_000
+#: Share of the open pieces that a round has to settle for another one to follow.
+SETTLED = 0.1
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -143,13 +146,9 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
     )
     open_ = pieces.filter(F.col("length") < length)
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, __uid long, __group long"
-    done, round_, groups = [whole], 0, None
-    while True:
-        count = open_.count()
-        groups = -(-count // group) if groups is None else min(groups - 1, -(-count // group))
-        if not count:
-            break
-        groups = max(groups, 1)
+    done, round_, count = [whole], 0, open_.count()
+    while count:
+        groups = -(-count // group)
         dealt = open_.withColumn("__group", F.pmod(F.xxhash64("__uid", F.lit(round_)), F.lit(groups)))
         packed = workspace.stage(
             dealt.groupBy("__group").applyInPandas(
@@ -158,8 +157,10 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
             ),
             f"round{round_}",
         )
+        left = packed.filter("not settled").count()
+        last = count - left < SETTLED * count
         done.append(
-            packed.filter("settled").select(
+            packed.filter(F.lit(last) | F.col("settled")).select(
                 "doc_id",
                 "piece",
                 "start",
@@ -171,7 +172,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
             )
         )
         open_ = packed.filter("not settled").select(*[c.split()[0] for c in kinds.split(", ")[:-1]])
-        round_ += 1
+        round_, count = round_ + 1, 0 if last else left
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)

@@ -278,6 +278,18 @@ def test_packing(docs, rows):
     assert got.groupby("doc_id", dropna=False).ngroups == len({r[0] for r in rows})
 
 
+def test_packing_groups_stay_bounded(spark):
+    """Pieces of over a quarter and under a half of a sequence: every group keeps a gap, and few sequences are quite full."""
+    draw = np.random.default_rng(5)
+    data = [(i, 0, 0, int(n), i) for i, n in enumerate(draw.integers(512, 1024, 6000))]
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    got = packing.pack(spark.createDataFrame(data, kinds), group=1000).toPandas()
+    assert sorted(got.doc_id) == list(range(6000))
+    assert got.groupby("sequence_id").length.sum().max() <= packing.LENGTH
+    assert got.groupby(got.sequence_id // (1 << 30)).size().max() < 1200
+    assert got.sequence_id.max() < 4 << 54 and not got.certified.all()
+
+
 def test_lower_bounds_hold():
     draw = np.random.default_rng(3)
     for _ in range(30):
