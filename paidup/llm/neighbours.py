@@ -2,13 +2,14 @@
 
 A table of the index turns every vector by a pseudo-rotation (three rounds of random signs and a fast
 Hadamard transform) and files it under its nearest signed axis. A query looks into the cells of its
-``PROBES`` best signed axes of each of ``TABLES`` tables, and everything found there is ranked by the
-exact inner product. Vectors are made unit vectors first, by one more component that holds what is
-missing to the largest norm; this keeps the order of the inner products.
+``PROBES`` best signed axes of each of ``TABLES`` tables (in more than 64 dimensions as many more as
+there are more axes), and everything found there is ranked by the exact inner product. Only directions
+are filed. What is found for its norm rather than its direction is in the head: about ``HEAD`` entries
+of the largest norms, which meet every query, so every query finds ``k`` vectors where there are so many.
 
 Equal vectors are one entry of the index with the smallest ids that can be in an answer, so a vector
 with many copies does not fill a cell. Cells are cut into parts of bounded size on both sides. There
-is no cap on candidates: recall is a matter of ``TABLES`` and ``PROBES`` alone.
+is no cap on candidates: recall is a matter of ``TABLES``, ``PROBES`` and ``HEAD`` alone.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without
 a vec_id; rows that repeat id and vector count once. Only vectors of one length are compared.
@@ -28,6 +29,10 @@ from paidup.llm.session import prepared
 from paidup.workspace import Workspace
 
 TABLES, PROBES = 8, 16
+#: Entries of the largest norms that are compared with every query, about.
+HEAD = 1024
+#: Components of the vectors of a batch that leaves the hashing, about.
+BATCH = 1 << 22
 #: Vectors and queries of one part of a cell.
 PART, QUERIES = 4096, 1024
 
@@ -58,7 +63,7 @@ def cells(x: np.ndarray, table: int, probes: int) -> np.ndarray:
     return 2 * order + (np.take_along_axis(y, order, 1) < 0)
 
 
-def _filed(norm: float, tables: int, probes: int):
+def _filed(tables: int, probes: int):
     """A row for each cell that a vector is filed under (probes 0) or a query looks into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,34 +71,42 @@ def _filed(norm: float, tables: int, probes: int):
             vectors = [np.asarray(v, np.float64) for v in batch.column("vector").to_numpy(zero_copy_only=False)]
             size = np.array([len(v) for v in vectors])
             for dim in np.unique(size).tolist():
-                own = np.flatnonzero(size == dim)
-                x = np.stack([vectors[i] for i in own])
-                length = np.linalg.norm(x, axis=1, keepdims=True)
-                if probes:
-                    unit = np.hstack((x / length, np.zeros((len(x), 1))))
-                else:
-                    unit = np.hstack((x / norm, np.sqrt(np.maximum(0, 1 - (length / norm) ** 2))))
-                if norm == -1:
-                    unit = x
-                found = np.stack([cells(unit, t, probes or 1) for t in range(tables)], axis=1)
-                each = found.shape[1] * found.shape[2]
-                rows = batch.take(pa.array(np.repeat(own, each)))
-                table = np.tile(np.repeat(np.arange(tables), found.shape[2]), len(own))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(table), dim), pa.int32()),
-                        pa.array(table, pa.int32()),
-                        pa.array(found.reshape(-1), pa.int32()),
-                        rows.column("uid"),
-                        rows.column("vector"),
-                        rows.column("ids"),
-                    ],
-                    ["dim", "table", "cell", "uid", "vector", "ids"],
-                )
+                looks = probes * max(1, (1 << int(dim - 1).bit_length()) // 64) or 1
+                step = max(1, BATCH // (tables * looks * dim))
+                all_ = np.flatnonzero(size == dim)
+                for own in (all_[i : i + step] for i in range(0, len(all_), step)):
+                    x = np.stack([vectors[i] for i in own])
+                    x /= np.abs(x).max(axis=1, keepdims=True)
+                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    found = np.stack([cells(unit, t, looks) for t in range(tables)], axis=1)
+                    rows = batch.take(pa.array(np.repeat(own, found.shape[1] * found.shape[2])))
+                    table = np.tile(np.repeat(np.arange(tables), found.shape[2]), len(own))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(table), dim), pa.int32()),
+                            pa.array(table, pa.int32()),
+                            pa.array(found.reshape(-1), pa.int32()),
+                            rows.column("uid"),
+                            rows.column("vector"),
+                            rows.column("ids"),
+                        ],
+                        ["dim", "table", "cell", "uid", "vector", "ids"],
+                    )
 
     return run
 
 
+def _head(entries: DataFrame) -> DataFrame:
+    """The entries of the largest norms of each length: whole bands of norms, and a part of the next by hash."""
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    banded = entries.withColumn("dim", F.size("vector")).withColumn("band", F.floor(F.log2(norm) * 8))
+    bands = banded.groupBy("dim", "band").agg(F.count("*").alias("n"))
+    larger = F.sum("n").over(Window.partitionBy("dim").orderBy(F.desc("band"))) - F.col("n")
+    bands = bands.withColumn("room", HEAD - larger).filter("room > 0")
+    bands = bands.select("dim", "band", F.ceil(F.col("n") / F.col("room")).alias("every"))  # at most HEAD rows of a length
+    return banded.join(F.broadcast(bands), ["dim", "band"]).filter(F.pmod(F.xxhash64("uid"), F.col("every")) == 0)
+
+
 def _ranked(k: int):
     """The best k + 1 ids of every query of a part of a cell, packed."""
 
@@ -103,13 +116,16 @@ def _ranked(k: int):
             return pd.DataFrame({"uid": [], "ids": [], "scores": []}).astype({"uid": "int64"})
         q, x = (np.stack(side["vector"].to_numpy()).astype(np.float64) for side in (asked, there))
         scores = q @ x.T
-        top = min(k + 8, len(x))
-        best = np.argpartition(-scores, top - 1, axis=1)[:, :top]
+        top = min(k + 1, len(x))
+        # all that are level with the last of the best, but for rounding
+        least = -np.partition(-scores, top - 1, axis=1)[:, top - 1]
+        least -= 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
         ids = there["ids"].to_numpy()
         out_ids, out_scores = [], []
         for i in range(len(q)):
-            exact = (x[best[i]] * q[i]).sum(axis=1)
-            own = [ids[j] for j in best[i]]
+            best = np.flatnonzero(scores[i] >= least[i])
+            exact = (x[best] * q[i]).sum(axis=1)
+            own = [ids[j] for j in best]
             flat = np.concatenate(own).astype(np.int64)
             score = np.repeat(exact, [len(o) for o in own])
             order = np.lexsort((flat, -score))[: k + 1]
@@ -152,22 +168,18 @@ def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, prob
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     own = own.filter("vec_id is not null and vector is not null").filter(sound)
     own = own.filter(F.exists("vector", lambda x: x != 0)).distinct()
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    own = workspace.stage(own.withColumn("uid", F.xxhash64("vector")).withColumn("norm", norm), "vectors")
+    own = workspace.stage(own.withColumn("uid", F.xxhash64("vector")), "vectors")
     first = Window.partitionBy("uid").orderBy("vec_id")
     few = own.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)
     entries = few.groupBy("uid").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = workspace.stage(entries, "entries")
     asked = own.filter(queries).select("vec_id", "uid")
     asks = entries.join(asked.select("uid").distinct(), "uid", "left_semi").select("uid", "vector", F.lit(None).cast("array<long>").alias("ids"))
-    largest = own.agg(F.max("norm"), F.min("norm")).first()
-    if largest[0] is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    limit = float(largest[0])
-    flat = limit - largest[1] <= 1e-6 * limit  # all norms are one: nothing is missing to the largest
     kind = "dim int, table int, cell int, uid long, vector array<double>, ids array<long>"
-    filed = workspace.stage(entries.mapInArrow(_filed(-1 if flat else limit, tables, 0), kind), "filed")
-    looking = workspace.stage(asks.mapInArrow(_filed(-1 if flat else limit, tables, probes), kind), "looking")
+    head = [F.size("vector").alias("dim"), F.lit(-1).alias("table"), F.lit(0).alias("cell"), "uid", "vector", "ids"]
+    filed = entries.mapInArrow(_filed(tables, 0), kind).unionAll(_head(entries).select(*head))
+    looking = asks.mapInArrow(_filed(tables, probes), kind).unionAll(asks.select(*head))
+    filed, looking = workspace.stage(filed, "filed"), workspace.stage(looking, "looking")
     key = ["dim", "table", "cell"]
     parts = filed.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     rounds = looking.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("rounds"))

@@ -150,6 +150,28 @@ def test_neighbours(spark):
     assert got[40][0][0] == 100 and neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["one large", "lognormal", "256 dims"])
+def test_neighbours_of_mixed_norms_and_many_dims(spark, kind):
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(4000, 256 if kind == "256 dims" else 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "one large":
+        x[7] *= 20
+    if kind == "lognormal":
+        x *= draw.lognormal(size=(4000, 1))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(table, F.col("vec_id") % 80 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    recall = []
+    for q in range(0, 4000, 80):
+        best = [i for i in np.argsort(-(x @ x[q]), kind="stable")[:21] if i != q][:20]
+        assert len(got[q]) == 20
+        recall.append(len(got[q] & set(best)) / 20)
+    print(kind, np.mean(recall))
+    assert np.mean(recall) >= 0.9
+
+
 def test_licenses(docs, rows):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     for r in rows:
