@@ -25,8 +25,51 @@ from paidup.llm.text import Words, blocks
 # Phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label and template. Notices as they stand in files and pages, in public use.
-TEMPLATES = (
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+    " documentation files <<optional>>the software<<end>> to deal in the software without restriction including"
+    " without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of"
+    " the software and to permit persons to whom the software is furnished to do so subject to the following"
+    " conditions the above copyright notice and this permission notice <<optional>>including the next"
+    " paragraph<<end>> shall be included in all copies or substantial portions of the software the software is"
+    " provided as is without warranty of any kind express or implied including but not limited to the warranties of"
+    " merchantability fitness for a particular purpose and noninfringement in no event shall <<var:12>> be liable"
+    " for any claim damages or other liability whether in an action of contract tort or otherwise arising from out"
+    " of or in connection with the software or the use or other dealings in the software"
+)
+_BSD_CONDITIONS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that"
+    " the following conditions are met <<var:1>> redistributions of source code must retain the above copyright"
+    " notice this list of conditions and the following disclaimer <<var:1>> redistributions in binary form must"
+    " reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"
+    " and or other materials provided with the distribution"
+)
+_BSD_ENDORSEMENT = (
+    " <<var:1>> neither the name of <<var:12>> nor the names of <<var:2>> contributors may be used to endorse or"
+    " promote products derived from this software without specific prior written permission"
+)
+_BSD_DISCLAIMER = (
+    " this software is provided by <<var:12>> as is and any express or implied warranties including but not limited to"
+    " the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall"
+    " <<var:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but"
+    " not limited to procurement of substitute goods or services loss of use data or profits or business interruption"
+    " however caused and on any theory of liability whether in contract strict liability or tort including negligence"
+    " or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
+#: Label and template of licenses: the whole mandatory wording, from the grant to the end of the disclaimer.
+TEXTS = (
+    ("mit", _MIT),
+    (
+        "x11",
+        _MIT + " except as contained in this notice the name of <<var:12>> shall not be used in advertising or otherwise"
+        " to promote the sale use or other dealings in this software without prior written authorization",
+    ),
+    ("bsd-2-clause", _BSD_CONDITIONS + _BSD_DISCLAIMER),
+    ("bsd-3-clause", _BSD_CONDITIONS + _BSD_ENDORSEMENT + _BSD_DISCLAIMER),
+)
+#: Label and template of notices, which name a license or reserve rights, as they stand in files and pages.
+NOTICES = (
     (
         "apache-2.0",
         "licensed under <<optional>>the terms of<<end>> the apache license <<optional>>version<<end>> 2.0"
@@ -53,24 +96,11 @@ TEMPLATES = (
     ("cc-by-nc-4.0", "licensed under <<optional>>a<<end>> cc by nc 4.0 <<optional>>international license<<end>>"),
     ("cc-by-sa-4.0", "licensed under <<optional>>a<<end>> cc by sa 4.0 <<optional>>international license<<end>>"),
     ("cc-by-4.0", "licensed under <<optional>>a<<end>> cc by 4.0 <<optional>>international license<<end>>"),
-    (
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
-        " documentation files <<optional>>the software<<end>> to deal in the software without restriction including"
-        " without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of"
-        " the software",
-    ),
     ("mit", "licensed under the mit license"),
-    (
-        "bsd-2-clause",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that"
-        " the following conditions are met <<optional>>1<<end>> redistributions of source code must retain the above"
-        " copyright notice this list of conditions and the following disclaimer <<optional>>2<<end>> redistributions in"
-        " binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in"
-        " the documentation and or other materials provided with the distribution",
-    ),
     ("all-rights-reserved", "copyright <<optional>>c<<end>> <<var:8>> all rights reserved"),
 )
+#: Label, template, and whether it is the whole text of a license.
+TEMPLATES = (*((*t, True) for t in TEXTS), *((*t, False) for t in NOTICES))
 
 _MARK = re.compile(r"<<(optional|end|var:\d+)>>|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -84,6 +114,7 @@ class Automaton:
     anything: list[int] = field(default_factory=lambda: [-1])
     free: list[list[int]] = field(default_factory=lambda: [[]])
     final: int = 0
+    whole: bool = False
 
     def state(self) -> int:
         self.words.append({})
@@ -118,8 +149,8 @@ class Automaton:
         return out
 
 
-def compiled(label: str, template: str) -> Automaton:
-    a = Automaton(label)
+def compiled(label: str, template: str, whole: bool = False) -> Automaton:
+    a = Automaton(label, whole=whole)
     now, opened = 0, []
     for mark in _MARK.finditer(template.lower()):
         kind = mark[1]
@@ -192,8 +223,11 @@ class Scanner:
             whole = start + len(phrase) <= words.bounds[text + 1]
             yield label, start[whole], text[whole]
 
-    def template_places(self, words: Words, symbols: np.ndarray) -> Iterator[tuple[str, int, int, int]]:
-        """(label, text, start word, end word) of every accepted place, the longest from each start."""
+    def template_places(self, words: Words, symbols: np.ndarray) -> Iterator[tuple[str, int, int, int, bool]]:
+        """(label, text, start word, end word, whole) of every accepted place, the longest from each start.
+
+        The text of a license may begin with that of another: of whole texts with one start the longest counts.
+        """
         following = np.concatenate((symbols[1:], [0])) if len(symbols) else symbols
         first = np.flatnonzero(symbols)
         for key, tried in ((symbols[first] * self.width + following[first], True), (symbols[first] * self.width, False)):
@@ -203,6 +237,7 @@ class Scanner:
             for start, k in zip(first[known].tolist(), key[known].tolist()):
                 text = int(words.text_of(np.array([start]))[0])
                 limit = int(words.bounds[text + 1])
+                found = []
                 for a in (self.automata[i] for i in self.openings[k]):
                     states, at, end = a.reach({0}), start, 0
                     while states:
@@ -214,7 +249,11 @@ class Scanner:
                         states = a.step(states, word)
                         at += 1
                     if end:
-                        yield a.label, text, start, end
+                        found.append((a, end))
+                longest = max((end for a, end in found if a.whole), default=0)
+                for a, end in found:
+                    if not a.whole or end == longest:
+                        yield a.label, text, start, end, a.whole
 
 
 def _scan(scanner: Scanner):
@@ -234,9 +273,9 @@ def _scan(scanner: Scanner):
                     for t in np.unique(text).tolist():
                         labels[t].add(label)
                 places: list[set] = [set() for _ in range(n)]
-                for label, text, start, end in scanner.template_places(words, symbols):
+                for label, text, start, end, all_ in scanner.template_places(words, symbols):
                     begin = int(words.bounds[text])
-                    places[text].add((start - begin, end - begin, label))
+                    places[text].add((start - begin, end - begin, label, all_))
                 none = count == 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -247,8 +286,10 @@ def _scan(scanner: Scanner):
                         pa.array(high, pa.int64(), mask=none),
                         pa.array([sorted(x) for x in labels], pa.list_(pa.string())),
                         pa.array(
-                            [[{"label": c, "start": a, "end": b} for a, b, c in sorted(x)] for x in places],
-                            pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])),
+                            [[{"label": c, "start": a, "end": b, "whole": d} for a, b, c, d in sorted(x)] for x in places],
+                            pa.list_(
+                                pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("whole", pa.bool_())])
+                            ),
                         ),
                     ],
                     ["doc_id", "n_words", "n_base", "first_word", "last_word", "base", "places"],
@@ -263,15 +304,16 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _scan(Scanner(templates)),
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>,"
-        " places array<struct<label:string,start:long,end:long>>",
+        " places array<struct<label:string,start:long,end:long,whole:boolean>>",
     )
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
-    """The score is 1 where a whole template is accepted, 0.5 for a base phrase alone, else 0."""
+    """The score is 1 where the whole text of a license is accepted, 0.75 for a notice, 0.5 for a base phrase alone, else 0."""
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     labels = F.array_sort(F.array_union("base", F.transform("places", lambda x: x["label"])))
-    score = F.when(F.size("places") > 0, 1.0).when(F.col("n_base") > 0, 0.5).otherwise(0.0)
+    whole = F.exists("places", lambda x: x["whole"])
+    score = F.when(whole, 1.0).when(F.size("places") > 0, 0.75).when(F.col("n_base") > 0, 0.5).otherwise(0.0)
     return found.select(
         "doc_id",
         "n_words",

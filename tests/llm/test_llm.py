@@ -183,6 +183,50 @@ def test_licenses(docs, rows):
     assert [p.label for p in got[next(r[0] for r in rows if r[1] and "Apache" in r[1])].places] == ["apache-2.0"]
 
 
+def test_whole_licenses_are_told_from_parts_and_notices(spark, tmp_path):
+    conditions = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met:\n{0}. Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer.\n{1}. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+        the distribution.\n"""
+    third = """3. Neither the name of the Example Society nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission.\n"""
+    disclaimer = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+        ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+        LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+        CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+        SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    grant = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and
+        this permission notice shall be included in all copies or substantial portions of the Software.\n"""
+    as_is = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+        COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    x11 = """\nExcept as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to
+        promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."""
+    cases = [
+        (conditions.format(1, 2) + disclaimer, "bsd-2-clause", 1.0),
+        (conditions.format("*", "*") + disclaimer, "bsd-2-clause", 1.0),
+        (conditions.format(1, 2) + third + disclaimer, "bsd-3-clause", 1.0),
+        (conditions.format(1, 2), "", 0.0),
+        (grant + as_is, "mit", 1.0),
+        (grant, "", 0.0),
+        (grant + "The Software shall be used for Good, not Evil.\n" + as_is, "", 0.0),
+        (grant + as_is + x11, "x11", 1.0),
+        ("Licensed under the MIT license.", "mit", 0.75),
+    ]
+    (tmp_path / "data").mkdir()
+    data = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    data.write.parquet(str(tmp_path / "data/documents.parquet"))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.op6_licenses(spark, str(tmp_path / "data")).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+
+
 def test_template_regions():
     a = licenses.compiled("x", "one <<optional>>two <<optional>>three<<end>><<end>> <<var:2>> four")
 
