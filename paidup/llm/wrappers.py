@@ -3,7 +3,7 @@
 The trees of the pages of a host are aligned with the tree of one of them by simple tree matching;
 siblings of one kind in a row are one slot that repeats. Over all pages of the host it is then
 counted which text stands in which slot. A short text that stands in the same slot of most different
-pages is template, what varies is content. Elements that are never article text (menus, headers,
+pages that have this slot is template, what varies is content. Pages without any element are not chosen. Elements that are never article text (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, comments) go by their names, before and beyond
 that, so pages of small hosts have a result, too.
 
@@ -25,7 +25,7 @@ from paidup.llm.dom import Node, blocks, parse
 from paidup.llm.session import prepared
 from paidup.workspace import Workspace
 
-#: Different pages of a host, and the share of them, that make a constant text template.
+#: Different pages of a host that have a slot, and the share of them, that make a constant text template.
 PAGES, SHARE = 8, 0.6
 #: Words of the longest text that can be template.
 SHORT = 25
@@ -191,8 +191,9 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, slots, texts, pages = [], [], [], []
         for host, page, model in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "model"))):
             digest = _hash(page)
-            seen = {(s, _hash(t)) for s, t in page_blocks(page, _model(model, known)) if s >= 0 and t.count(" ") < SHORT}
-            seen.add((-1, 0))
+            found = [(s, t) for s, t in page_blocks(page, _model(model, known)) if s >= 0]
+            seen = {(s, _hash(t)) for s, t in found if t.count(" ") < SHORT}
+            seen |= {(-1 - s, 0) for s, _ in found}  # the page has the slot
             for slot, text in seen:
                 hosts.append(host)
                 slots.append(slot)
@@ -251,7 +252,7 @@ def extract(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) ->
     ).withColumn("host", F.when(host != "", host))
     hosted = own.filter("host is not null")
     # a host needs as many pages as make a constant text template
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("n"), F.min(F.xxhash64("html")).alias("least"))
+    sizes = hosted.groupBy("host").agg(F.count("*").alias("n"), F.min(F.when(F.col("html").rlike("<[A-Za-z]"), F.xxhash64("html"))).alias("least"))
     sizes = workspace.stage(sizes, "hosts")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     hot = sizes.filter(F.col("n") * PARTS >= total).select("host", F.ceil(F.col("n") * PARTS / max(total, 1)).cast("long").alias("parts"))
@@ -262,8 +263,8 @@ def extract(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) ->
         _slots, "host string, slot int, text long, page long"
     )
     counts = workspace.stage(seen.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("pages")), "slots")
-    all_ = counts.filter("slot = -1").select("host", F.col("pages").alias("all"))
-    constant = counts.filter("slot >= 0").join(all_, "host").filter(
+    all_ = counts.filter("slot < 0").select("host", (-1 - F.col("slot")).alias("slot"), F.col("pages").alias("all"))
+    constant = counts.filter("slot >= 0").join(all_, ["host", "slot"]).filter(
         (F.col("all") >= least_pages) & (F.col("pages") >= F.col("all") * share)
     )
     wrappers = constant.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("constant")).join(models, "host")

@@ -333,6 +333,21 @@ def test_main_text(spark):
     assert dom.parse("<a href='x>").children  # an open quote ends nothing
 
 
+def test_main_text_with_empty_pages_and_a_second_layout(spark):
+    page = lambda k: f"<html><body><article><h1>T{k}</h1><p class=x>Join our list</p><section>Own words {k}</section></article></body>"
+    other = lambda k: f"<html><body><article><h2>U{k}</h2><div>Other words {k}</div></article></body>"
+    pages = [(100 * h + k, f"http://e{h}/{k}", page(100 * h + k)) for h in range(8) for k in range(9)]
+    pages += [(100 * h + 50, f"http://e{h}/", "" if h % 2 else None) for h in range(8)]
+    pages += [(5000 + 100 * h + k, f"http://m{h}/{k}", page(100 * h + k)) for h in range(8) for k in range(12)]
+    pages += [(5050 + 100 * h + k, f"http://m{h}/o{k}", other(k)) for h in range(8) for k in range(12)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(pages)
+    assert not [k for k, text in got.items() if k < 5000 and "Join our list" in text]
+    assert got[103] == "T103\n\nOwn words 103" and got[5052] == "U2\n\nOther words 2"
+    # the layout of the chosen page is on half the pages; where it is the other one, this one keeps its constant text (open)
+    assert [h for h in range(8) if "Join our list" not in got[5000 + 100 * h]]
+
+
 def test_packing(docs, rows):
     got = packing.pack(packing.pieces_of(docs, pieces.tokenizer_path("word_bpe_49k.json"), 0, True), group=20).toPandas()
     total = 0
