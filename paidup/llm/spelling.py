@@ -9,8 +9,8 @@ second pivot leaves everything from there on. So a word looks up two keys for ea
 part of the word up to the first pivot, the part from the second pivot on) among the like parts of
 all words at their prefix grams; what meets is verified by edit distance.
 
-The order of the grams is a table of at most 94 x 94 rows, whatever the corpus (a word has letters of
-an alphabet of 26 and 64, and blanks never). Keys that many words share are cut into cells of bounded size on both sides.
+The order of the grams is a table of at most 90 x 90 rows, whatever the corpus (26 letters and the 64
+from U+00C0 to U+00FF). Keys that many words share are cut into cells of bounded size on both sides.
 
 Null texts hold no words, and a null doc_id counts as an empty text in the checksum. Equal ids and
 repeated rows count as often as they stand there.
@@ -187,7 +187,7 @@ def _dealt(rows: DataFrame, heavy: DataFrame, own: str, other: str) -> DataFrame
 def near_words(words: DataFrame, workspace: Workspace) -> DataFrame:
     """(a, a_n, b, b_n), a < b: all pairs of words (word, n) with an edit distance of one, each once."""
     counted = words.select("word").mapInArrow(_gram_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = counted.orderBy("n", "gram").collect()  # at most 94 x 94 rows
+    grams = counted.orderBy("n", "gram").collect()  # at most 90 x 90 rows
     order = {row["gram"]: (rank, row["n"]) for rank, row in enumerate(grams)}
     signed = words.mapInArrow(_signatures(order), "word string, n long, ends long, asked array<string>, filed array<string>")
     size = F.length("word")
@@ -238,9 +238,8 @@ def spelling_groups(docs: DataFrame) -> DataFrame:
     workspace = Workspace(prepared(docs.sparkSession, 4096))
     words = workspace.stage(vocabulary(docs), "words")
     pairs = near_words(words, workspace)
-    one = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n"))
-    two = pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))
-    best = one.unionAll(two).groupBy("word").agg(
+    sides = [F.struct(F.col(w).alias("word"), F.col(x).alias("near"), F.col(f"{x}_n").alias("near_n")) for w, x in ("ab", "ba")]
+    best = pairs.select(F.inline(F.array(*sides))).groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
     )
     near = workspace.stage(words.join(best, "word", "left"), "near")
