@@ -43,6 +43,8 @@ WINDOW = LEAST - GRAM + 1
 HOT = 50_000
 #: Bytes of documents for one bucket of keys, and for one bucket of runs.
 KEY_BYTES, RUN_BYTES = 16 << 20, 8 << 20
+#: Bytes of a chunk whose runs are found in one go, and parts of a bucket that are worked on in turn.
+SLICE, SHARES = 1 << 20, 8
 
 _NONE = np.iinfo(np.int64).min
 _KEY = np.uint64(0x2545F4914F6CDD1D)
@@ -72,46 +74,80 @@ def _rows(body: bytes) -> pa.RecordBatch:
         return stream.read_next_batch()
 
 
-class Runs:
-    """The runs of a chunk: ``start``, ``count`` of strings that begin in it, and ``key``."""
+class Slice:
+    """A stretch of a chunk: the strings that start in places ``begin`` to ``end``, with the arrays to find its runs."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.offsets = data, offsets
-        n = len(data) - LEAST + 1
-        empty = np.zeros(0, np.int64)
-        self.start, self.count, self.key = empty, empty, np.zeros(0, np.uint64)
-        if n <= 0:
-            return
-        self.by_size = _rolling(data)
-        grams = mixed(self.by_size[GRAM])
-        least = _sliding(np.minimum, grams)
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-        whole = np.arange(n) + LEAST <= offsets[text + 1]
-        begin = whole.copy()
-        begin[1:] &= (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, begin: int, end: int):
+        self.begin = begin
+        self.by_size = _rolling(data[begin : end + LEAST - 1])
+        self.grams = mixed(self.by_size[GRAM])
+        self.least = _sliding(np.minimum, self.grams)
+        first, last = (int(np.searchsorted(offsets, x, side="right")) - 1 for x in (begin, end - 1))
+        self.text = np.repeat(np.arange(first, last + 1), np.diff(offsets[first : last + 2].clip(begin, end)))
+        #: Strings that do not go beyond their text.
+        self.whole = np.arange(begin + LEAST, end + LEAST) <= offsets[self.text + 1]
+
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """Start, count and key of the runs, and the hashes of the first and the last string of each."""
+        begin = self.whole.copy()
+        begin[1:] &= (self.least[1:] != self.least[:-1]) | (self.text[1:] != self.text[:-1])
         start = np.flatnonzero(begin)
-        last = whole.copy()
-        last[:-1] &= begin[1:] | ~whole[1:]
+        last = self.whole.copy()
+        last[:-1] &= begin[1:] | ~self.whole[1:]
         count = np.flatnonzero(last) + 1 - start
         # long runs (periodic text) are cut, so that the strings at both ends cover a run
         pieces = -(-count // WINDOW)
         number = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        self.start = np.repeat(start, pieces) + number * WINDOW
-        self.count = np.minimum(WINDOW, np.repeat(count, pieces) - number * WINDOW)
-        self.key = mixed(least[self.start] + _KEY)
-        self.grams, self.least = grams, np.where(whole, least, np.uint64(0))
+        start = np.repeat(start, pieces) + number * WINDOW
+        count = np.minimum(WINDOW, np.repeat(count, pieces) - number * WINDOW)
+        ends = (_strings(self.by_size, at) for at in (start, start + count - 1))
+        return start + self.begin, count, mixed(self.least[start] + _KEY), *ends
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """The different keys, and how many pieces have each: two of a key in one run make it repeated, too."""
-        if not len(self.key):
-            return self.key, np.zeros(0, np.int64)
         edge = np.zeros(WINDOW - 1, np.uint64)
-        chosen = self.grams == _sliding(np.maximum, np.concatenate((edge, self.least, edge)))
+        least = np.where(self.whole, self.least, np.uint64(0))
+        chosen = self.grams == _sliding(np.maximum, np.concatenate((edge, least, edge)))
         return np.unique(mixed(self.grams[chosen] + _KEY), return_counts=True)
 
-    def strings(self, at: np.ndarray) -> np.ndarray:
-        """The hash of the string at each place."""
-        return _strings(self.by_size, at)
+
+def _slices(data: np.ndarray, offsets: np.ndarray) -> Iterator[Slice]:
+    """One at a time: a slice takes some seventy bytes a byte of text, a chunk only those of its runs. A run that a slice cuts
+    is two runs with one key, and a piece near a cut may count twice, which costs a message and changes nothing."""
+    n = len(data) - LEAST + 1
+    for begin in range(0, n, SLICE):
+        yield Slice(data, offsets, begin, min(begin + SLICE, n))
+
+
+def key_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of a chunk and how many pieces have each."""
+    found = [x.counts() for x in _slices(data, offsets)]
+    key = np.concatenate([k for k, _ in found] or [np.zeros(0, np.uint64)])
+    count = np.concatenate([n for _, n in found] or [np.zeros(0, np.int64)])
+    different, place = np.unique(key, return_inverse=True)
+    return different, np.bincount(place, count, len(different)).astype(np.int64)
+
+
+class Runs:
+    """The runs of a chunk: ``start``, ``count`` of strings that begin in it, ``key``, and hashes of its ``first`` and ``last`` string."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets
+        found = [x.runs() for x in _slices(data, offsets)]
+        empty = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 3
+        self.start, self.count, self.key, self.first, self.last = map(np.concatenate, zip(*found)) if found else empty
+
+
+def strings_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash of the string at each place, a slice of the data at a time."""
+    out = np.zeros(len(at), np.uint64)
+    order = np.argsort(at, kind="stable")
+    ranked = at[order]
+    for begin in range(0, len(data), SLICE):
+        a, b = np.searchsorted(ranked, (begin, begin + SLICE))
+        if a < b:
+            out[order[a:b]] = _strings(_rolling(data[begin : begin + SLICE + LEAST - 1]), ranked[a:b] - begin)
+    return out
 
 
 def _sliding(choice: np.ufunc, x: np.ndarray) -> np.ndarray:
@@ -163,7 +199,7 @@ def _send_keys(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("rows")):
-                key, count = Runs(*utf8(_rows(body.as_buffer()).column("text"))).counts()
+                key, count = key_counts(*utf8(_rows(body.as_buffer()).column("text")))
                 count = np.minimum(count, 65535).astype(np.uint16)
                 out = {"bucket": [], "chunk": [], "keys": [], "counts": []}
                 for bucket, own in _by_bucket(key, buckets):
@@ -197,6 +233,7 @@ _PARTS = pa.schema(
         ("spans", pa.bool_()),  # spans of the chunk itself, on their way to its end
         ("starts", pa.binary()),
         ("counts", pa.binary()),
+        ("shares", pa.binary()),  # which share of the bucket each run belongs to
         ("digests", pa.binary()),
         ("places", pa.binary()),
         ("body", pa.binary()),
@@ -234,8 +271,9 @@ def _repeated(rows, runs: Runs, chunk: int, replies: list, key_buckets: int, buc
     if not len(start):
         return out
     count = np.concatenate((runs.count[some], np.ones(len(single), np.int64)))
-    first, last = runs.strings(start), runs.strings(start + count - 1)
-    key = np.concatenate((runs.key[some], first[len(start) - len(single) :]))
+    alone = strings_at(runs.data, single)
+    first, last = np.concatenate((runs.first[some], alone)), np.concatenate((runs.last[some], alone))
+    key = np.concatenate((runs.key[some], alone))
     digest = mixed(last + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     text = np.searchsorted(runs.offsets, start, side="right") - 1
     doc = np.asarray(rows.column("doc_id").cast(pa.int64()).fill_null(_NONE))[text]
@@ -252,11 +290,12 @@ def _repeated(rows, runs: Runs, chunk: int, replies: list, key_buckets: int, buc
         out["starts"].append(start[own].tobytes())
         out["counts"].append((count[own] + (LEAST - 1 if spans else 0)).astype(np.int64).tobytes())
         if spans:
-            for name in ("digests", "places", "body"):
+            for name in ("shares", "digests", "places", "body"):
                 out[name].append(None)
             return
         size = count[own] + LEAST - 1
         at = np.arange(int(size.sum())) + np.repeat(start[own] - np.cumsum(size) + size, size)
+        out["shares"].append((key[own] // np.uint64(buckets) % np.uint64(SHARES)).astype(np.uint8).tobytes())
         out["digests"].append(np.concatenate((first[own], digest[own])).tobytes())
         out["places"].append(np.concatenate((doc[own], text[own], within[own])).astype(np.int64).tobytes())
         out["body"].append(pa.compress(runs.data[at].tobytes(), codec="zstd", asbytes=True))
@@ -271,23 +310,34 @@ def _repeated(rows, runs: Runs, chunk: int, replies: list, key_buckets: int, buc
 _SPANS = "chunk long, starts binary, sizes binary"
 
 
-class Bucket:
-    """The different runs of a bucket, and which of their suffixes are repeats."""
+class Received:
+    """The runs that chunks sent to a bucket, as they came. Equal strings are in one share, and shares are worked on in turn."""
 
     def __init__(self, rows: pd.DataFrame):
         self.counts = np.concatenate([np.frombuffer(x, np.int64) for x in rows["counts"]])
         self.starts = np.concatenate([np.frombuffer(x, np.int64) for x in rows["starts"]])
+        self.shares = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["shares"]])
         each = [len(x) // 8 for x in rows["counts"]]
         self.chunk = np.repeat(rows["chunk"].to_numpy(), each)
-        pair = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in rows["digests"]]
-        place = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in rows["places"]], axis=1)
-        first, digest = np.concatenate(pair, axis=1)
-        sizes = self.counts + LEAST - 1
-        data = [
-            np.frombuffer(pa.decompress(x, int(sizes_.sum()), codec="zstd", asbytes=True), np.uint8)
-            for x, sizes_ in zip(rows["body"], np.split(sizes, np.cumsum(each)[:-1]))
-        ]
-        self.data = np.concatenate(data)
+        self.digests = np.concatenate([np.frombuffer(x, np.uint64).reshape(2, -1) for x in rows["digests"]], axis=1)
+        self.places = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in rows["places"]], axis=1)
+        self.sizes = self.counts + LEAST - 1
+        self.data = np.concatenate(
+            [
+                np.frombuffer(pa.decompress(x, int(own.sum()), codec="zstd", asbytes=True), np.uint8)
+                for x, own in zip(rows["body"], np.split(self.sizes, np.cumsum(each)[:-1]))
+            ]
+        )
+
+
+class Bucket:
+    """The different runs of a share of a bucket, and which of their suffixes are repeats."""
+
+    def __init__(self, received: Received, share: int):
+        own = received.shares == share
+        self.counts, self.starts, self.chunk = received.counts[own], received.starts[own], received.chunk[own]
+        (first, digest), place, sizes = received.digests[:, own], received.places[:, own], received.sizes[own]
+        self.data = received.data[np.repeat(own, received.sizes)]
         self.at = np.cumsum(sizes) - sizes
         # the earliest of equal runs stands for them, the others are repeats as a whole
         order = np.lexsort((place[2], place[1], self.chunk, place[0], digest, first))
@@ -307,8 +357,7 @@ class Bucket:
         if not len(begin):
             return
         # strings that no other suffix begins with are no part of an interval
-        string = _strings(_rolling(self.data), begin)
-        _, where, often = np.unique(string, return_inverse=True, return_counts=True)
+        _, where, often = np.unique(strings_at(self.data, begin), return_inverse=True, return_counts=True)
         self.some = np.flatnonzero(often[where] > 1)
         if not len(self.some):
             return
@@ -342,8 +391,9 @@ def _find(rows: pd.DataFrame) -> pd.DataFrame:
     start = [np.frombuffer(x, np.int64) for x in own["starts"]]
     size = [np.frombuffer(x, np.int64) for x in own["counts"]]
     rows = rows[~rows["spans"]]
-    if len(rows):
-        bucket = Bucket(rows)
+    received = Received(rows) if len(rows) else None
+    for share in np.unique(received.shares).tolist() if received else ():
+        bucket = Bucket(received, share)
         chunk.append(bucket.chunk[bucket.again])
         start.append(bucket.starts[bucket.again])
         size.append(bucket.counts[bucket.again] + LEAST - 1)
@@ -379,12 +429,12 @@ def _find(rows: pd.DataFrame) -> pd.DataFrame:
 def _removed(rows: pa.RecordBatch, spans: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of the chunk, the bounds of its texts, and which bytes go."""
     data, offsets = utf8(rows.column("text"))
-    turn = np.zeros(len(data) + 1, np.int64)
+    turn = np.zeros(len(data) + 1, np.int32)
     for span in spans or []:
         start, size = np.frombuffer(span["starts"], np.int64), np.frombuffer(span["sizes"], np.int64)
         np.add.at(turn, start, 1)
         np.add.at(turn, start + size, -1)
-    return data, offsets, np.cumsum(turn[:-1]) > 0
+    return data, offsets, np.cumsum(turn[:-1], dtype=np.int32) > 0
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,8 +489,6 @@ class Repeats:
         workspace = Workspace(spark)
         chunks = docs.mapInArrow(_to_chunks, "chunk long, size long, rows binary")
         self.chunks = workspace.stage(chunks, "chunks")
-        # a row is megabytes long: one at a time
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
         total = self.chunks.agg(F.sum("size")).first()[0] or 0
         keys, self.buckets = 1 + total // key_bytes, 1 + total // run_bytes
         sent = self.chunks.mapInArrow(_send_keys(keys), "bucket long, chunk long, keys binary, counts binary")
@@ -449,8 +497,8 @@ class Repeats:
         asked = self.chunks.join(replies, "chunk")
         self.runs = asked.mapInArrow(
             _send_runs(keys, self.buckets),
-            "bucket long, chunk long, spans boolean, starts binary, counts binary, digests binary,"
-            " places binary, body binary",
+            "bucket long, chunk long, spans boolean, starts binary, counts binary, shares binary,"
+            " digests binary, places binary, body binary",
         )
         spans = workspace.stage(self.runs.groupBy("bucket").applyInPandas(_find, _SPANS), "spans")
         self.spans = spans.groupBy("chunk").agg(F.collect_list(F.struct("starts", "sizes")).alias("all_spans"))

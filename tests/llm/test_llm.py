@@ -99,6 +99,38 @@ def test_repeats_of_empty_tables_and_null_ids(docs):
     assert repeats.Repeats(docs).marked().mapInArrow(repeats._cut, docs.schema).filter("doc_id is null").count() == 1
 
 
+def test_slices_find_the_same_strings(monkeypatch):
+    """A chunk cut into small slices has the same key for every string, and the same hashes at the ends of its runs."""
+    draw = np.random.default_rng(3)
+    data = draw.integers(97, 101, 4000).astype(np.uint8)
+    data[2000:2600] = data[100:700]
+    data[3000:3400] = 97
+    offsets = np.array([0, 0, 500, 520, 520, 2500, 4000])
+
+    def strings(size):
+        monkeypatch.setattr(repeats, "SLICE", size)
+        runs = repeats.Runs(data, offsets)
+        for at, found in ((runs.start, runs.first), (runs.start + runs.count - 1, runs.last)):
+            assert (repeats.strings_at(data, at) == found).all()
+        keys = {s + i: k for s, n, k in zip(runs.start.tolist(), runs.count.tolist(), runs.key.tolist()) for i in range(n)}
+        assert set(runs.key.tolist()) == set(repeats.key_counts(data, offsets)[0].tolist())
+        return keys
+
+    whole = strings(1 << 20)
+    assert strings(300) == strings(101) == whole
+    text = np.searchsorted(offsets, np.arange(4000), side="right")
+    assert set(whole) == {i for i in range(3901) if i + 100 <= offsets[text[i]]}
+
+
+def test_a_long_text_that_repeats_itself(spark):
+    draw = np.random.default_rng(9)
+    new = draw.integers(97, 123, 8_000_000).astype(np.uint8).tobytes().decode()
+    df = spark.createDataFrame([(1, new + new[:3_000_000]), (2, "x" + new[4_000_000:4_000_200])], "doc_id long, text string")
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    got = sorted(tuple(r)[:4] for r in repeats.Repeats(df).marked().mapInArrow(repeats._digests, kind).collect())
+    assert got == [(1, 11_000_000, 3_000_000, 1), (2, 201, 200, 1)]
+
+
 def test_maximal_repeats_have_all_occurrences():
     data = np.frombuffer(b"xabcdeyabcdezabcdqabcd", np.uint8)
     n = len(data)
