@@ -19,7 +19,7 @@ from paidup.functions.fingerprint import payment_fingerprint
 from paidup.functions.money import cents, parse_int, parse_money
 from paidup.functions.dates import day_first_date, statement_date
 from paidup.functions.text import normal
-from paidup.operators import amounts, decisions as dec, docref, dunning, identify as idn, ledger, reports, worklist
+from paidup.operators import amounts, candidates as cand, decisions as dec, docref, dunning, identify as idn, ledger, reports, worklist
 from paidup.operators.cascade import already_processed, match_counters, match_payments, not_yet_processed, payments_of
 from paidup.operators.classify import classify, date_filter_counts, flow_of, movement_summary, value_counts
 from paidup.operators.consolidate import consolidate_items, exceptions_of, first_payments
@@ -79,19 +79,25 @@ def run_cascade(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[str, str], str] = {}
+def run_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The cascade on a few clients with very many invoices."""
+    none = [w.aliases(spark, sf).limit(0), w.decisions(spark, sf).limit(0), w.history(spark, sf).limit(0)]
+    return match_payments(w.segment_movements(spark, sf), w.segment_items(spark, sf), *none, SETTINGS)
 
 
-def stored_matches(spark: SparkSession, sf: str) -> DataFrame:
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_matches(spark: SparkSession, sf: str, run: Query = run_cascade) -> DataFrame:
     """The match table of a run, written once per session and data set."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, run.__name__)
     if key in _STORED:
         try:
             return spark.read.schema(MATCH_RESULT).parquet(_STORED[key])
         except AnalysisException:
             del _STORED[key]
     path = Workspace(spark).root + "/matches"
-    run_cascade(spark, sf).write.parquet(path)
+    run(spark, sf).write.parquet(path)
     _STORED[key] = path
     return spark.read.schema(MATCH_RESULT).parquet(path)
 
@@ -104,6 +110,11 @@ def _exceptions(spark: SparkSession, sf: str) -> DataFrame:
     return exceptions_of(stored_matches(spark, sf))
 
 
+def _exception_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Exceptions as the exchange file has them, with all candidates in the row."""
+    return exceptions_of(cand.with_lists(stored_matches(spark, sf), w.open_items(spark, sf)))
+
+
 # --- ingest, classification, aging -------------------------------------------------------------
 
 
@@ -341,8 +352,7 @@ def exact_hits(spark, sf):
     ws = Workspace(spark)
     items = ws.stage(amounts.priced_items(w.open_items(spark, sf)), "items")
     asked = _queries_of(spark, sf, ws).select("client_norm", "cents").distinct()
-    (hot,) = hot_keys(items, ["client_norm", "cents"])
-    return plain(amounts.exact_hits(asked, amounts.price_levels(items, SETTINGS, hot), SETTINGS))
+    return plain(amounts.exact_hits(asked, amounts.price_levels(items), SETTINGS))
 
 
 @query
@@ -372,19 +382,17 @@ def reference_hits(spark, sf):
     ws = Workspace(spark)
     items = ws.stage(amounts.priced_items(w.open_items(spark, sf)), "items")
     named = ws.stage(_queries_of(spark, sf, ws).select("payment_id", "client_norm", "description"), "named")
-    profiles = ws.stage(amounts.client_profiles(items, SETTINGS), "profiles")
-    return plain(docref.quoted_documents(named, items, profiles, ws, SETTINGS))
+    return plain(docref.quoted_documents(named, items, ws))
 
 
 @query
 def reference_hits_of_many(spark, sf):
-    """The same with every client treated as one with many invoices."""
+    """The same for a few clients with very many invoices, several to a number."""
     ws = Workspace(spark)
-    settings = MatchSettings(listed_items=1, max_items_for_sums=1)
-    items = ws.stage(amounts.priced_items(w.open_items(spark, sf)), "items")
-    named = ws.stage(_queries_of(spark, sf, ws).select("payment_id", "client_norm", "description"), "named")
-    profiles = ws.stage(amounts.client_profiles(items, settings), "profiles")
-    return plain(docref.quoted_documents(named, items, profiles, ws, settings))
+    items = ws.stage(amounts.priced_items(w.segment_items(spark, sf)), "items")
+    rows = idn.identify(payments_of(w.segment_movements(spark, sf)), w.aliases(spark, sf).limit(0), items, ws)
+    named = ws.stage(rows.select("payment_id", F.col("client").alias("client_norm"), "description"), "named")
+    return plain(docref.quoted_documents(named, items, ws))
 
 
 # --- cascade, consolidation ----------------------------------------------------------------------
@@ -392,7 +400,21 @@ def reference_hits_of_many(spark, sf):
 
 @query
 def match_cascade(spark, sf):
-    return plain(run_cascade(spark, sf))
+    """Every payment with its outcome; all candidates in the row, as the exchange files have them."""
+    return plain(cand.with_lists(run_cascade(spark, sf), w.open_items(spark, sf)))
+
+
+@query
+def match_large_clients(spark, sf):
+    """The outcomes for clients with very many invoices, candidate sets named by client and amount."""
+    rows = stored_matches(spark, sf, run_segments)
+    return plain(rows.drop("value_date", "fingerprint", "note"))
+
+
+@query
+def candidate_sets(spark, sf):
+    """The invoices of every candidate set of the large clients, each once."""
+    return cand.candidate_sets(stored_matches(spark, sf, run_segments), w.segment_items(spark, sf))
 
 
 @query
@@ -429,7 +451,7 @@ def priority_counts(spark, sf):
 
 @query
 def exceptions(spark, sf):
-    return plain(_exceptions(spark, sf))
+    return plain(_exception_lists(spark, sf))
 
 
 @query
@@ -531,9 +553,10 @@ def exceptions_by_origin(spark, sf):
 
 @query
 def candidate_labels(spark, sf):
-    items = w.open_items(spark, sf)
-    candidates = worklist.candidate_documents(stored_matches(spark, sf), items)
-    return worklist.candidate_labels(candidates, _base(spark, sf)).select("payment_id", "document", "label")
+    """Candidates with their labels: rows of sets once, by client and amount; of other lists by payment."""
+    matches = stored_matches(spark, sf)
+    rows = cand.candidates(matches, cand.candidate_sets(matches, w.open_items(spark, sf)))
+    return worklist.candidate_labels(rows, _base(spark, sf)).select("client", "cents", "payment_id", "document", "label")
 
 
 @query
@@ -543,7 +566,30 @@ def client_choices(spark, sf):
 
 @query
 def decision_options(spark, sf):
-    return worklist.decision_options(_exceptions(spark, sf), _base(spark, sf))
+    sets = cand.candidate_sets(stored_matches(spark, sf), w.open_items(spark, sf))
+    return worklist.decision_options(_exceptions(spark, sf), _base(spark, sf), sets)
+
+
+@query
+def decision_options_large_clients(spark, sf):
+    """The same for clients with very many equal invoices: a set's options once, not once a payment."""
+    matches, items = stored_matches(spark, sf, run_segments), w.segment_items(spark, sf)
+    sets = cand.candidate_sets(matches, items)
+    return worklist.decision_options(exceptions_of(matches), consolidate_items(items, matches), sets)
+
+
+@query
+def decisions_allowed(spark, sf):
+    """Every payment applied to its own order's invoice: the requests that the options of the payment hold."""
+    matches = stored_matches(spark, sf)
+    sets = cand.candidate_sets(matches, w.open_items(spark, sf))
+    options = worklist.decision_options(_exceptions(spark, sf), _base(spark, sf), sets)
+    asked = matches.select(
+        "payment_id",
+        F.lit("APLICAR_FACTURA").alias("action"),
+        F.concat(F.lit("FV-"), F.col("payment_id").cast("string")).alias("document"),
+    )
+    return worklist.allowed(asked, _exceptions(spark, sf), options)
 
 
 @query
@@ -561,6 +607,19 @@ def dunning_letters(spark, sf):
     return plain(dunning.dunning_letters(_base(spark, sf), w.CUTOFF))
 
 
+@query
+def dunning_lines(spark, sf):
+    """The lines of all letters in order."""
+    return dunning.dunning_lines(_base(spark, sf), Workspace(spark))
+
+
+@query
+def letters_large_clients(spark, sf):
+    """Letters of clients with very many invoices as ordered rows: opening, lines, closing."""
+    base = w.segment_items(spark, sf).withColumn("is_paid", F.lit(False))
+    return dunning.letter_rows(dunning.dunning_letters(base, w.CUTOFF), dunning.dunning_lines(base, Workspace(spark)))
+
+
 # --- files and ledgers: written from the derived tables, read back by the sources ----------------
 
 
@@ -649,8 +708,9 @@ def exceptions_exchange(spark, sf):
     from paidup.sources.outputs import EXCEPTIONS, export_csv, import_csv
 
     path = f"{Workspace(spark).root}/exceptions-csv"
-    export_csv(_exceptions(spark, sf), path)
-    rows = import_csv(spark, path, EXCEPTIONS)
+    rows = _exception_lists(spark, sf)
+    export_csv(rows, path)
+    rows = import_csv(spark, path, T.StructType([f for f in EXCEPTIONS.fields if f.name in rows.columns]))
     return plain(rows.select("payment_id", "value_date", "amount", "match_method", "documents", "n_documents", "origin"))
 
 

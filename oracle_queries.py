@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from paidup.config import NOTES, ORIGIN_LABELS, ORIGIN_DEFAULT, STAGE_LABELS
-from paidup.operators.dunning import SUBJECTS, TABLE_HEADER, TEMPLATES
+from paidup.operators.dunning import CLOSINGS, OPENINGS, SUBJECTS
 
 CUT = "DATE '2001-08-01'"
 
@@ -178,6 +178,33 @@ _TABLES = {
         count(*) AS invoices, sum(open_amount) AS total FROM base WHERE NOT is_paid GROUP BY 1""",
     "stages": f"""SELECT *, {_case("stage", STAGE_LABELS)} AS stage_label FROM (SELECT *, CASE worst_band WHEN 'AL_DIA' THEN 'SEMANA_0'
         WHEN '61-90' THEN 'SEMANA_4' WHEN '91-120' THEN 'SEMANA_5' WHEN '121+' THEN 'SEMANA_6' ELSE 'SEMANA_1_3' END AS stage FROM worst)""",
+    "sets": """SELECT client_norm, CAST(amount * 100 AS BIGINT) AS cents, item_ord, document FROM
+        (SELECT DISTINCT client AS client_norm, amount FROM m WHERE match_method = 'exacto_multiple') JOIN items USING (client_norm)
+        WHERE abs(open_amount - amount) <= 1""",
+    "sitems": f"""SELECT o_orderkey AS item_ord, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS client, upper(c_mktsegment) AS client_norm,
+        'FV-' || (o_orderkey // 8) AS document, CAST((1 + floor(o_totalprice / 100000)) * 100000 AS DECIMAL(18,2)) AS open_amount,
+        {CUT} - CAST(o_orderkey % 170 - 20 AS INTEGER) AS due_date, CAST(o_orderkey % 170 - 20 AS INTEGER) AS days_overdue,
+        {_band("(o_orderkey % 170 - 20)")} AS aging_band FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F'""",
+    "spay": f"""SELECT *, {_fp("description", "amount", "value_date")} AS fingerprint FROM (SELECT item_ord AS payment_id, client_norm,
+        open_amount + CASE item_ord % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 333 END AS amount, {CUT} - CAST(item_ord % 30 AS INTEGER) AS value_date,
+        'PAGO DE PROV ' || client_norm || CASE WHEN item_ord % 3 = 0 THEN '' ELSE ' REF ' || document END AS description FROM sitems)""",
+    "sexact": """SELECT client_norm, amount, count(*) AS n_exact, min(document) AS document FROM (SELECT DISTINCT client_norm, amount FROM spay)
+        JOIN sitems USING (client_norm) WHERE abs(open_amount - amount) <= 1 GROUP BY 1, 2""",
+    "squoted": """SELECT payment_id, CAST(sum(n) AS BIGINT) AS n_quoted, string_agg(document, ',' ORDER BY first) AS quoted FROM spay p JOIN
+        (SELECT client_norm, document, count(*) AS n, min(item_ord) AS first FROM sitems GROUP BY 1, 2) i
+        ON p.client_norm = i.client_norm AND contains(description, document) GROUP BY 1""",
+    "sm": """SELECT p.*, n_exact, CASE WHEN n_exact > 1 THEN 'AMBIGUO' WHEN n_exact = 1 OR n_quoted > 0 THEN 'ASOCIADO' ELSE 'NO_IDENTIFICADO' END AS match_state,
+        CASE WHEN n_exact > 1 THEN 'exacto_multiple' WHEN n_exact = 1 THEN 'exacto' WHEN n_quoted > 0 THEN 'referencia' ELSE 'ninguno' END AS match_method,
+        CASE WHEN n_exact > 1 THEN '' WHEN n_exact = 1 THEN document ELSE coalesce(quoted, '') END AS documents,
+        coalesce(n_exact, n_quoted, 0) AS n_documents, CASE WHEN n_exact > 1 THEN CAST(amount * 100 AS BIGINT) END AS candidate_cents
+        FROM spay p LEFT JOIN sexact USING (client_norm, amount) LEFT JOIN squoted USING (payment_id)""",
+    "ssets": """SELECT client_norm, candidate_cents AS cents, item_ord, document FROM
+        (SELECT DISTINCT client_norm, amount, candidate_cents FROM sm WHERE candidate_cents IS NOT NULL) JOIN sitems USING (client_norm)
+        WHERE abs(open_amount - amount) <= 1""",
+    "sstages": f"""SELECT *, CASE worst_band WHEN 'AL_DIA' THEN 'SEMANA_0' WHEN '61-90' THEN 'SEMANA_4' WHEN '91-120' THEN 'SEMANA_5'
+        WHEN '121+' THEN 'SEMANA_6' ELSE 'SEMANA_1_3' END AS stage FROM (SELECT client,
+        ['AL_DIA','0-30','31-60','61-90','91-120','121+'][max({_BAND_ORD})] AS worst_band, count(*) AS invoices, sum(open_amount) AS total
+        FROM sitems GROUP BY 1)""",
     "nat": """SELECT o_orderkey AS k, n_name, c_mktsegment, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey""",
     "cm": """SELECT upper(c_mktsegment || ' ' || n_name || ' SAS') AS client_norm, min(c_custkey) AS client_ord
@@ -241,9 +268,12 @@ _LINE = (
     "'| ' || document || ' | ' || strftime(due_date, '%Y-%m-%d') || ' | ' || days_overdue || ' | $' "
     "|| format('{:,}', CAST(open_amount AS BIGINT)) || ' |'"
 )
-_BODY = f"""replace(replace(replace({_case("stage", TEMPLATES)}, '{{deadline}}', '08 de agosto de 2001'), '{{table}}',
-    {_q(TABLE_HEADER)} || chr(10) || lines || chr(10) || '| **TOTAL** |  |  | **$' || format('{{:,}}', CAST(total AS BIGINT)) || '** |'),
-    '{{client}}', client)"""
+def _text(templates: dict[str, str]) -> str:
+    return f"replace(replace({_case('stage', templates)}, '{{deadline}}', '08 de agosto de 2001'), '{{client}}', client)"
+
+
+_CLOSING = f"""'| **TOTAL** |  |  | **$' || format('{{:,}}', CAST(total AS BIGINT)) || '** |' || {_text(CLOSINGS)}"""
+_POS_OF_LINE = "row_number() OVER (PARTITION BY client ORDER BY days_overdue DESC, document, item_ord)"
 
 _SQL = {
     "movements_typed": """SELECT movement_ord, CASE WHEN movement_ord % 50 <> 49 THEN value_date END AS value_date,
@@ -293,12 +323,15 @@ _SQL = {
         JOIN cmn ON contains(description, needle) GROUP BY 1""",
     "alias_identify": "SELECT payment_id, client FROM named WHERE client_method = 'alias'",
     "client_identify": "SELECT payment_id, client FROM named WHERE client_method = 'directo'",
-    "exact_hits": "SELECT client_norm, CAST(amount * 100 AS BIGINT) AS cents, n_exact, docs AS exact FROM exact",
+    "exact_hits": "SELECT client_norm, CAST(amount * 100 AS BIGINT) AS cents, n_exact, CASE WHEN n_exact = 1 THEN docs END AS exact FROM exact",
     "combos": "SELECT client_norm, CAST(k AS BIGINT) AS k, documents, CAST(total * 100 AS BIGINT) AS cents FROM sums",
     "accumulated_hits": "SELECT client_norm, CAST(amount * 100 AS BIGINT) AS cents, n_sums, docs AS first_sum FROM sumhit",
     "reference_hits": "SELECT payment_id, n_quoted, quoted FROM quoted",
-    "reference_hits_of_many": "SELECT payment_id, n_quoted, quoted FROM quoted",
+    "reference_hits_of_many": "SELECT payment_id, n_quoted, quoted FROM squoted",
     "match_cascade": f"SELECT {_M} FROM m",
+    "match_large_clients": """SELECT payment_id, CAST(amount AS DOUBLE) AS amount, description, client_norm AS client, match_state, match_method,
+        'directo' AS client_method, documents, n_documents, candidate_cents FROM sm""",
+    "candidate_sets": "SELECT client_norm, cents, item_ord, document FROM ssets",
     "match_state_counts": "SELECT match_state, match_method, client_method, count(*) AS rows FROM m GROUP BY 1, 2, 3",
     "match_totals": """SELECT count(*) FILTER (client_method = 'manual') AS decisions_applied,
         count(*) FILTER (match_state = 'YA_PROCESADO') AS already_processed FROM m""",
@@ -340,25 +373,37 @@ _SQL = {
         (SELECT fingerprint, max(decided_at) AS t FROM decs GROUP BY 1) USING (fingerprint)""",
     "exceptions_by_origin": """SELECT payment_id, origin FROM exc
         WHERE origin IN ('Manual (pendiente)', 'Manual (pago parcial)', 'Conflicto manual')""",
-    "candidate_labels": """SELECT payment_id, document, coalesce(label, document) AS label FROM
-        (SELECT payment_id, unnest(string_split(documents, ',')) AS document FROM m WHERE match_state = 'AMBIGUO') LEFT JOIN lab USING (document)""",
+    "candidate_labels": """SELECT client, cents, payment_id, document, coalesce(label, document) AS label FROM
+        (SELECT client_norm AS client, cents, CAST(NULL AS BIGINT) AS payment_id, document FROM sets UNION ALL
+        SELECT client, NULL, payment_id, unnest(string_split(documents, ',')) FROM m WHERE match_state = 'AMBIGUO'
+        AND match_method <> 'exacto_multiple') LEFT JOIN lab USING (document)""",
     "client_choices": "SELECT client_key, document, label FROM lab WHERE NOT is_paid",
     "decision_options": """SELECT payment_id, fingerprint, match_state, 'APLICAR_FACTURA' AS action,
-        unnest(string_split(documents, ',')) AS document, client, CAST(NULL AS VARCHAR) AS alias_source, CAST(1 AS BIGINT) AS choices
-        FROM exc WHERE match_state = 'AMBIGUO'
-        UNION ALL SELECT payment_id, fingerprint, match_state, 'APLICAR_FACTURA', NULL, client, NULL, n FROM exc
-        JOIN (SELECT client_key, count(*) AS n FROM lab WHERE NOT is_paid GROUP BY 1) ON upper(client) = client_key WHERE match_state = 'NO_IDENTIFICADO'
-        UNION ALL SELECT payment_id, fingerprint, match_state, unnest(['PENDIENTE', 'NO_CORRESPONDE']), NULL, NULL, NULL, 0 FROM exc WHERE match_state = 'AMBIGUO'
-        UNION ALL SELECT payment_id, fingerprint, match_state, unnest(['PAGO_PARCIAL', 'PENDIENTE', 'NO_CORRESPONDE']), NULL, client, NULL, 0
+        unnest(string_split(documents, ',')) AS document, client, CAST(NULL AS BIGINT) AS cents, CAST(NULL AS VARCHAR) AS alias_source
+        FROM exc WHERE match_state = 'AMBIGUO' AND match_method <> 'exacto_multiple'
+        UNION ALL SELECT DISTINCT NULL, NULL, 'AMBIGUO', 'APLICAR_FACTURA', document, client_norm, cents, NULL FROM sets
+        UNION ALL SELECT NULL, NULL, 'NO_IDENTIFICADO', 'APLICAR_FACTURA', document, client_key, NULL, NULL FROM lab WHERE NOT is_paid
+        AND client_key IN (SELECT upper(client) FROM exc WHERE match_state = 'NO_IDENTIFICADO')
+        UNION ALL SELECT payment_id, fingerprint, match_state, unnest(['PENDIENTE', 'NO_CORRESPONDE']), NULL, NULL, NULL, NULL FROM exc WHERE match_state = 'AMBIGUO'
+        UNION ALL SELECT payment_id, fingerprint, match_state, unnest(['PAGO_PARCIAL', 'PENDIENTE', 'NO_CORRESPONDE']), NULL, client, NULL, NULL
         FROM exc WHERE match_state = 'NO_IDENTIFICADO'
-        UNION ALL SELECT payment_id, fingerprint, match_state, a, NULL, NULL, CASE WHEN a = 'AGREGAR_ALIAS' THEN upper(trim(description)) END, 0 FROM
+        UNION ALL SELECT payment_id, fingerprint, match_state, a, NULL, NULL, NULL, CASE WHEN a = 'AGREGAR_ALIAS' THEN upper(trim(description)) END FROM
         (SELECT *, unnest(['AGREGAR_ALIAS', 'CLIENTE_NUEVO', 'NO_CORRESPONDE']) AS a FROM exc WHERE match_state = 'CLIENTE_DESCONOCIDO')""",
+    "decision_options_large_clients": """SELECT DISTINCT CAST(NULL AS BIGINT) AS payment_id, CAST(NULL AS VARCHAR) AS fingerprint, 'AMBIGUO' AS match_state,
+        'APLICAR_FACTURA' AS action, document, client_norm AS client, cents, CAST(NULL AS VARCHAR) AS alias_source FROM ssets
+        UNION ALL SELECT payment_id, fingerprint, match_state, unnest(['PENDIENTE', 'NO_CORRESPONDE']), NULL, NULL, NULL, NULL FROM sm
+        WHERE match_state = 'AMBIGUO'""",
+    "decisions_allowed": """SELECT payment_id, 'APLICAR_FACTURA' AS action, own AS document FROM (SELECT *, 'FV-' || payment_id AS own FROM exc) e
+        WHERE CASE WHEN match_method = 'exacto_multiple' THEN EXISTS (SELECT 1 FROM sets WHERE client_norm = e.client AND cents = e.amount * 100 AND document = own)
+        WHEN match_state = 'AMBIGUO' THEN list_contains(string_split(documents, ','), own)
+        WHEN match_state = 'NO_IDENTIFICADO' THEN EXISTS (SELECT 1 FROM lab WHERE NOT is_paid AND client_key = upper(e.client) AND document = own) END""",
     "worst_band": "SELECT client, worst_band FROM worst",
     "dunning_stage": "SELECT client, worst_band, stage, stage_label FROM stages",
-    "dunning_letters": f"""SELECT client, CAST(1 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts, invoices, CAST(total AS DOUBLE) AS total, worst_band, stage,
-        stage_label, replace({_case("stage", SUBJECTS)}, '{{client}}', client) AS subject, {_BODY} AS body FROM stages JOIN
-        (SELECT client, string_agg({_LINE}, chr(10) ORDER BY days_overdue DESC, document) AS lines FROM base WHERE NOT is_paid GROUP BY 1)
-        USING (client)""",
+    "dunning_letters": f"""SELECT client, invoices, CAST(total AS DOUBLE) AS total, worst_band, stage, stage_label,
+        replace({_case("stage", SUBJECTS)}, '{{client}}', client) AS subject, {_text(OPENINGS)} AS opening, {_CLOSING} AS closing FROM stages""",
+    "dunning_lines": f"SELECT client, {_POS_OF_LINE} AS pos, {_LINE} AS line FROM base WHERE NOT is_paid",
+    "letters_large_clients": f"""SELECT client, CAST(0 AS BIGINT) AS pos, {_text(OPENINGS)} AS text FROM sstages
+        UNION ALL SELECT client, {_POS_OF_LINE}, {_LINE} FROM sitems UNION ALL SELECT client, invoices + 1, {_CLOSING} FROM sstages""",
     "statement_scan": """SELECT pos AS movement_ord, '001' AS account, value_date, CAST(a AS DOUBLE) AS amount, CAST(abs(a) AS DOUBLE) AS amount_abs,
         CASE WHEN a > 0 THEN 'ABONO' WHEN a < 0 THEN 'CARGO' ELSE 'NULO' END AS flow,
         CASE WHEN movement_ord % 30 <> 29 THEN CAST(movement_ord % 1000 AS INTEGER) END AS bank_code, description

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paidup.config import MatchSettings
 from paidup.functions.money import cents
-from paidup.skew import grouped_lists, hot_rows, lookup, short_lists
+from paidup.skew import lookup, short_lists
 
 _KEY = ["client_norm", "cents"]
 
@@ -26,10 +26,9 @@ def priced_items(open_items: DataFrame) -> DataFrame:
 # --- exact ------------------------------------------------------------------------------------
 
 
-def price_levels(items: DataFrame, settings: MatchSettings, hot=()) -> DataFrame:
-    """Invoices of a client collapsed per amount: how many, and which when they are few."""
-    entry = F.struct("item_ord", "document")
-    return grouped_lists(items, _KEY, "item_ord", entry, settings.inline_documents, hot)
+def price_levels(items: DataFrame) -> DataFrame:
+    """Invoices of a client collapsed per amount: how many, and the first of them."""
+    return items.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("item_ord", "document")).alias("first"))
 
 
 def band_start(value: Column, tolerance: int) -> Column:
@@ -47,11 +46,11 @@ def bands_near(value: Column, tolerance: int) -> Column:
 
 
 def exact_hits(queries: DataFrame, levels: DataFrame, settings: MatchSettings) -> DataFrame:
-    """(client_norm, cents) -> ``n_exact`` invoices within the tolerance and ``exact`` documents.
+    """(client_norm, cents) -> ``n_exact`` invoices within the tolerance; ``exact`` lists the document if it is one.
 
     A band join under the client. A band holds at most ``2 * tolerance + 1`` different amounts in
-    whole cents, so the work per query is bounded however many invoices share an amount.
-    ``exact`` is null when the list is longer than ``settings.inline_documents``.
+    whole cents, so the work per query is bounded however many invoices share an amount. Several
+    invoices are rows of ``candidates.candidate_sets``.
     """
     tol = settings.tolerance_cents
     probes = queries.select(*_KEY, F.explode(bands_near(F.col("cents"), tol)).alias("band"))
@@ -59,42 +58,32 @@ def exact_hits(queries: DataFrame, levels: DataFrame, settings: MatchSettings) -
         "client_norm",
         F.col("cents").alias("level"),
         "n_rows",
-        "entries",
+        "first",
         band_start(F.col("cents"), tol).alias("band"),
     )
     near = probes.join(priced, ["client_norm", "band"]).filter(F.abs(F.col("level") - F.col("cents")) <= tol)
-    listed = F.sort_array(F.flatten(F.collect_list("entries")))
     return (
         near.groupBy(*_KEY)
-        .agg(F.sum("n_rows").alias("n_exact"), listed.alias("listed"))
-        .select(
-            *_KEY,
-            "n_exact",
-            F.when(F.col("n_exact") <= settings.inline_documents, F.transform("listed", lambda e: e["document"])).alias(
-                "exact"
-            ),
-        )
+        .agg(F.sum("n_rows").alias("n_exact"), F.min("first").alias("first"))
+        .select(*_KEY, "n_exact", F.when(F.col("n_exact") == 1, F.array("first.document")).alias("exact"))
     )
 
 
 # --- sums -------------------------------------------------------------------------------------
 
 
-def client_profiles(items: DataFrame, settings: MatchSettings, hot=()) -> DataFrame:
-    """client_norm -> ``n_items`` and, for clients with few invoices, the ordered ``items``.
+def client_profiles(items: DataFrame, settings: MatchSettings) -> DataFrame:
+    """client_norm -> ``n_items`` and, for clients whose sums are searched, the ordered ``items``.
 
-    One more item than ``settings.listed_items`` is enough to know that a client is beyond it, so
+    One more item than ``settings.max_items_for_sums`` is enough to know that a client is beyond it, so
     ``n_items`` stops counting there and no client is gathered whole.
     """
-    cap = settings.listed_items
+    cap = settings.max_items_for_sums
     entry = F.struct("item_ord", "document", "cents")
-    lists = short_lists(items, ["client_norm"], "item_ord", entry, cap + 1, hot)
     n = F.size("entries")
-    listed = lists.select("client_norm", n.alias("n_items"), F.when(n <= cap, F.col("entries")).alias("items"))
-    if not hot:
-        return listed
-    beyond = hot_rows(items, ["client_norm"], hot).select("client_norm").distinct()
-    return listed.unionByName(beyond.withColumn("n_items", F.lit(cap + 1)), allowMissingColumns=True)
+    return short_lists(items, ["client_norm"], "item_ord", entry, cap + 1).select(
+        "client_norm", n.alias("n_items"), F.when(n <= cap, F.col("entries")).alias("items")
+    )
 
 
 def within_sum_cap(settings: MatchSettings) -> Column:
@@ -179,15 +168,11 @@ def resolve_amounts(
     profiles: DataFrame,
     settings: MatchSettings = MatchSettings(),
     hot_query_clients=(),
-    hot_item_levels=(),
 ) -> DataFrame:
     """Distinct (client_norm, cents) -> n_items, n_exact, exact, n_sums, first_sum.
 
     ``n_items`` is null for a client without open invoices, ``n_sums`` when no sum fits or an
     invoice fits exactly.
     """
-    # Longer lists than the sum search reads are left behind before the shuffles.
-    small = profiles.withColumn("items", F.when(within_sum_cap(settings), F.col("items")))
-    known = lookup(queries, small, ["client_norm"], "left", hot_query_clients, ["cents"])
-    levels = price_levels(items, settings, hot_item_levels)
-    return with_sum_hits(known.join(exact_hits(queries, levels, settings), _KEY, "left"), settings)
+    known = lookup(queries, profiles, ["client_norm"], "left", hot_query_clients, ["cents"])
+    return with_sum_hits(known.join(exact_hits(queries, price_levels(items), settings), _KEY, "left"), settings)

@@ -110,8 +110,9 @@ def _amount_verdicts(df: DataFrame) -> DataFrame:
         .when(sums > 1, "acumulado_multiple")
         .alias("match_method"),
         F.coalesce("client_method", F.lit("ninguno")).alias("client_method"),
-        F.coalesce("exact", "first_sum", _none()).alias("documents"),
+        F.coalesce("exact", F.when(exact.isNull(), F.col("first_sum")), _none()).alias("documents"),
         F.coalesce(exact, F.size("first_sum").cast("long"), F.lit(0)).alias("n_documents"),
+        F.when(exact > 1, F.col("cents")).alias("candidate_cents"),
         F.when(unknown, NOTES["unknown_client"])
         .when(no_items, NOTES["no_open_items"])
         .when(exact > 1, counted("exacto_multiple", exact))
@@ -132,6 +133,10 @@ def match_payments(
 ) -> DataFrame:
     """One result row per customer payment, in the shape of ``schemas.MATCH_RESULT``.
 
+    ``documents`` are the invoices paid, the first sum that fits, or the numbers quoted, each once. Where several
+    invoices equal the amount, ``candidate_cents`` names their set (``candidates.candidate_sets``) and
+    ``documents`` is empty; ``n_documents`` counts the invoices in every case.
+
     Wide intermediate results are written as stage tables, each read column-pruned by the next
     levels; every join of payments goes through a skew-safe lookup.
     """
@@ -139,13 +144,11 @@ def match_payments(
     items = ws.stage(priced_items(open_items), "items")
     payments = ws.stage(payments_of(movements), "payments")
     hot_fingerprints, hot_texts = hot_keys(payments, ["fingerprint"], ["description"])
-    hot_clients, hot_levels, hot_documents, hot_numbers = hot_keys(
-        items, ["client_norm"], ["client_norm", "cents"], ["client_norm", "document"], ["document"]
-    )
+    (hot_numbers,) = hot_keys(items, ["document"])
 
     judged = ws.stage(_settle_from_ledgers(payments, decisions, history, items, hot_fingerprints, hot_numbers), "judged")
     settled = judged.filter(F.col("verdict").isNotNull()).select(
-        "*", "verdict.*", F.size("verdict.documents").alias("n_documents")
+        "*", "verdict.*", F.size("verdict.documents").alias("n_documents"), F.lit(None).alias("candidate_cents")
     )
     still_open = judged.filter(F.col("verdict").isNull()).drop("verdict")
     named = identify(still_open, aliases, items, ws, hot_texts)
@@ -154,9 +157,9 @@ def match_payments(
     )
 
     hot_named_clients, hot_amounts = hot_keys(named, ["client_norm"], ["client_norm", "cents"])
-    profiles = ws.stage(client_profiles(items, settings, hot_clients), "profiles")
+    profiles = client_profiles(items, settings)
     queries = named.filter(F.col("client").isNotNull()).select("client_norm", "cents").distinct()
-    answers = resolve_amounts(queries, items, profiles, settings, hot_named_clients, hot_levels)
+    answers = resolve_amounts(queries, items, profiles, settings, hot_named_clients)
     answered = ws.stage(
         _amount_verdicts(lookup(named, answers, ["client_norm", "cents"], "left", hot_amounts, ["payment_id"])),
         "answered",
@@ -164,16 +167,7 @@ def match_payments(
 
     resolved = answered.filter(F.col("match_state").isNotNull())
     rest = answered.filter(F.col("match_state").isNull())
-    quoted = quoted_documents(
-        rest.withColumn("client_norm", F.col("client")),
-        items,
-        profiles,
-        ws,
-        settings,
-        hot_named_clients,
-        hot_clients,
-        hot_documents,
-    )
+    quoted = quoted_documents(rest.withColumn("client_norm", F.col("client")), items, ws, hot_named_clients)
     is_quoted = F.col("n_quoted").isNotNull()
     rest = rest.join(quoted, "payment_id", "left").select(
         "payment_id",
@@ -187,6 +181,7 @@ def match_payments(
         "client_method",
         F.coalesce("quoted", _none()).alias("documents"),
         F.coalesce("n_quoted", F.lit(0)).alias("n_documents"),
+        F.lit(None).alias("candidate_cents"),
         F.when(is_quoted, "").otherwise(NOTES["nothing_matches"]).alias("note"),
     )
     return _shape(settled).unionByName(_shape(resolved)).unionByName(_shape(rest))

@@ -5,73 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paidup.config import MatchSettings
-from paidup.operators.containment import candidate_substrings
-from paidup.skew import grouped_lists, hot_keys, lookup
+from paidup.skew import hot_keys, lookup
 from paidup.workspace import Workspace
 
 _KEY = ["client_norm", "document"]
 
 
-def quoted_documents(
-    payments: DataFrame,
-    items: DataFrame,
-    profiles: DataFrame,
-    ws: Workspace,
-    settings: MatchSettings = MatchSettings(),
-    hot_payment_clients=(),
-    hot_item_clients=(),
-    hot_documents=(),
-) -> DataFrame:
-    """payment_id -> ``n_quoted`` invoices of its client whose number occurs in the text, ``quoted``.
+def number_shapes(items: DataFrame) -> DataFrame:
+    """client_norm -> ``shapes``: the lengths and first characters of its document numbers.
 
-    ``payments``: payment_id, client_norm, description. The few invoices of a small client travel
-    with the payment and are tried one by one. For larger clients the substrings of the text meet the
-    client's documents in an equi-join, so a payment is never compared with all of them. ``quoted``
-    is in item order; past the inline limit (only possible when one number is repeated that often)
-    it has each number once.
+    As many as there are lengths times characters in use, however many invoices a client has.
     """
-    texts = payments.select("payment_id", "client_norm", F.coalesce("description", F.lit("")).alias("description"))
-    known = lookup(texts, profiles, ["client_norm"], "inner", hot_payment_clients, ["payment_id"])
-    hits = F.filter("items", lambda i: (i["document"] != "") & F.contains(F.col("description"), i["document"]))
-    small = (
-        known.filter(F.col("items").isNotNull())
-        .select("payment_id", F.transform(hits, lambda i: i["document"]).alias("quoted"))
-        .filter(F.size("quoted") > 0)
-        .select("payment_id", F.size("quoted").cast("long").alias("n_quoted"), "quoted")
+    shape = F.struct(F.length("document").alias("size"), F.left("document", F.lit(1)).alias("first"))
+    numbers = items.filter(F.length("document") > 0)
+    return numbers.groupBy("client_norm").agg(F.collect_set(shape).alias("shapes"))
+
+
+def substrings_of_shapes(text: str, shapes: str):
+    """The different substrings of ``text`` that have one of the shapes."""
+    places = F.transform(
+        F.filter(shapes, lambda s: s["size"] <= F.length(text)),
+        lambda s: F.transform(
+            F.filter(
+                F.sequence(F.lit(1), F.length(text) - s["size"] + 1), lambda p: F.substring(text, p, F.lit(1)) == s["first"]
+            ),
+            lambda p: F.substring(text, p, s["size"]),
+        ),
     )
-    large = known.filter(F.col("items").isNull()).select("payment_id", "client_norm", "description")
-    many = profiles.filter(F.col("items").isNull()).select("client_norm")
-    documents = lookup(items, many, ["client_norm"], "left_semi", hot_item_clients, ["item_ord"])
-    return small.unionByName(_quoted_of_many(large, documents, ws, settings, hot_documents))
+    return F.array_distinct(F.flatten(places))
 
 
-def _quoted_of_many(
-    texts: DataFrame, items: DataFrame, ws: Workspace, settings: MatchSettings, hot_documents
+def quoted_documents(
+    payments: DataFrame, items: DataFrame, ws: Workspace, hot_payment_clients=()
 ) -> DataFrame:
-    """The same by an equi-join of text substrings with the documents of the client."""
-    documents = items.filter(F.col("document") != "").select(*_KEY, "item_ord")
-    documents = grouped_lists(
-        documents, _KEY, "item_ord", F.col("item_ord"), settings.inline_documents, hot_documents
-    )
-    documents = ws.stage(documents, "documents")
-    found = candidate_substrings(texts, ["payment_id", "client_norm"], "description", documents, "document")
-    found = ws.stage(found, "quoted")
+    """payment_id -> ``n_quoted`` invoices of its client whose number occurs in the text, ``quoted``.
+
+    ``payments``: payment_id, client_norm, description. The shapes of the client's numbers travel with the payment; the
+    substrings that have such a shape meet the client's numbers in an equi-join, so a payment is never compared with all
+    of them, and no filter of a fixed size is involved. ``quoted`` has each number once, by its first
+    invoice; ``n_quoted`` counts all invoices that bear them.
+    """
+    texts = payments.select("payment_id", "client_norm", "description").filter(F.length("description") > 0)
+    known = lookup(texts, number_shapes(items), ["client_norm"], "inner", hot_payment_clients, ["payment_id"])
+    listed = known.select("payment_id", "client_norm", F.explode(substrings_of_shapes("description", "shapes")).alias("document"))
+    found = ws.stage(listed, "quoted")
+    numbers = items.filter(F.length("document") > 0).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_rows"), F.min("item_ord").alias("first"))
     (hot,) = hot_keys(found, _KEY)
-    hits = lookup(found, documents, _KEY, "inner", hot, ["payment_id"])
-    # A number that occurs twice in a text counts once. The set is bounded by the text.
-    quoted = hits.groupBy("payment_id").agg(F.collect_set(F.struct("document", "n_rows", "entries")).alias("found"))
-    total = F.aggregate("found", F.lit(0).cast("long"), lambda n, d: n + d["n_rows"])
-    listed = F.transform(
-        "found",
-        lambda d: F.transform(
-            F.coalesce(d["entries"], F.array()), lambda o: F.struct(o.alias("ord"), d["document"].alias("document"))
-        ),
-    )
-    rows = F.transform(F.sort_array(F.flatten(listed)), lambda r: r["document"])
-    numbers = F.array_sort(F.transform("found", lambda d: d["document"]))
-    return quoted.select("payment_id", total.alias("n_quoted"), rows.alias("rows"), numbers.alias("numbers")).select(
-        "payment_id",
-        "n_quoted",
-        F.when(F.size("rows") == F.col("n_quoted"), F.col("rows")).otherwise(F.col("numbers")).alias("quoted"),
+    return (
+        lookup(found, numbers, _KEY, "inner", hot, ["payment_id"])
+        .groupBy("payment_id")
+        .agg(F.sum("n_rows").alias("n_quoted"), F.sort_array(F.collect_list(F.struct("first", "document"))).alias("quoted"))
+        .withColumn("quoted", F.transform("quoted", lambda q: q["document"]))
     )

@@ -1,10 +1,14 @@
-"""Collection letters: one per client with unpaid invoices, toned by the worst aging band."""
+"""Collection letters: one per client with unpaid invoices, toned by the worst aging band.
+
+A letter is an ordered document of rows: the text up to the head of its invoice table, a line per invoice, and the total with
+the rest of the text. No client is gathered, so a letter may have any number of invoices.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paidup.config import STAGE_LABELS
@@ -13,7 +17,9 @@ from paidup.functions.labels import dunning_stage, mapped, stage_label
 from paidup.functions.money import currency_text
 from paidup.functions.text import strip
 from paidup.operators.aging import worst_band
-from paidup.skew import lookup
+from paidup.skew import hot_keys, lookup
+from paidup.sources.ordinals import dense_positions
+from paidup.workspace import Workspace
 
 DEADLINE_DAYS = 7
 
@@ -37,9 +43,11 @@ TEMPLATES = {
 }
 # Layout of the invoice table.
 TABLE_HEADER = "| Documento | Vencimiento | Días vencido | Saldo |\n|---|---|---:|---:|"
-EMPTY_TABLE = "_(Sin facturas pendientes)_"
 
-_KEY = ["client", "day_key"]
+# The text of a letter before and after the lines of its table.
+OPENINGS = {stage: text.split("{table}")[0] + TABLE_HEADER for stage, text in TEMPLATES.items()}
+CLOSINGS = {stage: text.split("{table}")[1] for stage, text in TEMPLATES.items()}
+
 _LAST = 2147483647
 
 
@@ -56,81 +64,65 @@ def total_line(total: Column) -> Column:
     return F.concat(F.lit("| **TOTAL** |  |  | **"), currency_text(total), F.lit("** |"))
 
 
-def _filled(template: Column, client: Column, table: Column, deadline: Column) -> Column:
-    for name, value in (("{deadline}", deadline), ("{table}", table), ("{client}", client)):
-        template = F.replace(template, F.lit(name), value)
-    return template
-
+def _filled(template: Column, deadline: Column) -> Column:
+    return F.replace(F.replace(template, F.lit("{deadline}"), deadline), F.lit("{client}"), F.col("client"))
 
-def dunning_letters(
-    base: DataFrame, today: dt.date | str | None = None, lines_per_letter: int = 5000, hot_days=()
-) -> DataFrame:
-    """One letter per client; subject, body, stage, stage label, worst band.
 
-    Lines run from the most overdue invoice down. A client with more than ``lines_per_letter``
-    invoices gets a letter in ``parts``: each day of delay is cut into pieces of about that many
-    lines, so that no task gathers a whole client, and every invoice is in exactly one part. The
-    total closes the last part.
-    """
-    deadline = F.lit(cutoff_date(today) + dt.timedelta(days=DEADLINE_DAYS))
-    items = base.filter(~F.col("is_paid")).select(
-        "client", "document", "item_ord", "due_date", "days_overdue", "open_amount", "aging_band",
-        F.coalesce(-F.col("days_overdue"), F.lit(_LAST)).alias("day_key"),
-    )
-    clients = items.groupBy("client").agg(
-        F.count(F.lit(1)).alias("invoices"),
-        F.sum("open_amount").alias("total"),
-        worst_band(F.col("aging_band")).alias("worst_band"),
+def dunning_letters(base: DataFrame, today: dt.date | str | None = None) -> DataFrame:
+    """One row per client: its letter without the lines of the table (``opening``, ``closing``), and what it is about."""
+    deadline = long_spanish_date(F.lit(cutoff_date(today) + dt.timedelta(days=DEADLINE_DAYS)))
+    clients = (
+        base.filter(~F.col("is_paid"))
+        .groupBy("client")
+        .agg(
+            F.count(F.lit(1)).alias("invoices"),
+            F.sum("open_amount").alias("total"),
+            worst_band(F.col("aging_band")).alias("worst_band"),
+        )
+        .withColumn("stage", dunning_stage(F.col("worst_band")))
     )
-    large = clients.filter(F.col("invoices") > lines_per_letter).select("client")
-    per_day = items.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("lines")).join(large, "client", "left_semi")
-    pieces = per_day.select(*_KEY, F.ceil(F.col("lines") / lines_per_letter).cast("long").alias("pieces"))
-
-    cut = F.col("pieces").isNotNull()
-    placed = lookup(items, pieces, _KEY, "left", hot_days, ["item_ord"]).select(
+    return clients.select(
         "client",
-        F.when(cut, F.col("day_key")).otherwise(F.lit(0)).alias("part_day"),
-        F.when(cut, F.pmod(F.xxhash64("document", "item_ord"), F.col("pieces"))).otherwise(F.lit(0)).alias("piece"),
-        F.struct("day_key", "document", "item_ord", invoice_line().alias("line")).alias("entry"),
-        cut.alias("cut"),
+        "invoices",
+        "total",
+        "worst_band",
+        "stage",
+        stage_label(F.col("stage")).alias("stage_label"),
+        F.replace(mapped(F.col("stage"), SUBJECTS), F.lit("{client}"), F.col("client")).alias("subject"),
+        _filled(mapped(F.col("stage"), OPENINGS), deadline).alias("opening"),
+        F.concat(total_line(F.col("total")), _filled(mapped(F.col("stage"), CLOSINGS), deadline)).alias("closing"),
     )
-    parts = placed.groupBy("client", "part_day", "piece").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
-    lines = F.array_join(F.transform("entries", lambda e: e["line"]), "\n")
-    parts = parts.select("client", "part_day", "piece", lines.alias("lines"))
 
-    # Parts are numbered from their keys alone, and only those of the large clients.
-    by_day = Window.partitionBy("client").orderBy("part_day", "piece")
-    numbering = placed.filter("cut").select("client", "part_day", "piece").distinct().select(
-        "client",
-        "part_day",
-        "piece",
-        F.row_number().over(by_day).cast("long").alias("part"),
-        F.count(F.lit(1)).over(Window.partitionBy("client")).alias("parts"),
+
+def dunning_lines(base: DataFrame, ws: Workspace) -> DataFrame:
+    """(client, pos, line): the lines of all letters, from the most overdue invoice down, then by document.
+
+    One sort of all unpaid invoices, cut into ranges: a client with many invoices is spread over as many tasks
+    as it fills. ``pos`` counts from 1 within the client.
+    """
+    items = base.filter(~F.col("is_paid")).select(
+        "client", F.coalesce(-F.col("days_overdue"), F.lit(_LAST)).alias("day_key"), "document", "item_ord", invoice_line().alias("line")
     )
-    numbered = parts.join(numbering, ["client", "part_day", "piece"], "left").select(
-        "client", "lines", *[F.coalesce(c, F.lit(1)).alias(c) for c in ("part", "parts")]
-    )
-    stage = dunning_stage(F.col("worst_band"))
-    closing = F.when(F.col("part") == F.col("parts"), F.concat(F.lit("\n"), total_line(F.col("total")))).otherwise("")
-    table = F.concat(F.lit(TABLE_HEADER + "\n"), F.col("lines"), closing)
-    return (
-        numbered.join(clients, "client")
-        .withColumn("stage", stage)
-        .select(
-            "client",
-            "part",
-            "parts",
-            "invoices",
-            "total",
-            "worst_band",
-            "stage",
-            stage_label(F.col("stage")).alias("stage_label"),
-            F.replace(mapped(F.col("stage"), SUBJECTS), F.lit("{client}"), F.col("client")).alias("subject"),
-            _filled(mapped(F.col("stage"), TEMPLATES), F.col("client"), table, long_spanish_date(deadline)).alias("body"),
-        )
+    placed = ws.stage(dense_positions(items, ["client", "day_key", "document", "item_ord"], "place", ws), "lines")
+    firsts = placed.groupBy("client").agg(F.min("place").alias("first"))
+    (hot,) = hot_keys(placed, ["client"])
+    return lookup(placed, firsts, ["client"], "inner", hot, ["place"]).select(
+        "client", (F.col("place") - F.col("first") + 1).alias("pos"), "line"
     )
 
 
+def letter_rows(letters: DataFrame, lines: DataFrame) -> DataFrame:
+    """(client, pos, text): every letter as rows in order; joined by line feeds they are its body."""
+    opening = letters.select("client", F.lit(0).cast("long").alias("pos"), F.col("opening").alias("text"))
+    closing = letters.select("client", (F.col("invoices") + 1).alias("pos"), F.col("closing").alias("text"))
+    return opening.unionByName(lines.withColumnRenamed("line", "text")).unionByName(closing)
+
+
+def write_letters(letters: DataFrame, lines: DataFrame, path: str) -> None:
+    """All letters as Parquet rows in order: files and the rows in them run by client and position."""
+    letter_rows(letters, lines).orderBy("client", "pos").write.mode("overwrite").parquet(path)
+
+
 def client_stages(base: DataFrame) -> DataFrame:
     """Worst band, stage and label of each client with unpaid invoices."""
     return (

@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paidup.config import MatchSettings
 from paidup.functions.dates import iso_text
-from paidup.functions.money import cents, currency_text
+from paidup.functions.money import currency_text
 from paidup.functions.text import labelled, normal
-from paidup.operators.amounts import band_start, bands_near
 from paidup.operators.decisions import active_decisions
 from paidup.skew import lookup
 
@@ -36,34 +34,6 @@ def with_origin(exceptions: DataFrame, origins: Sequence[str] | None = None) ->
     return exceptions if origins is None else exceptions.filter(F.col("origin").isin(list(origins)))
 
 
-def candidate_documents(matches: DataFrame, open_items: DataFrame, settings: MatchSettings = MatchSettings()) -> DataFrame:
-    """Every candidate document of the ambiguous payments, one row each, at any length.
-
-    Lists written in the result row are exploded. Equal-amount lists too long for a row are found
-    again by the band join on client and amount, so nothing is left out and no list is gathered.
-    """
-    ambiguous = matches.filter(F.col("match_state") == "AMBIGUO")
-    complete = F.size("documents") >= F.col("n_documents")
-    inline = ambiguous.filter(complete).select(
-        "payment_id", "client", F.posexplode("documents").alias("pos", "document")
-    )
-    tol = settings.tolerance_cents
-    long_lists = ambiguous.filter(~complete).select(
-        "payment_id",
-        "client",
-        F.col("client").alias("client_norm"),
-        cents(F.col("amount")).alias("paid"),
-        F.explode(bands_near(cents(F.col("amount")), tol)).alias("band"),
-    )
-    priced = open_items.select("client_norm", "document", "item_ord", cents(F.col("open_amount")).alias("cents"))
-    found = (
-        long_lists.join(priced.withColumn("band", band_start(F.col("cents"), tol)), ["client_norm", "band"])
-        .filter(F.abs(F.col("cents") - F.col("paid")) <= tol)
-        .select("payment_id", "client", F.col("item_ord").alias("pos"), "document")
-    )
-    return inline.select("payment_id", "client", F.col("pos").cast("long").alias("pos"), "document").unionByName(found)
-
-
 def invoice_label(document: Column, open_amount: Column, due_date: Column) -> Column:
     """``doc  ·  $balance  ·  vence YYYY-MM-DD``."""
     return F.concat_ws(
@@ -86,7 +56,7 @@ def document_labels(base: DataFrame) -> DataFrame:
 
 def candidate_labels(candidates: DataFrame, base: DataFrame, hot_documents=()) -> DataFrame:
     """Candidates with their label; the bare number where the invoice is not in the table."""
-    labelled_ = lookup(candidates, document_labels(base), ["document"], "left", hot_documents, ["payment_id"])
+    labelled_ = lookup(candidates, document_labels(base), ["document"], "left", hot_documents, ["pos"])
     return labelled_.withColumn("label", F.coalesce("label", "document"))
 
 
@@ -100,8 +70,8 @@ def _fixed_options(exceptions: DataFrame, state: str, actions: Sequence[str]) ->
         "action",
         F.lit(None).cast("string").alias("document"),
         client.alias("client"),
+        F.lit(None).cast("long").alias("cents"),
         F.when(F.col("action") == "AGREGAR_ALIAS", normal(F.col("description"))).alias("alias_source"),
-        F.lit(0).cast("long").alias("choices"),
     )
 
 
@@ -122,37 +92,30 @@ def client_choices(base: DataFrame) -> DataFrame:
     )
 
 
-def decision_options(exceptions: DataFrame, base: DataFrame, hot_clients=()) -> DataFrame:
-    """One row per decision a person may take on each exception.
+def decision_options(exceptions: DataFrame, base: DataFrame, sets: DataFrame) -> DataFrame:
+    """The decisions a person may take, each written once.
 
-    An ambiguous payment has one row per candidate invoice. An unidentified payment may go to any
-    open invoice of its client: that is one row with the number of ``choices``, which are the rows
-    of ``client_choices`` under the client. Payments times invoices of a client are never paired.
-    The same holds for candidate lists too long for a result row (see ``candidate_documents``).
+    Options of a single payment carry its ``payment_id``. Those that all payments of a kind share do not: the invoices of
+    a candidate set have its (client, cents), for the ambiguous payments that name the set; the open invoices of a client
+    have its upper-case name, for the unidentified payments of that client. So payments are never paired with lists of invoices.
     """
     apply = F.lit("APLICAR_FACTURA").alias("action")
-    no_text = F.lit(None).cast("string").alias("alias_source")
-    ambiguous = exceptions.filter(F.col("match_state") == "AMBIGUO")
-    listed = F.when(F.size("documents") > 0, F.array_distinct("documents")).otherwise(
-        F.array(F.lit(None).cast("string"))
-    )
-    to_candidate = ambiguous.withColumn("document", F.explode(listed)).select(
-        *_EXCEPTION,
-        apply,
-        "document",
-        "client",
-        no_text,
-        F.when(F.col("document").isNull(), F.col("n_documents")).otherwise(F.lit(1)).cast("long").alias("choices"),
+    nobody = [F.lit(None).cast("long").alias("payment_id"), F.lit(None).cast("string").alias("fingerprint")]
+    no_cents, no_text = F.lit(None).cast("long").alias("cents"), F.lit(None).cast("string").alias("alias_source")
+    ambiguous = exceptions.filter((F.col("match_state") == "AMBIGUO") & F.col("candidate_cents").isNull())
+    to_listed = ambiguous.withColumn("document", F.explode(F.array_distinct("documents"))).select(
+        *_EXCEPTION, apply, "document", "client", no_cents, no_text
     )
-    per_client = client_choices(base).groupBy("client_key").agg(F.count(F.lit(1)).alias("choices"))
-    unidentified = exceptions.filter(F.col("match_state") == "NO_IDENTIFICADO").withColumn(
-        "client_key", F.upper("client")
+    to_set = sets.select("client_norm", "cents", "document").distinct().select(
+        *nobody, F.lit("AMBIGUO").alias("match_state"), apply, "document", F.col("client_norm").alias("client"), "cents", no_text
     )
-    to_client = lookup(unidentified, per_client, ["client_key"], "inner", hot_clients, ["payment_id"]).select(
-        *_EXCEPTION, apply, F.lit(None).cast("string").alias("document"), "client", no_text, "choices"
+    asked = exceptions.filter(F.col("match_state") == "NO_IDENTIFICADO").select(F.upper("client").alias("client_key")).distinct()
+    to_client = client_choices(base).join(asked, "client_key", "left_semi").select(
+        *nobody, F.lit("NO_IDENTIFICADO").alias("match_state"), apply, "document", F.col("client_key").alias("client"), no_cents, no_text
     )
     return (
-        to_candidate.unionByName(to_client)
+        to_listed.unionByName(to_set)
+        .unionByName(to_client)
         .unionByName(_fixed_options(exceptions, "AMBIGUO", ("PENDIENTE", "NO_CORRESPONDE")))
         .unionByName(_fixed_options(exceptions, "NO_IDENTIFICADO", ("PAGO_PARCIAL", "PENDIENTE", "NO_CORRESPONDE")))
         .unionByName(
@@ -161,6 +124,34 @@ def decision_options(exceptions: DataFrame, base: DataFrame, hot_clients=()) ->
     )
 
 
+def allowed(requests: DataFrame, exceptions: DataFrame, options: DataFrame) -> DataFrame:
+    """The requests (payment_id, action, document or null) that are among the options of their payment."""
+    key = ["__payment", "__client", "__cents", "__document", "match_state", "action"]
+    pick = F.col("action") == "APLICAR_FACTURA"
+    state = exceptions.select("payment_id", "match_state", "client", "candidate_cents")
+    asked = requests.join(state, "payment_id")
+    by_set = pick & F.col("candidate_cents").isNotNull()
+    by_client = pick & (F.col("match_state") == "NO_IDENTIFICADO")
+    asked = asked.withColumns(
+        {
+            "__payment": F.when(by_set | by_client, F.lit(-1)).otherwise(F.col("payment_id")),
+            "__client": F.when(by_set, F.col("client")).when(by_client, F.upper("client")).otherwise(""),
+            "__cents": F.when(by_set, F.col("candidate_cents")).otherwise(F.lit(-1)),
+            "__document": F.when(pick, F.coalesce("document", F.lit(""))).otherwise(""),
+        }
+    )
+    shared = F.col("payment_id").isNull()
+    known = options.select(
+        F.coalesce("payment_id", F.lit(-1)).alias("__payment"),
+        F.when(shared, F.col("client")).otherwise("").alias("__client"),
+        F.coalesce("cents", F.lit(-1)).alias("__cents"),
+        "match_state",
+        "action",
+        F.coalesce("document", F.lit("")).alias("__document"),
+    ).distinct()
+    return asked.join(known, key, "left_semi").select(*requests.columns)
+
+
 def active_decision_list(decisions: DataFrame, actions: Sequence[str] | None = None) -> DataFrame:
     """Active decisions, newest first, with their non-empty details as labelled text."""
     active = active_decisions(decisions)

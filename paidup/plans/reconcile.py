@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paidup.config import RunSettings
+from paidup.operators.candidates import candidate_sets
 from paidup.operators.cascade import match_payments
 from paidup.operators.classify import classify
 from paidup.operators.consolidate import consolidate
@@ -41,6 +42,7 @@ class RunResult:
     matches: DataFrame
     base: DataFrame
     exceptions: DataFrame
+    candidate_sets: DataFrame
     new_history: DataFrame
 
 
@@ -68,10 +70,11 @@ def reconcile(
     )
     (hot_documents,) = hot_keys(open_items, ["client_norm", "document"] if settings.join_on_client else ["document"])
     base, exceptions = consolidate(open_items, matches, settings.join_on_client, hot_documents)
+    sets = candidate_sets(matches, open_items, settings.match)
     (hot_fingerprints,) = hot_keys(matches, ["fingerprint"])
     stamp = F.lit(run_at or dt.datetime.now().replace(microsecond=0)).cast("timestamp")
     fresh = new_history(matches, history, stamp, hot_fingerprints)
-    return RunResult(classified, open_items, matches, base, exceptions, fresh)
+    return RunResult(classified, open_items, matches, base, exceptions, sets, fresh)
 
 
 def run_reconciliation(
@@ -110,8 +113,9 @@ def run_reconciliation(
     write_table(result.matches, f"{paths.output}/matches")
     write_table(result.base, f"{paths.output}/consolidated")
     write_table(result.exceptions, f"{paths.output}/exceptions")
+    write_table(result.candidate_sets, f"{paths.output}/candidate_sets")
     ledgers.append_history(fresh, paths.history)
-    return RunResult(result.movements, items, result.matches, result.base, result.exceptions, fresh)
+    return RunResult(result.movements, items, result.matches, result.base, result.exceptions, result.candidate_sets, fresh)
 
 
 def record_decisions(requests: DataFrame, decisions_path: str, aliases_path: str) -> None:

@@ -62,6 +62,7 @@ MATCH_RESULT = _struct(
     client_method=_S,
     documents=T.ArrayType(_S),
     n_documents=_L,
+    candidate_cents=_L,
     note=_S,
     fingerprint=_S,
 )

@@ -3,7 +3,7 @@
 The fact side of every lookup below may be skewed without bound; the looked-up side has at most
 one row per key. Heavy keys are found by a mergeable frequent-items sketch (one pass, no shuffle of
 the rows); only their rows are salted, and only their lookup rows are repeated. The lookups give the same
-rows whatever the sketch reports; ``short_lists`` gives no list for a key that is reported hot.
+rows whatever the sketch reports.
 """
 
 from __future__ import annotations
@@ -82,18 +82,14 @@ def lookup(
     return salted_fact.join(salted_dim, [*on, _SALT], how).drop(_SALT)
 
 
-def short_lists(
-    rows: DataFrame, keys: Sequence[str], order: str, entry: Column, limit: int, hot: Sequence[int] = ()
-) -> DataFrame:
+def short_lists(rows: DataFrame, keys: Sequence[str], order: str, entry: Column, limit: int) -> DataFrame:
     """Per key the first ``limit`` entries by ``order``, as ``entries``; no group is gathered whole.
 
-    The rank filter lets Spark cut every group to ``limit`` rows before the shuffle. Hot keys, which
-    have far more rows than any limit, get no list at all: they are absent from the result.
+    The rank filter lets Spark cut every group to ``limit`` rows before the shuffle, so a key with very many rows
+    sends at most so many from each task.
     """
     keys = list(keys)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    if hot:
-        rows = rows.filter(~_key_hash(keys).isin(list(hot)))
     return (
         rows.select(*keys, order, entry.alias("__entry"), rank.alias("__rank"))
         .filter(F.col("__rank") <= limit)
@@ -101,19 +97,3 @@ def short_lists(
         .agg(F.sort_array(F.collect_list("__entry")).alias("entries"))
     )
 
-
-def grouped_lists(
-    rows: DataFrame, keys: Sequence[str], order: str, entry: Column, limit: int, hot: Sequence[int] = ()
-) -> DataFrame:
-    """Per key ``n_rows``, and ``entries``, the list of ``entry`` by ``order`` when ``n_rows <= limit``."""
-    keys = list(keys)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    lists = short_lists(rows, keys, order, entry, limit, hot)
-    return sizes.join(lists, keys, "left").withColumn(
-        "entries", F.when(F.size("entries") == F.col("n_rows"), F.col("entries"))
-    )
-
-
-def hot_rows(rows: DataFrame, keys: Sequence[str], hot: Sequence[int]) -> DataFrame:
-    """The rows of the hot keys."""
-    return rows.filter(_key_hash(keys).isin(list(hot)) if hot else F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,10 @@ def with_line_ordinal(scan: DataFrame, name: str, ws: Workspace) -> DataFrame:
     )
 
 
-def dense_positions(df: DataFrame, order: str, name: str, ws: Workspace) -> DataFrame:
-    """Add ``name``: 0-based dense position by the unique column ``order``.
+def dense_positions(df: DataFrame, order: str | Sequence[str], name: str, ws: Workspace) -> DataFrame:
+    """Add ``name``: 0-based dense position by the column or columns ``order``, unique together.
 
     A range-partitioned sort is staged; its files are in order, so their row positions are the ranks.
     """
-    ordered = ws.stage(df.orderBy(order), f"sorted-{order}")
+    ordered = ws.stage(df.orderBy(order), f"sorted-{name}")
     return with_line_ordinal(ordered, name, ws)

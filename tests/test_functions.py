@@ -128,4 +128,4 @@ def test_the_table_of_sums_has_a_largest_size():
 
     assert MatchSettings().n_shapes == 6748
     with pytest.raises(ValueError, match="shapes"):
-        MatchSettings(max_items_for_sums=40, max_combination=8, listed_items=64)
+        MatchSettings(max_items_for_sums=40, max_combination=8)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from paidup.config import RunSettings
 from paidup.operators import reports
-from paidup.operators.dunning import dunning_letters
+from paidup.operators.candidates import with_lists
+from paidup.operators.dunning import TEMPLATES, dunning_letters, dunning_lines, letter_rows, write_letters
 from paidup.operators.ledger import rejected_decisions
 from paidup.plans.reconcile import RunPaths, reconcile, record_decisions, revert_decisions, run_reconciliation
 from paidup.sources import ledgers, outputs
+from paidup.workspace import Workspace
 from tests import helpers as h
 
 # Scenario A: client, document, open amount, days overdue at 2026-04-16.
@@ -80,7 +82,8 @@ def test_scenario_a(spark, paths):
     result = run_reconciliation(spark, paths, RunSettings(cutoff=h.CUTOFF, skip_rows=2))
     assert counts(result.movements.transform(lambda d: d), "flow") == {"ABONO": 7, "CARGO": 7}
     rows = result.matches.orderBy("payment_id").collect()
-    assert [(r.fingerprint, r.match_state, r.match_method, r.documents) for r in rows] == MATCHES
+    listed = with_lists(result.matches, result.open_items).orderBy("payment_id").collect()
+    assert [(r.fingerprint, r.match_state, r.match_method, r.documents) for r in listed] == MATCHES
     assert [r.client_method for r in rows] == ["directo"] * 4 + ["ninguno", "directo"]
 
     base = outputs.read_table(spark, f"{paths.output}/consolidated", outputs.CONSOLIDATED)
@@ -203,26 +206,48 @@ def base_of(spark, rows):
 
 def test_letters(spark):
     base = base_of(spark, [("Acero", "F-1", 1000, 3), ("Acero", "F-2", 2500000, 70), ("Cobre", "G-1", 5, -2), ("Cobre", "G-2", 6, None)])
-    rows = {r.client: r for r in dunning_letters(base, "2026-05-02").collect()}
+    letters, lines = dunning_letters(base, "2026-05-02"), dunning_lines(base, Workspace(spark))
+    rows = {r.client: r for r in letters.collect()}
     acero, cobre = rows["Acero"], rows["Cobre"]
-    assert (acero.worst_band, acero.stage, acero.parts) == ("61-90", "SEMANA_4", 1)
-    table = [x for x in acero.body.splitlines() if x.startswith("|")]
+    assert (acero.worst_band, acero.stage, acero.invoices) == ("61-90", "SEMANA_4", 2)
+    body = bodies(letter_rows(letters, lines))
+    table = [x for x in body["Acero"].splitlines() if x.startswith("|")]
     assert table[2:] == [
         "| F-2 | 2026-02-05 | 70 | $2,500,000 |",
         "| F-1 | 2026-04-13 | 3 | $1,000 |",
         "| **TOTAL** |  |  | **$2,501,000** |",
     ]
-    assert "09 de mayo de 2026" in acero.body and "Acero" in acero.subject
-    assert (cobre.worst_band, cobre.stage) == ("121+", "SEMANA_6") and "| G-2 |  |  | $6 |" in cobre.body
-
-
-def test_long_letters_come_in_parts_with_every_invoice_once(spark):
-    rows = [("Acero", f"F-{i}", 10, i % 5) for i in range(60)] + [("Cobre", "G-1", 5, 1)]
-    letters = dunning_letters(base_of(spark, rows), "2026-05-02", lines_per_letter=8).orderBy("client", "part").collect()
-    acero = [r for r in letters if r.client == "Acero"]
-    lines = [x for r in acero for x in r.body.splitlines() if x.startswith("| F-")]
-    assert sorted(x.split(" | ")[0][2:] for x in lines) == sorted(f"F-{i}" for i in range(60))
-    days = [int(x.split(" | ")[2]) for x in lines]
-    assert days == sorted(days, reverse=True)
-    assert [r.part for r in acero] == sorted({r.part for r in acero}) and len({r.parts for r in acero}) == 1
-    assert sum("TOTAL" in r.body for r in letters) == 2 and letters[-1].parts == 1
+    text = TEMPLATES["SEMANA_4"].format(client="Acero", deadline="09 de mayo de 2026", table="\n".join(table))
+    assert body["Acero"] == text and "Acero" in acero.subject
+    assert (cobre.worst_band, cobre.stage) == ("121+", "SEMANA_6") and "| G-2 |  |  | $6 |" in body["Cobre"]
+
+
+def bodies(rows):
+    found = {}
+    for r in rows.orderBy("client", "pos").collect():
+        found.setdefault(r.client, []).append(r.text)
+    return {client: "\n".join(text) for client, text in found.items()}
+
+
+def test_a_long_letter_is_one_document_in_order(spark, tmp_path):
+    """7,000 invoices of one client, ties in days and documents: one letter, sorted without gathering the client."""
+    rows = [("Acero", f"F-{i // 2}", 10, i % 5 if i % 7 else None) for i in range(7000)] + [("Cobre", "G-1", 5, 1)]
+    base = base_of(spark, rows)
+    letters, lines = dunning_letters(base, "2026-05-02"), dunning_lines(base, Workspace(spark))
+    got = [(r.pos, r.line.split(" | ")[0][2:], r.line.split(" | ")[2]) for r in lines.filter("client = 'Acero'").orderBy("pos").collect()]
+    assert [p for p, _, _ in got] == list(range(1, 7001))
+    days = lambda i: -1 if i % 7 == 0 else i % 5
+    want = sorted(range(7000), key=lambda i: (-days(i) if days(i) >= 0 else 1, f"F-{i // 2}", i))
+    assert [(d, n) for _, d, n in got] == [(f"F-{i // 2}", str(days(i)) if days(i) >= 0 else "") for i in want]
+    write_letters(letters, lines, str(tmp_path / "letters"))
+    stored = spark.read.parquet(str(tmp_path / "letters"))
+    assert stored.count() == 7001 + 4 and bodies(stored)["Cobre"].count("TOTAL") == 1
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
+
+
+def test_the_run_writes_its_candidate_sets(spark, paths):
+    result = run_reconciliation(spark, paths, RunSettings(cutoff=h.CUTOFF, skip_rows=2))
+    stored = spark.read.parquet(f"{paths.output}/candidate_sets")
+    named = result.matches.filter("candidate_cents IS NOT NULL").select("client", "candidate_cents").distinct().count()
+    assert stored.select("client_norm", "cents").distinct().count() == named

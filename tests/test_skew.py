@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paidup.config import SkewSettings
-from paidup.skew import grouped_lists, hot_keys, hot_rows, lookup, short_lists
+from paidup.skew import hot_keys, lookup, short_lists
 
 SMALL = SkewSettings(min_rows=500, salts=8)
 
@@ -36,23 +36,12 @@ def test_no_hot_keys_in_an_empty_table(spark):
     assert hot_keys(spark.createDataFrame([], "a string, b long"), ["a"], ["a", "b"]) == [[], []]
 
 
-def test_grouped_lists(spark, fact):
-    rows = {r.k: r for r in grouped_lists(fact, ["k"], "id", F.col("id"), 8).collect()}
+def test_short_lists(spark, fact):
+    rows = {r.k: r.entries for r in short_lists(fact, ["k"], "id", F.col("id"), 8).collect()}
     want = {}
     for r in fact.orderBy("id").collect():
         want.setdefault(r.k, []).append(r.id)
-    assert set(rows) == set(want)
-    for k, ids in want.items():
-        assert rows[k].n_rows == len(ids)
-        assert rows[k].entries == (ids if len(ids) <= 8 else None)
-
-
-def test_lists_of_hot_keys_are_not_gathered(spark, fact):
-    (hot,) = hot_keys(fact, ["k"], settings=SMALL)
-    assert short_lists(fact, ["k"], "id", F.col("id"), 3, hot).filter("k = 7").count() == 0
-    row = grouped_lists(fact, ["k"], "id", F.col("id"), 8, hot).filter("k = 7").first()
-    assert row.n_rows == fact.filter("k = 7").count() and row.entries is None
-    assert hot_rows(fact, ["k"], hot).select("k").distinct().count() == 1
+    assert rows == {k: ids[:8] for k, ids in want.items()}
 
 
 def test_short_lists_cut_groups_before_the_shuffle(spark, fact):
@@ -68,9 +57,6 @@ def test_clients_beyond_the_cap_have_no_items(spark):
         F.when(F.col("id") < 380, "BIG").otherwise(F.concat(F.lit("C"), F.col("id") % 4)).alias("client_norm"),
         F.col("id").alias("item_ord"), F.col("id").cast("string").alias("document"), (F.col("id") * 100).alias("cents"),
     )
-    (hot,) = hot_keys(items, ["client_norm"], settings=SkewSettings(min_rows=300))
-    assert len(hot) == 1
-    for keys in ([], hot):
-        rows = {r.client_norm: r for r in client_profiles(items, MatchSettings(), keys).collect()}
-        assert rows["BIG"].n_items == 65 and rows["BIG"].items is None
-        assert [len(rows[f"C{i}"].items) for i in range(4)] == [5, 5, 5, 5]
+    rows = {r.client_norm: r for r in client_profiles(items, MatchSettings()).collect()}
+    assert rows["BIG"].n_items == 16 and rows["BIG"].items is None
+    assert [len(rows[f"C{i}"].items) for i in range(4)] == [5, 5, 5, 5]

@@ -238,6 +238,43 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(reversal)
 
 
+def segment_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open items of a few large clients (the market segments): amounts in steps of 100,000, so that hundreds of
+    invoices are equal, and document numbers that several invoices share."""
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") != "F")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    k = F.col("o_orderkey")
+    amount = ((F.lit(1) + F.floor(F.col("o_totalprice") / 100000)) * 100000).cast(MONEY)
+    due = F.date_sub(F.lit(CUTOFF), (k % 170 - 20).cast("int"))
+    items = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        k.alias("item_ord"),
+        F.initcap("c_mktsegment").alias("client"),
+        F.upper("c_mktsegment").alias("client_norm"),
+        F.concat(F.lit("FV-"), F.floor(k / 8).cast("string")).alias("document"),
+        F.date_sub(due, 30).alias("posting_date"),
+        due.alias("due_date"),
+        amount.alias("original_amount"),
+        amount.alias("open_amount"),
+    )
+    return with_aging(items, CUTOFF)
+
+
+def segment_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payment for every open item of the large clients: of its amount, of its amount but for the tolerance, or of
+    another amount; the last two quote the number."""
+    rows = segment_items(spark, sf_dir)
+    k = F.col("item_ord")
+    amount = F.when(k % 3 == 0, F.col("open_amount")).when(k % 3 == 1, F.col("open_amount") + 1).otherwise(F.col("open_amount") + 333)
+    quote = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" REF "), F.col("document")))
+    return rows.select(
+        k.alias("movement_ord"),
+        F.date_sub(F.lit(CUTOFF), (k % 30).cast("int")).alias("value_date"),
+        amount.cast(MONEY).alias("amount"),
+        F.concat(F.lit("PAGO DE PROV "), F.col("client_norm"), quote).alias("description"),
+        F.lit("PAGO_CLIENTE").alias("category"),
+    )
+
+
 def clients_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients whose names share words: segment, nation and a suffix."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
