@@ -5,8 +5,13 @@ that is no letter read as one space. Their hashes pick embeddings; a text is the
 embeddings. Embeddings and softmax are trained by stochastic gradient descent in numpy on the driver,
 on at most ``PER_LANGUAGE`` labelled texts of each language, the ones with the smallest hashes; the
 tasks turn these texts into hashed counts, so what reaches the driver is bounded for texts of any
-length. A part of the sample is kept from training to fit the temperature of the softmax and the
-score under which a prediction is rejected.
+length. A part of the sample is kept from training to fit the temperature of the softmax, for slightly smoothed
+targets, so that texts that are all told apart do not make it sure of everything.
+
+A prediction is rejected if its score is low, or if the text is strange: the share of its subwords that the model
+was trained on (the familiarity) is low, as it is in languages nobody taught it. Both floors come from all labelled documents that are
+not held out and are predicted rightly: the quantile ``REJECTED`` of each, lowered by ``SLACK`` for the familiarity and never above ``SURE``
+for the score.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing could
 be learned. A null doc_id counts as held out. Rows repeat as given.
@@ -25,12 +30,13 @@ from paidup.llm.session import prepared
 from paidup.llm.text import LOWER, blocks, utf8
 
 #: Most labelled texts of a language that the model is fitted on.
-PER_LANGUAGE = 200
+PER_LANGUAGE = 400
 #: Buckets of the hash, width of an embedding.
 BUCKETS, WIDTH = 1 << 16, 16
 EPOCHS, BATCH, RATE = 6, 16, 2.0
-#: Share of the calibration texts that the rejection may cost, and the score above which nothing is rejected.
-REJECTED, SURE = 0.002, 0.4
+#: Share of the rightly predicted documents below the floors before they are lowered, the score above which none is
+#: rejected for its score, and what the floor of the familiarity is lowered to.
+REJECTED, SURE, SLACK = 0.001, 0.6, 0.9
 
 _FOLD = LOWER.copy()
 _FOLD[:128][~np.isin(np.arange(128), np.r_[65:91, 97:123])] = 32
@@ -80,18 +86,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """``table[bucket]`` holds what a subword adds to the score of each language."""
+    """``table[bucket]`` holds what a subword adds to the score of each language, and last whether it was trained on."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, reject: float):
-        self.languages, self.table, self.bias = languages, table, bias
-        self.temperature, self.reject = temperature, reject
+    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float):
+        self.languages, self.table, self.bias, self.temperature = languages, table, bias, temperature
+        #: Floors of the score and of the familiarity.
+        self.reject, self.strange = 0.0, 0.0
 
-    def logits(self, column: pa.Array) -> np.ndarray:
-        out, sizes = np.zeros((len(column), len(self.languages))), np.zeros(len(column))
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The logits of each text, and its familiarity."""
+        out, sizes = np.zeros((len(column), len(self.languages) + 1)), np.zeros(len(column))
         for h, bounds in subwords(column):
             out += np.add.reduceat(self.table[h], bounds[:-1], axis=0, dtype=np.float64)
             sizes += np.diff(bounds)
-        return out / sizes[:, None] + self.bias
+        out /= sizes[:, None]
+        return out[:, :-1] + self.bias, out[:, -1]
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         return _softmax(logits / self.temperature)
@@ -147,12 +156,13 @@ def trained(rows: list) -> Model | None:
         held = own
     logits = np.stack([(table[buckets[i]] * weights[i][:, None]).sum(axis=0) + bias for i in held])
     right = np.arange(len(held)), label[held]
-    choices = np.geomspace(0.05, 20, 61)
-    loss = [-np.log(np.maximum(_softmax(logits / t)[right], 1e-12)).mean() for t in choices]
+    choices = np.geomspace(0.005, 20, 91)
+    smooth = np.full(logits.shape, 1 / (len(held) + 2) / max(len(languages) - 1, 1))
+    smooth[right] = 1 - 1 / (len(held) + 2)
+    loss = [-(smooth * np.log(np.maximum(_softmax(logits / t), 1e-30))).sum(axis=1).mean() for t in choices]
     temperature = float(choices[int(np.argmin(loss))])
-    top = np.sort(_softmax(logits / temperature).max(axis=1))
-    reject = min(SURE, float(top[int(REJECTED * len(top))]))
-    return Model(languages, table.astype(np.float32), bias, temperature, reject)
+    seen = np.bincount(np.concatenate([buckets[i] for i in own]), minlength=BUCKETS) > 0
+    return Model(languages, np.column_stack((table, seen)).astype(np.float32), bias, temperature)
 
 
 def held_out():
@@ -168,7 +178,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     ranked = chosen.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("__rank"))
     counted = ranked.filter(F.col("__rank") <= per_language).select("lang", "text")
     rows = counted.mapInArrow(_counts, "lang string, buckets binary, weights binary").collect()
-    return trained(sorted(rows, key=lambda r: (r.lang, bytes(r.buckets), bytes(r.weights))))
+    model = trained(sorted(rows, key=lambda r: (r.lang, bytes(r.buckets), bytes(r.weights))))
+    if model:
+        known = chosen.select("doc_id", "text", "lang").mapInArrow(
+            _known(docs.sparkSession.sparkContext.broadcast(model)), "score double, familiar double"
+        )
+        floors = known.agg(*[F.percentile_approx(c, REJECTED, 100_000) for c in ("score", "familiar")]).first()
+        model.reject, model.strange = min(SURE, floors[0] or 0.0), SLACK * (floors[1] or 0.0)
+    return model
 
 
 def _letterless(batch: pa.RecordBatch) -> np.ndarray:
@@ -186,10 +203,26 @@ def _scored(batch: pa.RecordBatch, model: Model | None) -> tuple[np.ndarray, np.
     none = _letterless(batch)
     if model is None:
         return np.full(len(batch), -1), np.zeros(len(batch)), np.ones(len(batch), bool)
-    p = model.probabilities(model.logits(batch.column("text")))
+    logits, familiar = model.read(batch.column("text"))
+    p = model.probabilities(logits)
     best, score = p.argmax(axis=1), p.max(axis=1)
     best[none], score[none] = -1, 0.0
-    return best, score, none | (score < model.reject)
+    return best, score, none | (score < model.reject) | (familiar < model.strange)
+
+
+def _known(shared):
+    """Score and familiarity of the texts whose language is predicted rightly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks(whole, "text"):
+                logits, familiar = shared.value.read(batch.column("text"))
+                p = shared.value.probabilities(logits)
+                names = np.array(shared.value.languages, dtype=object)[p.argmax(axis=1)]
+                right = names == np.array(batch.column("lang").to_pylist(), dtype=object)
+                yield pa.RecordBatch.from_arrays([pa.array(p.max(axis=1)[right]), pa.array(familiar[right])], ["score", "familiar"])
+
+    return run
 
 
 def _predict(shared):
@@ -236,6 +269,6 @@ def op7_language(spark, sf_dir: str) -> DataFrame:
 
 
 def with_known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language is rejected go (no letter, or a score below the fitted floor)."""
+    """Pipeline stage: documents whose language is rejected go (no letter, or a score or familiarity below the fitted floors)."""
     model = fit(docs)
     return docs.mapInArrow(_accepted(spark.sparkContext.broadcast(model)), docs.schema)

@@ -272,6 +272,17 @@ def test_template_regions():
     assert not any(map(accepts, ["one", "two four", "one x y z four", "one four five"]))
 
 
+OTHER_LANGUAGES = [
+    "De gemeente heeft gisteren besloten dat het oude zwembad volgend jaar wordt gesloten omdat de kosten te hoog zijn geworden",
+    "La mattina presto il pescatore usciva con la sua barca e tornava soltanto quando il sole era già alto nel cielo azzurro",
+    "Bu sabah erkenden kalkıp şehrin en kalabalık pazarına gittim ve taze sebze ile meyve aldım, sonra çay içtim",
+    "qxzv kjwq zzkp vrrx wqjk pxzq kkvj zxwq bvxz qqjw kzpx vwzz jxkq",
+    "هذا الصباح ذهبت إلى السوق واشتريت بعض الخضروات والفواكه الطازجة",
+    "今朝は早く起きて市場へ行き、新鮮な野菜と果物を買いました。",
+    "Сегодня утром я рано встал и пошёл на рынок за свежими овощами и фруктами",
+]
+
+
 def test_language(spark):
     path = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{path}/documents.parquet")
@@ -282,6 +293,10 @@ def test_language(spark):
     assert held.filter("lang = lang_pred").count() >= 0.97 * held.count()
     und = {r.doc_id: (r.lang_pred, r.score) for r in found.filter("doc_id > 9000").collect()}
     assert und == {9001: ("und", 0.0), 9002: ("und", 0.0)}
+    other = spark.createDataFrame([(9100 + i, t, "x", "y", 0) for i, t in enumerate(OTHER_LANGUAGES)], DOCS).withColumn("score", F.lit(1))
+    assert language.predict(other, model).filter("not rejected").count() == 0
+    kept = found.filter("doc_id < 9000").join(docs.filter("lang is not null"), "doc_id").agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert kept < 0.005
     nothing = language.predict(odd, language.fit(odd.limit(0))).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
 
