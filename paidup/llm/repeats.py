@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paidup.llm.session import prepared
+from paidup.llm.session import prepared, release_memory
 from paidup.llm.suffix_array import EnhancedSuffixArray
 from paidup.llm.text import _BYTE, _STEP, blocks, mixed, utf8
 from paidup.workspace import Workspace
@@ -44,7 +44,7 @@ HOT = 50_000
 #: Bytes of documents for one bucket of keys, and for one bucket of runs.
 KEY_BYTES, RUN_BYTES = 16 << 20, 8 << 20
 #: Bytes of a chunk whose runs are found in one go, and parts of a bucket that are worked on in turn.
-SLICE, SHARES = 1 << 20, 8
+SLICE, SHARES = 1 << 18, 8
 
 _NONE = np.iinfo(np.int64).min
 _KEY = np.uint64(0x2545F4914F6CDD1D)
@@ -52,6 +52,7 @@ _KEY = np.uint64(0x2545F4914F6CDD1D)
 
 def _to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
+    release_memory()
     for whole in batches:
         for batch in blocks(whole, "text"):
             sink = pa.BufferOutputStream()
@@ -198,6 +199,7 @@ _KEYS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.bi
 def _send_keys(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release_memory()
             for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("rows")):
                 key, count = key_counts(*utf8(_rows(body.as_buffer()).column("text")))
                 count = np.minimum(count, 65535).astype(np.uint16)
@@ -244,6 +246,7 @@ _PARTS = pa.schema(
 def _send_runs(key_buckets: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release_memory()
             for chunk, body, replies in zip(
                 batch.column("chunk").to_pylist(), batch.column("rows"), batch.column("replies").to_pylist()
             ):
@@ -391,6 +394,7 @@ def _find(rows: pd.DataFrame) -> pd.DataFrame:
     start = [np.frombuffer(x, np.int64) for x in own["starts"]]
     size = [np.frombuffer(x, np.int64) for x in own["counts"]]
     rows = rows[~rows["spans"]]
+    release_memory()
     received = Received(rows) if len(rows) else None
     for share in np.unique(received.shares).tolist() if received else ():
         bucket = Bucket(received, share)
@@ -439,6 +443,7 @@ def _removed(rows: pa.RecordBatch, spans: list | None) -> tuple[np.ndarray, np.n
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        release_memory()
         for body, spans in zip(batch.column("rows"), batch.column("all_spans").to_pylist()):
             rows = _rows(body.as_buffer())
             data, offsets, gone = _removed(rows, spans)
@@ -465,6 +470,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        release_memory()
         for body, spans in zip(batch.column("rows"), batch.column("all_spans").to_pylist()):
             rows = _rows(body.as_buffer())
             data, offsets, gone = _removed(rows, spans)
@@ -489,6 +495,8 @@ class Repeats:
         workspace = Workspace(spark)
         chunks = docs.mapInArrow(_to_chunks, "chunk long, size long, rows binary")
         self.chunks = workspace.stage(chunks, "chunks")
+        # a row is a megabyte or two long: a few at a time
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
         total = self.chunks.agg(F.sum("size")).first()[0] or 0
         keys, self.buckets = 1 + total // key_bytes, 1 + total // run_bytes
         sent = self.chunks.mapInArrow(_send_keys(keys), "bucket long, chunk long, keys binary, counts binary")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 _SHIPPED = "_paidup_shipped"
@@ -25,3 +27,13 @@ def prepared(spark: SparkSession, rows: int = 512) -> SparkSession:
         context.addPyFile(str(archive))
         setattr(context, _SHIPPED, True)
     return spark
+
+
+def release_memory() -> None:
+    """Gives back what a Python worker holds free. Workers are used again by later tasks, and one that has seen
+    large arrays keeps them as free memory of its own."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to give back by hand
