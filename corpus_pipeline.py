@@ -20,7 +20,7 @@ STAGES = [
     ("packing", packed_corpus),
 ]
 
-#: SQL has neither the learned model nor the packing; the tests hold run() against a plain version.
+#: SQL has neither the learned model nor the packing.
 ORACLE_SQL = None
 
 
