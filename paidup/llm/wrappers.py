@@ -1,13 +1,17 @@
 """Main text of pages by wrapper induction over the pages of a host.
 
-The trees of the pages of a host are aligned with the tree of one of them by simple tree matching;
-siblings of one kind in a row are one slot that repeats. Over all pages of the host it is then
-counted which text stands in which slot. A short text that stands in the same slot of most different
-pages that have this slot is template, what varies is content. Pages without any element are not chosen. Elements that are never article text (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, comments) go by their names, before and beyond
-that, so pages of small hosts have a result, too.
+The pages of a host are put apart by layout: the set of their containers with their classes. The trees of the pages
+of a layout are aligned with the tree of one of them by simple tree matching; siblings of one kind in a
+row are one slot that repeats. Over all pages of the layout it is then counted which text, of any
+length, stands in which slot. A text that stands in the same slot of most different pages that have
+this slot is template, what varies is content. Where all texts of a slot are constant, three different
+pages are enough; a slot that also holds varying texts needs eight, so that a few near copies of an
+article don't take each other's paragraphs. Pages without any element are not chosen as the model.
+Elements that are never article text (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, comments) go by their names, before and beyond that, so pages of small hosts have a result, too.
 
 Null html is empty and gives an empty text. Pages without a host are aligned with nothing. Rows repeat as given.
+Trees may nest to any depth: nothing here is recursive.
 """
 
 from __future__ import annotations
@@ -25,10 +29,15 @@ from paidup.llm.dom import Node, blocks, parse
 from paidup.llm.session import prepared
 from paidup.workspace import Workspace
 
-#: Different pages of a host that have a slot, and the share of them, that make a constant text template.
-PAGES, SHARE = 8, 0.6
-#: Words of the longest text that can be template.
-SHORT = 25
+#: Share of the different pages with a slot that makes a text of it constant.
+SHARE = 0.6
+#: So many different pages must have the slot: where all its texts are constant, and where others vary (as the paragraphs of articles do).
+PAGES, MIXED = 3, 8
+#: Containers, and lists and tables with a class; the different ones of a page are its layout.
+CLASSED = (
+    r"(?i)<((?:(?:article|aside|body|div|footer|header|main|nav|section)\b|(?:dl|ol|table|ul)(?=\s[^>]*?\bclass))"
+    r"(?:\s[^>]*?\bclass\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)"
+)
 
 DROPPED = set(
     "head nav footer aside form script style noscript template iframe object embed svg math canvas audio video map button"
@@ -60,7 +69,13 @@ def _inside(node: Node) -> bool:
 
 
 def _headed(node: Node) -> bool:
-    return any(not isinstance(c, str) and (c.tag in ("h1", "h2", "hgroup") or _headed(c)) for c in node.children)
+    todo = [node]
+    while todo:
+        below = [c for c in todo.pop().children if not isinstance(c, str)]
+        if any(c.tag in ("h1", "h2", "hgroup") for c in below):
+            return True
+        todo += below
+    return False
 
 
 def articles(root: Node) -> list[Node]:
@@ -81,73 +96,95 @@ def articles(root: Node) -> list[Node]:
     return found["article"] or found["main"] or [root]
 
 
-def skeleton(node: Node) -> list:
-    """[kind, [children]] with siblings of one kind in a row as one child, that of the first of them."""
-    children: list = []
-    for child in node.children:
-        if isinstance(child, str) or child.tag in ("script", "style", "b", "i", "em", "strong", "a", "span", "br"):
-            continue
-        if not children or children[-1][0] != child.kind:
-            children.append(skeleton(child))
-    return [node.kind, children]
-
-
-def numbered(tree: list, first: int = 0) -> int:
-    """Appends its number to every node of a skeleton, in page order; returns the next number."""
-    tree.append(first)
-    first += 1
-    for child in tree[1]:
-        first = numbered(child, first)
-    return first
+#: (kinds, children) of the slots of a model, in page order; slot 0 is the root.
+Model = tuple[list[str], list[list[int]]]
+INLINE = set("script style b i em strong a span br".split())
 
 
-def _match(node: Node, model: list) -> tuple[int, list]:
-    """Simple tree matching: size of the largest alignment, and its pairs of children."""
-    runs: list[list[Node]] = []
+def runs(node: Node) -> list[list[Node]]:
+    """The elements below a node; siblings of one kind in a row are one run."""
+    found: list[list[Node]] = []
     for child in node.children:
-        if isinstance(child, str) or child.tag in ("script", "style", "b", "i", "em", "strong", "a", "span", "br"):
+        if isinstance(child, str) or child.tag in INLINE:
             continue
-        if runs and runs[-1][0].kind == child.kind:
-            runs[-1].append(child)
+        if found and found[-1][0].kind == child.kind:
+            found[-1].append(child)
         else:
-            runs.append([child])
-    n, m = len(runs), len(model[1])
-    size = [[0] * (m + 1) for _ in range(n + 1)]
-    pair: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(n):
-        for j in range(m):
-            best = max(size[i][j + 1], size[i + 1][j])
-            if runs[i][0].kind == model[1][j][0]:
-                pair[i, j] = _match(runs[i][0], model[1][j])
-                best = max(best, size[i][j] + pair[i, j][0])
-            size[i + 1][j + 1] = best
-    chosen, i, j = [], n, m
-    while i and j:
-        if (i - 1, j - 1) in pair and size[i][j] == size[i - 1][j - 1] + pair[i - 1, j - 1][0]:
-            chosen.append((runs[i - 1], model[1][j - 1], pair[i - 1, j - 1][1]))
-            i, j = i - 1, j - 1
-        elif size[i][j] == size[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return size[n][m] + 1, chosen
+            found.append([child])
+    return found
 
 
-def align(root: Node, model: list) -> None:
-    """Gives the matched nodes of a page the numbers of their slots."""
+def skeleton(root: Node) -> list[list]:
+    """[kind, number of the parent] of every slot in page order; a run is one slot with the elements of its first."""
+    slots: list[list] = []
+    todo = [(root, -1)]
+    while todo:
+        node, parent = todo.pop()
+        todo += [(run[0], len(slots)) for run in reversed(runs(node))]
+        slots.append([node.kind, parent])
+    return slots
+
+
+def model_of(slots: list[list]) -> Model:
+    below: list[list[int]] = [[] for _ in slots]
+    for number, (_, parent) in enumerate(slots):
+        if parent >= 0:
+            below[parent].append(number)
+    return [kind for kind, _ in slots], below
+
 
-    def give(nodes: list[Node], own: list, chosen: list) -> None:
-        for k, node in enumerate(nodes):
-            node.slot = own[2]
-            if k:
-                chosen = _match(node, own)[1]
-            for below, child, more in chosen:
-                give(below, child, more)
+def matching(node: Node, slot: int, model: Model) -> tuple[int, dict]:
+    """Simple tree matching of the tree below a node and below a slot of its kind.
 
-    give([root], model, _match(root, model)[1])
+    Returns the size of the largest alignment and, for every pair (id of a node, slot) that could be
+    part of it, the aligned (run, slot) below. Pairs are solved from the deepest on, without recursion.
+    """
+    kinds, below = model
+    pairs, own = [(node, slot)], {}
+    for one, at in pairs:
+        if id(one) not in own:
+            own[id(one)] = runs(one)
+        for run in own[id(one)]:
+            pairs += [(run[0], j) for j in below[at] if kinds[j] == run[0].kind and below[j] and run[0].children]
+    sizes: dict[tuple[int, int], int] = {}
+    chosen: dict[tuple[int, int], list] = {}
+    for one, at in reversed(pairs):
+        left, right = own[id(one)], below[at]
+        size = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, run in enumerate(left):
+            for j, other in enumerate(right):
+                best = max(size[i][j + 1], size[i + 1][j])
+                if run[0].kind == kinds[other]:
+                    best = max(best, size[i][j] + sizes.get((id(run[0]), other), 1))
+                size[i + 1][j + 1] = best
+        found, i, j = [], len(left), len(right)
+        while i and j:
+            run, other = left[i - 1], right[j - 1]
+            if run[0].kind == kinds[other] and size[i][j] == size[i - 1][j - 1] + sizes.get((id(run[0]), other), 1):
+                found.append((run, other))
+                i, j = i - 1, j - 1
+            elif size[i][j] == size[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        sizes[id(one), at], chosen[id(one), at] = size[-1][-1] + 1, found
+    return sizes[id(node), slot], chosen
+
+
+def align(root: Node, model: Model) -> None:
+    """Gives the matched nodes of a page the numbers of their slots."""
+    below = model[1]
+    todo: list = [([root], 0, None)]
+    while todo:
+        nodes, slot, known = todo.pop()
+        for node in nodes:
+            node.slot = slot
+            if below[slot] and node.children:
+                chosen = known if known is not None and (id(node), slot) in known else matching(node, slot, model)[1]
+                todo += [(run, other, chosen) for run, other in chosen[id(node), slot]]
 
 
-def page_blocks(text: str, model: list | None) -> list[tuple[int, str]]:
+def page_blocks(text: str, model: Model | None) -> list[tuple[int, str]]:
     """(slot, text) of the blocks that are article text by their names; slot -1 if nothing matches."""
     root = parse(text)
     if model is not None:
@@ -167,21 +204,17 @@ def _hash(text: str) -> int:
 
 def _models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        trees = []
-        for text in batch.column("html").to_pylist():
-            tree = skeleton(parse(text))
-            numbered(tree)
-            trees.append(json.dumps(tree))
+        trees = [json.dumps(skeleton(parse(text))) for text in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees)], ["host", "model"])
 
 
-def _model(text: str | None, known: dict) -> list | None:
+def _model(text: str | None, known: dict) -> Model | None:
     if text is None:
         return None
     if text not in known:
         if len(known) > 1000:
             known.clear()
-        known[text] = json.loads(text)
+        known[text] = model_of(json.loads(text))
     return known[text]
 
 
@@ -192,7 +225,7 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page, model in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "model"))):
             digest = _hash(page)
             found = [(s, t) for s, t in page_blocks(page, _model(model, known)) if s >= 0]
-            seen = {(s, _hash(t)) for s, t in found if t.count(" ") < SHORT}
+            seen = {(s, _hash(t)) for s, t in found}
             seen |= {(-1 - s, 0) for s, _ in found}  # the page has the slot
             for slot, text in seen:
                 hosts.append(host)
@@ -242,16 +275,17 @@ def _by_host(pages: DataFrame, known: DataFrame, hot: DataFrame, how: str) -> Da
     return dealt.drop("parts").join(copies.drop("parts"), ["host", "part"], how).drop("part")
 
 
-def extract(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE, least_mixed: int = MIXED) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     spark = prepared(pages.sparkSession)
     workspace = Workspace(spark)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    layout = F.hex(F.xxhash64(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(CLASSED), F.lit(1))))))
     own = pages.select(
         F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
-    ).withColumn("host", F.when(host != "", host))
+    ).withColumn("host", F.when(host != "", F.concat_ws(" ", host, layout)))
     hosted = own.filter("host is not null")
-    # a host needs as many pages as make a constant text template
+    # a host (from here on: with a layout) needs as many pages as make a constant text template
     sizes = hosted.groupBy("host").agg(F.count("*").alias("n"), F.min(F.when(F.col("html").rlike("<[A-Za-z]"), F.xxhash64("html"))).alias("least"))
     sizes = workspace.stage(sizes, "hosts")
     total = sizes.agg(F.sum("n")).first()[0] or 0
@@ -263,9 +297,12 @@ def extract(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) ->
         _slots, "host string, slot int, text long, page long"
     )
     counts = workspace.stage(seen.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("pages")), "slots")
-    all_ = counts.filter("slot < 0").select("host", (-1 - F.col("slot")).alias("slot"), F.col("pages").alias("all"))
-    constant = counts.filter("slot >= 0").join(all_, ["host", "slot"]).filter(
-        (F.col("all") >= least_pages) & (F.col("pages") >= F.col("all") * share)
+    slots = counts.groupBy("host", F.when(F.col("slot") < 0, -1 - F.col("slot")).otherwise(F.col("slot")).alias("slot")).agg(
+        F.max(F.when(F.col("slot") < 0, F.col("pages"))).alias("all"), F.min(F.when(F.col("slot") >= 0, F.col("pages"))).alias("rarest")
+    )
+    needed = F.when(F.col("rarest") >= F.col("all") * share, least_pages).otherwise(F.greatest(F.lit(least_pages), F.lit(least_mixed)))
+    constant = counts.filter("slot >= 0").join(slots, ["host", "slot"]).filter(
+        (F.col("all") >= needed) & (F.col("pages") >= F.col("all") * share)
     )
     wrappers = constant.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("constant")).join(models, "host")
     return _by_host(own, wrappers, hot, "left").select("page_id", "url", "html", "model", "constant").mapInArrow(

@@ -391,8 +391,51 @@ def test_main_text_with_empty_pages_and_a_second_layout(spark):
     assert len(got) == len(pages)
     assert not [k for k, text in got.items() if k < 5000 and "Join our list" in text]
     assert got[103] == "T103\n\nOwn words 103" and got[5052] == "U2\n\nOther words 2"
-    # the layout of the chosen page is on half the pages; where it is the other one, this one keeps its constant text (open)
-    assert [h for h in range(8) if "Join our list" not in got[5000 + 100 * h]]
+    # every layout of a host has its own model
+    assert not [k for k, text in got.items() if 5000 <= k and "Join our list" in text]
+
+
+def test_main_text_with_neutral_names_small_hosts_long_notices_and_deep_pages(spark):
+    notice = "This notice is the same on every page and " + "has a good many words " * 10
+    page = lambda k: f"<div class=c1>Start</div><div class=c2><h1>T{k}</h1><p>Own words {k}<p>More {k}</div><div class=c3>{notice}</div>"
+    copy = lambda k: f"<div class=b><h2>U{k}</h2><p>Shared words<p>Also shared<p>Own {k}</div>"
+    pages = [(k, f"http://a/{k}", page(k)) for k in range(7)] + [(20 + k, f"http://b/{k}", page(k)) for k in range(2)]
+    pages += [(30 + k, f"http://c/{k}", copy(k)) for k in range(4)]
+    pages += [(40 + k, f"http://d/{k}", "<div>" * 3000 + f"deep {k}<p>template" + "</div>" * 3000) for k in range(3)]
+    pages += [(60, "http://a/0", page(0)), (60, "http://a/0", page(0))]
+    frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, host string")
+    got = {r.page_id: r.text for r in wrappers.extract(frame).collect()}
+    assert [got[k] for k in range(7)] == [f"T{k}\n\nOwn words {k}\n\nMore {k}" for k in range(7)] and got[60] == got[0]
+    assert got[20].startswith("Start") and got[20].endswith("words")  # two pages prove nothing
+    assert got[31] == "U1\n\nShared words\n\nAlso shared\n\nOwn 1"  # a slot that varies needs eight pages
+    assert [got[40 + k] for k in range(3)] == [f"deep {k}" for k in range(3)]
+    assert wrappers.extract(frame.limit(0)).collect() == []
+
+
+def test_tree_matching_equals_brute_force():
+    draw = np.random.default_rng(4)
+
+    def tree(depth):
+        below = "".join(tree(depth - 1) for _ in range(draw.integers(0, 4))) if depth else ""
+        tag = draw.choice(["div", "section", "ul"])
+        return f"<{tag}>{below}</{tag}>"
+
+    def best(node, slot, model):
+        def rest(left, right):
+            if not left or not right:
+                return 0
+            own = best(left[0][0], right[0], model) if left[0][0].kind == model[0][right[0]] else 0
+            return max(rest(left[1:], right), rest(left, right[1:]), own and own + rest(left[1:], right[1:]))
+
+        return 1 + rest(wrappers.runs(node), model[1][slot])
+
+    for _ in range(60):
+        page, model = dom.parse(tree(3) + tree(3)), wrappers.model_of(wrappers.skeleton(dom.parse(tree(3) + tree(3))))
+        size, chosen = wrappers.matching(page, 0, model)
+        assert size == best(page, 0, model)
+        for pairs in chosen.values():
+            assert all(run[0].kind == model[0][slot] for run, slot in pairs)
+            assert [slot for _, slot in pairs] == sorted((slot for _, slot in pairs), reverse=True)
 
 
 def test_packing(docs, rows):
