@@ -18,7 +18,8 @@ class, of which one stands for all. Inverted lists of the retained values genera
 * The bottom-k sketch of the union estimates the similarity of a pair and drops the hopeless ones;
   the rest is decided by the exact Jaccard similarity of the full sets.
 
-``SHARED`` of 64 values lies more than six standard deviations below what a pair at the threshold shares.
+``SHARED`` of 64 values lies more than six standard deviations below what a pair at 85 percent shares, and 32 below
+what one at 80 percent shares.
 Shingles are compared by 64-bit hashes.
 
 Null or wordless texts have an empty set and are linked with nothing. Rows with one doc_id are one
@@ -47,18 +48,23 @@ ROUNDS, COMPARED = 3, 512
 #: Longest list whose pairs are listed, at most this many for a document.
 SHORT = 32
 
-_SHINGLE = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
+#: An odd factor for each word of a shingle.
+_SHINGLE = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _SHORT = (np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F))
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; below 3 words the whole sequence is one shingle."""
+def shingle_sets(column: pa.Array, width: int = 3) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of the shingles of ``width`` words; the whole sequence of a shorter text is one shingle."""
     words = Words(column, GRAPHIC)
     h = words.hashes
-    grams = mixed(h[:-2] * _SHINGLE[0] + h[1:-1] * _SHINGLE[1] + h[2:] * _SHINGLE[2]) if len(h) > 2 else h[:0]
+    n = max(len(h) - width + 1, 0)
+    grams = np.zeros(n, np.uint64)
+    for k in range(width):
+        grams += h[k : k + n] * _SHINGLE[k]
+    grams = mixed(grams)
     for begin, end in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
-        if end - begin >= 3:
-            yield np.unique(grams[begin : end - 2].view(np.int64))
+        if end - begin >= width:
+            yield np.unique(grams[begin : end - width + 1].view(np.int64))
         elif end > begin:
             whole = np.zeros(1, np.uint64)
             for k in range(begin, end):
@@ -68,12 +74,12 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.int64)
 
 
-def _sketches(k: int):
+def _sketches(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in blocks(whole, "text"):
                 sizes, sums, xors, sketches = [], [], [], []
-                for own in shingle_sets(batch.column("text")):
+                for own in shingle_sets(batch.column("text"), width):
                     again = mixed(own.view(np.uint64) + _SHORT[0])
                     sizes.append(len(own))
                     sums.append(np.add.reduce(again))
@@ -95,11 +101,14 @@ def _sketches(k: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in blocks(whole, "text"):
-            sets = [x.tobytes() for x in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks(whole, "text"):
+                sets = [x.tobytes() for x in shingle_sets(batch.column("text"), width)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
+
+    return run
 
 
 def estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
@@ -229,17 +238,19 @@ def _with_both(pairs: DataFrame, table: DataFrame, key: str, column: str) -> Dat
 
 
 class NearCopies:
-    """The classes, sketches and links of one table of documents."""
+    """The classes, sketches and links of one table of documents, by shingles of up to five words."""
 
-    def __init__(self, docs: DataFrame, percent: int = 85, k: int = K, shared: int = SHARED):
+    def __init__(self, docs: DataFrame, percent: int = 85, k: int = K, shared: int = SHARED, width: int = 3):
         self.spark = prepared(docs.sparkSession)
         self.workspace = Workspace(self.spark)
-        self.percent, self.k, self.shared = percent, k, shared
+        if not 1 <= width <= len(_SHINGLE):
+            raise ValueError(f"shingles have 1 to {len(_SHINGLE)} words, not {width}")
+        self.percent, self.k, self.shared, self.width = percent, k, shared, width
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def classes(self) -> None:
         rows = self.docs.mapInArrow(
-            _sketches(self.k), "doc_id long, n_shingles long, sum long, xor long, sketch array<long>"
+            _sketches(self.k, self.width), "doc_id long, n_shingles long, sum long, xor long, sketch array<long>"
         )
         self.rows = self.workspace.stage(rows, "sketches")
         own = self.rows.filter("doc_id is not null and n_shingles > 0")
@@ -275,7 +286,7 @@ class NearCopies:
         workspace = self.workspace
         self.lists = workspace.stage(self.postings(), "postings")
         involved = self.lists.select(F.col("rep").alias("doc_id")).distinct()
-        sets = self.docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set binary")
+        sets = self.docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets(self.width), "doc_id long, set binary")
         self.sets = workspace.stage(sets, "sets")
         self.found = self.labels = self.tested = None
         for round_ in range(ROUNDS):
@@ -410,7 +421,7 @@ def op8_near_copies(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the smallest id stays, once."""
-    gone = NearCopies(docs).result().filter("not kept").select("doc_id").distinct()
+    """Pipeline stage: of each group of near copies, by five words and 80 percent, the document with the smallest id stays, once."""
+    gone = NearCopies(docs, percent=80, shared=32, width=5).result().filter("not kept").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionAll(docs.filter("doc_id is null"))

@@ -301,11 +301,12 @@ def test_language(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
-def test_near_copies(docs, rows, monkeypatch):
+@pytest.mark.parametrize("width, percent, shared", [(3, 85, near_copies.SHARED), (5, 80, 32)])
+def test_near_copies(docs, rows, monkeypatch, width, percent, shared):
     sets = {}
     for r in rows:
         w = re.findall("[^\x20\x09-\x0d]+", lowered(r[1]))
-        sets[r[0]] = set(zip(w, w[1:], w[2:])) if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[r[0]] = {tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
     top = {d: d for d in sets if d is not None}
 
     def find(d):
@@ -313,13 +314,13 @@ def test_near_copies(docs, rows, monkeypatch):
 
     for a in top:
         for b in top:
-            if b < a and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if b < a and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 top[max(x, y)] = min(x, y)
     for short in (near_copies.SHORT, 1):
         monkeypatch.setattr(near_copies, "SHORT", short)
         monkeypatch.setattr(near_copies, "ROUNDS", 3 if short > 1 else 1)
-        got = near_copies.NearCopies(docs).result().collect()
+        got = near_copies.NearCopies(docs, percent, shared=shared, width=width).result().collect()
         assert len(got) == len(rows)
         for g in got:
             assert g.n_shingles == len(sets[g.doc_id])
