@@ -726,3 +726,111 @@ def detail_export(spark, sf):
         "invoice_state string, priority string, origin string"
     )
     return plain(spark.read.schema(schema).csv(path, header=True))
+
+
+@query
+def alias_file(spark, sf):
+    """The alias catalogue as a CSV file with comment lines between the aliases, read back in order."""
+    from paidup.sources.ledgers import read_alias_file
+
+    ws = Workspace(spark)
+    rows = w.aliases(spark, sf).select(F.col("alias_ord") * 2, F.col("alias"), F.col("real_client").alias("cliente_real"), F.col("notes").alias("notas"))
+    rows = rows.toDF("line", "alias", "cliente_real", "notas")
+    comments = rows.select(F.col("line") + 1, F.concat(F.lit("# "), "alias"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    path = f"{ws.root}/alias-csv"
+    rows.unionAll(comments).orderBy("line").drop("line").write.option("comment", "~").csv(path, header=True)
+    return read_alias_file(spark, path, ws).select("alias", "real_client", "alias_ord")
+
+
+@query
+def decision_file(spark, sf):
+    """The decisions as a CSV file from before there were states: all of them count as active."""
+    from paidup.schemas import DECISION_FILE_COLUMNS
+    from paidup.sources.ledgers import read_decision_file
+
+    ws = Workspace(spark)
+    path = f"{ws.root}/decisions-csv"
+    names = {own: old for old, own in DECISION_FILE_COLUMNS.items() if own != "decision_state"}
+    w.decisions(spark, sf).orderBy("decision_ord").select(*[F.col(own).alias(old) for own, old in names.items()]).write.csv(
+        path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss"
+    )
+    rows = dec.last_decisions(read_decision_file(spark, path, ws))
+    return plain(rows.select("decided_at", "fingerprint", "origin_payment_id", "amount", "action", "assigned_document", "decision_state"))
+
+
+@query
+def last_decision(spark, sf):
+    """The last decision of one payment: the one whose fingerprint is the smallest of all decided."""
+    rows = w.decisions(spark, sf)
+    asked = rows.agg(F.min("fingerprint")).first()[0] or ""
+    return dec.last_decision_of(rows, asked).select("fingerprint", "action", "assigned_client", "decision_state", "decision_ord")
+
+
+@query
+def run_time_scan(spark, sf):
+    """The run timestamps of a stored history: a scan of that column only."""
+    from paidup.sources.ledgers import append_history, read_run_times
+
+    path = f"{Workspace(spark).root}/history"
+    append_history(w.history(spark, sf), path)
+    return value_counts(read_run_times(spark, path).select(F.date_format("run_at", "yyyy-MM-dd").alias("run_day")), "run_day")
+
+
+@query
+def consolidated_reload(spark, sf):
+    """The consolidated table written as a run's output and read back; before that it is empty."""
+    from paidup.sources.outputs import CONSOLIDATED, read_table, write_table
+
+    path = f"{Workspace(spark).root}/consolidated"
+    before = read_table(spark, path, CONSOLIDATED)
+    write_table(_base(spark, sf), path)
+    return plain(read_table(spark, path, CONSOLIDATED).unionByName(before))
+
+
+@query
+def learning_loop(spark, sf):
+    """Two runs with the analyst between them, on ledgers of their own: payments by their outcome in either run.
+
+    The first run knows no decisions and no history. What it associates goes to the history. Then the
+    analyst decides deposits, teaches the alias of every unknown ALFA transfer that the run left, and takes
+    some decisions back; the second run reads all that from the ledgers.
+    """
+    from paidup.plans.reconcile import record_decisions, revert_decisions
+    from paidup.sources import ledgers
+
+    ws = Workspace(spark)
+    alias_path, decision_path, history_path = (f"{ws.root}/{name}" for name in ("aliases", "decisions", "history"))
+    ledgers.add_aliases(w.aliases(spark, sf), alias_path)
+
+    def run(day: str) -> DataFrame:
+        history = ledgers.read_history(spark, history_path)
+        matches = match_payments(
+            _statement(spark, sf),
+            w.open_items(spark, sf),
+            ledgers.read_aliases(spark, alias_path),
+            ledgers.read_decisions(spark, decision_path),
+            history,
+            SETTINGS,
+        )
+        matches = ws.stage(matches, "matches")
+        fresh = ws.stage(ledger.new_history(matches, history, F.lit(day).cast("timestamp")), "fresh")
+        ledgers.append_history(fresh, history_path)
+        return matches
+
+    first = run("2001-08-01")
+    taught = exceptions_of(first).filter("match_state = 'CLIENTE_DESCONOCIDO' and description like 'TRANSFER ALFA %'").select(
+        "fingerprint",
+        F.col("payment_id").alias("origin_payment_id"),
+        "amount",
+        "description",
+        F.lit("AGREGAR_ALIAS").alias("action"),
+        F.concat(F.lit("Customer#"), F.substring("description", -9, 9)).alias("assigned_client"),
+        F.col("description").alias("alias_source"),
+        (-F.col("payment_id")).alias("request_ord"),
+    )
+    decided = w.decisions(spark, sf).withColumn("request_ord", F.col("decision_ord"))
+    record_decisions(decided.filter("action <> 'REVERTIR'").drop("decision_ord").unionByName(taught, allowMissingColumns=True), decision_path, alias_path)
+    revert_decisions(decided.filter("action = 'REVERTIR'").select("fingerprint", "request_ord"), decision_path, history_path)
+    second = run("2001-08-02").select("payment_id", F.col("match_state").alias("second_state"), "match_method", "client_method")
+    both = first.select("payment_id", F.col("match_state").alias("first_state")).join(second, "payment_id")
+    return both.groupBy("first_state", "second_state", "match_method", "client_method").agg(F.count("*").alias("payments"))

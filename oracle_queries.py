@@ -417,6 +417,26 @@ _SQL = {
         SELECT '2001-08-02' FROM m WHERE match_state = 'ASOCIADO' AND fingerprint NOT IN (SELECT fingerprint FROM hist)) GROUP BY 1""",
     "exceptions_exchange": """SELECT payment_id, value_date, CAST(amount AS DOUBLE) AS amount, match_method, documents, n_documents, origin FROM exc""",
     "detail_export": f"SELECT {_DETAIL} FROM base WHERE priority = 'CRITICO' AND invoice_state = 'VENCIDA'",
+    "alias_file": "SELECT alias, real_client, row_number() OVER (ORDER BY alias_ord) - 1 AS alias_ord FROM al",
+    "decision_file": """SELECT decided_at, fingerprint, CAST(decision_ord // 2 AS BIGINT) AS origin_payment_id, CAST(amount AS DOUBLE) AS amount,
+        action, assigned_document, 'ACTIVA' AS decision_state FROM lastd""",
+    "last_decision": """SELECT fingerprint, action, assigned_client, decision_state, decision_ord FROM lastd
+        WHERE fingerprint = (SELECT min(fingerprint) FROM decs)""",
+    "run_time_scan": "SELECT strftime(run_day, '%Y-%m-%d') AS run_day, count(*) AS rows FROM hist GROUP BY 1",
+    "consolidated_reload": f"SELECT {_BASE} FROM base",
+    "learning_loop": """SELECT first_state, second_state, match_method, client_method, count(*) AS payments FROM (SELECT first_state,
+        CASE WHEN first_state = 'ASOCIADO' THEN 'YA_PROCESADO' WHEN r.fingerprint IS NOT NULL THEN r.match_state WHEN n_equal = 1 THEN 'ASOCIADO'
+        WHEN n_equal > 1 THEN 'AMBIGUO' ELSE first_state END AS second_state,
+        CASE WHEN first_state = 'ASOCIADO' THEN 'historial' WHEN r.fingerprint IS NOT NULL THEN r.match_method WHEN n_equal = 1 THEN 'exacto'
+        WHEN n_equal > 1 THEN 'exacto_multiple' WHEN deposit THEN 'ninguno' ELSE f.match_method END AS match_method,
+        CASE WHEN first_state = 'ASOCIADO' THEN 'historial' WHEN r.fingerprint IS NOT NULL THEN 'manual' WHEN n_equal > 0 THEN 'alias'
+        WHEN deposit THEN 'ninguno' ELSE client_method END AS client_method
+        FROM (SELECT *, description LIKE 'CONSIGNACION %' AS deposit, CASE WHEN description LIKE 'CONSIGNACION %' THEN 'CLIENTE_DESCONOCIDO'
+        ELSE match_state END AS first_state, CASE WHEN match_state = 'CLIENTE_DESCONOCIDO' AND description LIKE 'TRANSFER ALFA %'
+        THEN 'CUSTOMER#' || right(description, 9) END AS taught FROM m) f
+        LEFT JOIN ruling r ON r.fingerprint = f.fingerprint
+        LEFT JOIN (SELECT client_norm, open_amount, count(*) AS n_equal FROM items GROUP BY 1, 2) i
+        ON i.client_norm = taught AND i.open_amount = f.amount) GROUP BY 1, 2, 3, 4""",
 }
 
 
