@@ -787,6 +787,46 @@ def consolidated_reload(spark, sf):
     return plain(read_table(spark, path, CONSOLIDATED).unionByName(before))
 
 
+@query
+def run_from_files(spark, sf):
+    """Two whole runs on the same files and stored ledgers: payments by what their outputs, read back, say of them.
+
+    Statement and receivables are CSV files, the ledgers start as the given ones. What the first run associates
+    is in the history that the second one reads.
+    """
+    from paidup.plans.reconcile import RunPaths, run_reconciliation
+    from paidup.sources import ledgers
+    from paidup.sources.outputs import read_table
+
+    ws = Workspace(spark)
+    names = ("statement", "receivables", "aliases", "decisions", "history")
+    at = {name: f"{ws.root}/{name}" for name in names}
+    blank, day = F.lit(" "), F.date_format("value_date", "yyyyMMdd")
+    w.movements(spark, sf).orderBy("movement_ord").select(
+        F.lit("001"), blank, blank, day, blank, F.col("amount").cast("string"), F.lit("1"), "description", F.lit("0"), blank
+    ).write.csv(at["statement"])
+    w.open_items(spark, sf).orderBy("item_ord").select(
+        F.lit("RF").alias("Tipo"),
+        F.col("client").alias("Nombre SN"),
+        F.col("document").alias("Nº documento"),
+        F.date_format("posting_date", "dd/MM/yyyy").alias("Fecha de contabilización"),
+        F.date_format("due_date", "dd/MM/yyyy").alias("Fecha de vencimiento"),
+        F.col("open_amount").cast("string").alias("Saldo vencido"),
+    ).write.csv(at["receivables"], header=True)
+    ledgers.add_aliases(w.aliases(spark, sf), at["aliases"])
+    ledgers.append_decisions(w.decisions(spark, sf).withColumn("request_ord", F.col("decision_ord")), at["decisions"])
+    ledgers.append_history(w.history(spark, sf), at["history"])
+
+    def outcome(run: str) -> DataFrame:
+        paths = RunPaths(**at, output=f"{ws.root}/{run}")
+        run_reconciliation(spark, paths, RunSettings(cutoff=w.CUTOFF))
+        rows = read_table(spark, f"{paths.output}/matches", MATCH_RESULT)
+        return rows.select("payment_id", F.col("match_state").alias(f"{run}_state"), F.col("match_method").alias(f"{run}_method"))
+
+    both = outcome("first").join(outcome("second"), "payment_id")
+    return both.groupBy("first_state", "first_method", "second_state", "second_method").agg(F.count("*").alias("payments"))
+
+
 @query
 def learning_loop(spark, sf):
     """Two runs with the analyst between them, on ledgers of their own: payments by their outcome in either run.

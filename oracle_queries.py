@@ -424,6 +424,10 @@ _SQL = {
         WHERE fingerprint = (SELECT min(fingerprint) FROM decs)""",
     "run_time_scan": "SELECT strftime(run_day, '%Y-%m-%d') AS run_day, count(*) AS rows FROM hist GROUP BY 1",
     "consolidated_reload": f"SELECT {_BASE} FROM base",
+    "run_from_files": """SELECT match_state AS first_state, match_method AS first_method,
+        CASE WHEN match_state = 'ASOCIADO' THEN 'YA_PROCESADO' ELSE match_state END AS second_state,
+        CASE WHEN match_state = 'ASOCIADO' THEN 'historial' ELSE match_method END AS second_method, count(*) AS payments
+        FROM m GROUP BY 1, 2, 3, 4""",
     "learning_loop": """SELECT first_state, second_state, match_method, client_method, count(*) AS payments FROM (SELECT first_state,
         CASE WHEN first_state = 'ASOCIADO' THEN 'YA_PROCESADO' WHEN r.fingerprint IS NOT NULL THEN r.match_state WHEN n_equal = 1 THEN 'ASOCIADO'
         WHEN n_equal > 1 THEN 'AMBIGUO' ELSE first_state END AS second_state,

@@ -67,7 +67,6 @@ def _settle_from_ledgers(
     ruled = decision_outcomes(decisions, items, hot_numbers).select(
         "fingerprint", F.struct("match_state", "match_method", "client", "documents", "note").alias("ruling")
     )
-    ledgers = seen.join(ruled, "fingerprint", "full")
     old = F.struct(
         F.lit("YA_PROCESADO").alias("match_state"),
         F.lit("historial").alias("match_method"),
@@ -77,7 +76,8 @@ def _settle_from_ledgers(
         F.lit("historial").alias("client_method"),
     )
     ruling = F.struct("ruling.*", F.lit("manual").alias("client_method"))
-    return lookup(payments, ledgers, ["fingerprint"], "left", hot, ["payment_id"]).select(
+    met = lookup(payments, seen, ["fingerprint"], "left", hot, ["payment_id"])
+    return lookup(met, ruled, ["fingerprint"], "left", hot, ["payment_id"]).select(
         *payments.columns, F.when(F.col("seen"), old).when(F.col("ruling").isNotNull(), ruling).alias("verdict")
     )
 

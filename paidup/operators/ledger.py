@@ -128,11 +128,24 @@ def new_history(matches: DataFrame, history: DataFrame, run_at: Column, hot=())
     fresh = lookup(
         associated(matches), processed_fingerprints(history), ["fingerprint"], "left_anti", hot, ["payment_id"]
     )
+    return history_rows(fresh, run_at)
+
+
+def history_rows(matches: DataFrame, run_at: Column, order: str | None = None) -> DataFrame:
+    """Associated payments as rows of the history; ``order`` is a column that becomes their ``request_ord``.
+
+    The associations of a run are new to the history that the run was matched against: what it holds is
+    ``YA_PROCESADO`` there, so the run needs no second look at it.
+    """
+    schema = HISTORY if order is None else T.StructType([*HISTORY.fields, T.StructField("request_ord", T.LongType())])
+    rows = associated(matches)
+    if order is not None:
+        rows = rows.withColumn("request_ord", F.col(order))
     return shaped(
-        fresh.withColumn("run_at", run_at)
+        rows.withColumn("run_at", run_at)
         .withColumn("payment_date", F.col("value_date"))
         .withColumn("initial_state", F.col("match_state")),
-        HISTORY,
+        schema,
     )
 
 

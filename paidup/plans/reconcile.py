@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,9 @@ from paidup.operators.candidates import candidate_sets
 from paidup.operators.cascade import match_payments
 from paidup.operators.classify import classify
 from paidup.operators.consolidate import consolidate
-from paidup.operators.ledger import accepted_decisions, aliases_from_decisions, new_history, reversals, accepted_reversals
+from paidup.operators.ledger import accepted_decisions, aliases_from_decisions, history_rows, reversals, accepted_reversals
 from paidup.skew import hot_keys
-from paidup.sources import ledgers
+from paidup.sources import ledgers, runs
 from paidup.sources.ordinals import dense_positions
 from paidup.sources.outputs import write_table
 from paidup.sources.receivables import read_receivables
@@ -71,9 +72,8 @@ def reconcile(
     (hot_documents,) = hot_keys(open_items, ["client_norm", "document"] if settings.join_on_client else ["document"])
     base, exceptions = consolidate(open_items, matches, settings.join_on_client, hot_documents)
     sets = candidate_sets(matches, open_items, settings.match)
-    (hot_fingerprints,) = hot_keys(matches, ["fingerprint"])
     stamp = F.lit(run_at or dt.datetime.now().replace(microsecond=0)).cast("timestamp")
-    fresh = new_history(matches, history, stamp, hot_fingerprints)
+    fresh = history_rows(matches, stamp)
     return RunResult(classified, open_items, matches, base, exceptions, sets, fresh)
 
 
@@ -86,50 +86,80 @@ def run_reconciliation(
 ) -> RunResult | None:
     """Read the files, match, write the result tables, then append the history.
 
-    Returns None when no movement is left after the date filter. Matches are staged before the
-    history that they were computed from is appended to.
+    Returns None when no movement is left after the date filter. After a failure the call is repeated: a run that
+    had promised rows to the history is finished first, and if it is this one (same movements, receivables
+    and settings) its tables are returned. So no payment is appended twice and none is lost.
     """
     ws = Workspace(spark)
     movements = ws.stage(
         read_statement(spark, paths.statement, settings.date_from, settings.date_to, ws), "movements"
     )
     if movements.isEmpty():
+        finish_runs(spark, paths)
         return None
     items = ws.stage(
         read_receivables(spark, paths.receivables, settings.cutoff, settings.skip_rows, receivables_format, ws),
         "open-items",
     )
+    inputs = f"{runs.content_of(movements)}|{runs.content_of(items)}|{settings!r}"
+    finished = finish_runs(spark, paths)
+    if finished and finished[-1].inputs == inputs:
+        tables = {name: spark.read.parquet(f"{paths.output}/{name}") for name in _OUTPUTS}
+        fresh = spark.read.parquet(runs.pending_path(paths.output, finished[-1].run_id)).drop("request_ord")
+        return RunResult(classify(movements, settings.rules), items, *tables.values(), fresh)
+    days = movements.agg(F.min("value_date").alias("first"), F.max("value_date").alias("last")).first()
     result = reconcile(
         movements,
         items,
         ledgers.read_aliases(spark, paths.aliases),
         ledgers.read_decisions(spark, paths.decisions),
-        ledgers.read_history(spark, paths.history),
+        ledgers.read_history(spark, paths.history, days["first"], days["last"]),
         settings,
         ws,
         run_at,
     )
-    fresh = ws.stage(result.new_history, "new-history")
-    write_table(result.matches, f"{paths.output}/matches")
-    write_table(result.base, f"{paths.output}/consolidated")
-    write_table(result.exceptions, f"{paths.output}/exceptions")
-    write_table(result.candidate_sets, f"{paths.output}/candidate_sets")
-    ledgers.append_history(fresh, paths.history)
+    run = runs.PreparedRun(uuid.uuid4().hex, inputs)
+    for name in _OUTPUTS:
+        write_table(getattr(result, "base" if name == "consolidated" else name), f"{paths.output}/{name}")
+    stamp = F.lit(run_at or dt.datetime.now().replace(microsecond=0)).cast("timestamp")
+    write_table(history_rows(result.matches, stamp, "payment_id"), runs.pending_path(paths.output, run.run_id))
+    runs.log_step(spark, paths.output, run, runs.PREPARED)
+    finish_runs(spark, paths)
+    fresh = spark.read.parquet(runs.pending_path(paths.output, run.run_id)).drop("request_ord")
     return RunResult(result.movements, items, result.matches, result.base, result.exceptions, result.candidate_sets, fresh)
 
 
-def record_decisions(requests: DataFrame, decisions_path: str, aliases_path: str) -> None:
+# In the order of RunResult.
+_OUTPUTS = ("matches", "consolidated", "exceptions", "candidate_sets")
+
+
+def finish_runs(spark: SparkSession, paths: RunPaths) -> list[runs.PreparedRun]:
+    """Append what runs have promised to the history and not yet wholly written; returns these runs."""
+    unfinished = runs.prepared_runs(spark, paths.output)
+    for run in unfinished:
+        pending = spark.read.parquet(runs.pending_path(paths.output, run.run_id))
+        ledgers.append_history(pending, paths.history, run.run_id)
+        runs.log_step(spark, paths.output, run, runs.DONE)
+    return unfinished
+
+
+def record_decisions(
+    requests: DataFrame, decisions_path: str, aliases_path: str, request_id: str | None = None
+) -> None:
     """Append the acceptable decisions, and the aliases they teach, in the order of the requests.
 
     The order is ``request_ord``; without that column it is the order in which the requests stand,
-    taken before anything is written.
+    taken before anything is written. With a ``request_id`` (and ``request_ord``, different in all rows) the call can
+    be repeated after a failure: neither a decision nor an alias is written twice, and none is left out.
     """
     ws = Workspace(requests.sparkSession)
     if "request_ord" not in requests.columns:
+        if request_id is not None:
+            raise ValueError("a repeatable request needs request_ord")
         requests = requests.withColumn("request_ord", F.monotonically_increasing_id())
     rows = ws.stage(accepted_decisions(requests, F.current_timestamp()), "decisions")
-    ledgers.append_decisions(rows, decisions_path)
-    ledgers.add_aliases(aliases_from_decisions(rows), aliases_path)
+    ledgers.append_decisions(rows, decisions_path, request_id)
+    ledgers.add_aliases(aliases_from_decisions(rows), aliases_path, request_id)
 
 
 def revert_decisions(requests: DataFrame, decisions_path: str, history_path: str | None = None) -> DataFrame:
