@@ -31,6 +31,8 @@ from paidup.llm.text import LOWER, blocks, utf8
 
 #: Most labelled texts of a language that the model is fitted on.
 PER_LANGUAGE = 400
+#: Parts that a language is ranked in first.
+SHARES = 64
 #: Buckets of the hash, width of an embedding.
 BUCKETS, WIDTH = 1 << 16, 16
 EPOCHS, BATCH, RATE = 6, 16, 2.0
@@ -169,14 +171,24 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def _first(rows: DataFrame, keys: list[str], order, most: int) -> DataFrame:
+    """The first ``most`` rows of every key; with ``share`` among the keys, of every share of a language.
+
+    The first texts of a language are among those of its shares, so the one task of a language reads at most
+    ``SHARES * most`` texts, whatever the number of documents.
+    """
+    rows = rows.withColumn("share", F.pmod(order[0], F.lit(SHARES)))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("__rank", rank).filter(F.col("__rank") <= most).select("doc_id", "text", "lang")
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learns from labelled documents that are not held out, at most ``per_language`` of each language."""
     prepared(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     order = F.xxhash64(F.col("doc_id"), F.lit(5)), F.col("doc_id"), F.xxhash64("text")
     chosen = own.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ranked = chosen.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("__rank"))
-    counted = ranked.filter(F.col("__rank") <= per_language).select("lang", "text")
+    counted = _first(_first(chosen, ["lang", "share"], order, per_language), ["lang"], order, per_language)
     rows = counted.mapInArrow(_counts, "lang string, buckets binary, weights binary").collect()
     model = trained(sorted(rows, key=lambda r: (r.lang, bytes(r.buckets), bytes(r.weights))))
     if model:

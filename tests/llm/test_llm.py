@@ -482,3 +482,14 @@ def test_pipeline_stages_keep_the_columns(spark):
         kept = now.count()
     assert kept > 0.8 * docs.count()
     assert corpus_pipeline.run(spark, path).select("doc_id").distinct().count() == kept
+
+
+def test_the_sample_of_a_language_is_the_same_in_shares(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"))
+    order = F.xxhash64(F.col("doc_id"), F.lit(5)), F.col("doc_id")
+    two = language._first(language._first(docs, ["lang", "share"], order, 7), ["lang"], order, 7)
+    want = {
+        name: [r.doc_id for r in docs.filter(F.col("lang") == name).orderBy(*order).limit(7).collect()] for name in ("a", "b")
+    }
+    got = [(r.lang, r.doc_id) for r in two.collect()]
+    assert sorted(got) == sorted((name, i) for name, ids in want.items() for i in ids)
