@@ -174,10 +174,11 @@ def held_out():
 def _first(rows: DataFrame, keys: list[str], order, most: int) -> DataFrame:
     """The first ``most`` rows of every key; with ``share`` among the keys, of every share of a language.
 
-    The first texts of a language are among those of its shares, so the one task of a language reads at most
-    ``SHARES * most`` texts, whatever the number of documents.
+    A share is the rows of some tasks. The first texts of a language are among those of its shares, however these
+    fall, so the one task of a language reads at most ``SHARES * most`` texts, whatever the number of documents.
+    Every task sends at most ``most`` texts of a language.
     """
-    rows = rows.withColumn("share", F.pmod(order[0], F.lit(SHARES)))
+    rows = rows.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(SHARES)))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("__rank", rank).filter(F.col("__rank") <= most).select("doc_id", "text", "lang")
 
