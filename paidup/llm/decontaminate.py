@@ -196,7 +196,7 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
-        "hit_spans",
+        F.array_join(F.transform("hit_spans", lambda s: F.concat_ws(":", s.start, s.end)), ",").alias("hit_spans"),
     )
 
 

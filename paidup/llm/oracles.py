@@ -3,10 +3,32 @@
 from __future__ import annotations
 
 from paidup.llm.codebooks import ENTRIES, PARTS, ROUNDS, SCALE
+from paidup.llm.decontaminate import WINDOW
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def decontaminate_sql() -> str:
+    words = "regexp_extract_all({text}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(text=_LOWER)
+    return f"""WITH words AS MATERIALIZED (SELECT doc_id, {words} AS w FROM documents),
+    items AS (SELECT item_id, {words} AS w, least({WINDOW}, len(w)) AS k FROM benchmark),
+    windows AS MATERIALIZED (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+        FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM items WHERE k > 0)),
+    places AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g
+        FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT DISTINCT k FROM windows))),
+    found AS MATERIALIZED (SELECT DISTINCT doc_id, i, k, item_id FROM places JOIN windows USING (k, g)),
+    hit AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i - 1, i - 1 + k)) AS p FROM found),
+    runs AS (SELECT doc_id, min(p) AS a, max(p) + 1 AS b FROM
+        (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit) GROUP BY doc_id, run),
+    spans AS (SELECT doc_id, sum(b - a) AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS t FROM runs GROUP BY doc_id),
+    ids AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS t
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(s.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(d.n, 0) AS BIGINT) AS n_items,
+        sha256(coalesce(d.t, '')) AS items_sha256, coalesce(s.n > 0 AND 20 * s.n >= len(w), false) AS contaminated,
+        coalesce(s.t, '') AS hit_spans
+    FROM words LEFT JOIN spans s USING (doc_id) LEFT JOIN ids d USING (doc_id)"""
+
+
 def near_copies_sql() -> str:
     return f"""WITH RECURSIVE words AS MATERIALIZED (
         SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

@@ -12,7 +12,7 @@ from paidup.llm.language import op7_language
 from paidup.llm.licenses import op6_licenses
 from paidup.llm.near_copies import op8_near_copies
 from paidup.llm.neighbours import op5_neighbours
-from paidup.llm.oracles import near_copies_sql, vector_codes_sql, warc_sql
+from paidup.llm.oracles import decontaminate_sql, near_copies_sql, vector_codes_sql, warc_sql
 from paidup.llm.packing import op10_packing
 from paidup.llm.private_data import op11_private_data
 from paidup.llm.repeats import op3_repeats
@@ -41,4 +41,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_near_copies": near_copies_sql(), "op9_warc": warc_sql(), "op13_vector_codes": vector_codes_sql()}
+    return {
+        "op1_decontaminate": decontaminate_sql(),
+        "op8_near_copies": near_copies_sql(),
+        "op9_warc": warc_sql(),
+        "op13_vector_codes": vector_codes_sql(),
+    }
