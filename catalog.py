@@ -638,6 +638,23 @@ def statement_scan(spark, sf):
     return plain(read_statement(spark, path, "2001-07-10", "2001-07-25", ws))
 
 
+@query
+def rejected_statement_lines(spark, sf):
+    """The contract check on a statement in which some later lines have not ten fields: these lines, by position."""
+    from paidup.sources.statement import rejected_lines
+
+    ws = Workspace(spark)
+    path = f"{ws.root}/statement-text"
+    k = F.col("movement_ord").cast("string")
+    whole = F.concat_ws(",", F.lit("001"), F.lit(""), F.lit(""), F.date_format("value_date", "yyyyMMdd"), F.lit(""),
+                        F.col("amount").cast("string"), F.lit("1"), k, F.lit("0"), F.lit(""))
+    short = F.concat_ws(",", F.lit("001"), F.lit("short"), k)
+    line = F.when(F.col("movement_ord") % 40 == 39, short).when(F.col("movement_ord") % 60 == 58, F.concat(whole, F.lit(",more")))
+    rows = w.movements(spark, sf).orderBy("movement_ord")
+    rows.select(F.coalesce(line, whole).alias("value")).write.text(path)
+    return rejected_lines(spark, path, ws)
+
+
 @query
 def erp_scan(spark, sf):
     """The ERP export as a CSV with header: recognised by its columns, typed, filtered, aged."""

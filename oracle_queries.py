@@ -409,6 +409,10 @@ _SQL = {
         CASE WHEN movement_ord % 30 <> 29 THEN CAST(movement_ord % 1000 AS INTEGER) END AS bank_code, description
         FROM (SELECT *, CASE WHEN movement_ord % 70 <> 69 THEN amount END AS a, row_number() OVER (ORDER BY movement_ord) - 1 AS pos FROM mov)
         WHERE movement_ord % 50 <> 49 AND value_date BETWEEN DATE '2001-07-10' AND DATE '2001-07-25'""",
+    "rejected_statement_lines": """SELECT pos AS movement_ord, CASE WHEN movement_ord % 40 = 39 THEN '001,short,' || movement_ord ELSE
+        '001,,,' || strftime(value_date, '%Y%m%d') || ',,' || amount || ',1,' || movement_ord || ',0,,more' END AS line
+        FROM (SELECT *, row_number() OVER (ORDER BY movement_ord) - 1 AS pos FROM mov)
+        WHERE movement_ord % 40 = 39 OR movement_ord % 60 = 58""",
     "erp_scan": _SHEET.format(document="raw_document", band=_band("days_overdue"), more="k % 9 <> 8").replace("FROM sheet", _POS),
     "weekly_scan": _SHEET.format(document="document", band=_band("days_overdue"), more="true").replace("FROM sheet", _POS.replace("- 1", "+ 2")),
     "decision_ledger": "SELECT fingerprint, action, assigned_document, assigned_client FROM act",
