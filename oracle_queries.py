@@ -398,7 +398,9 @@ _SQL = {
     "worst_band": "SELECT client, worst_band FROM worst",
     "dunning_stage": "SELECT client, worst_band, stage, stage_label FROM stages",
     "dunning_letters": f"""SELECT client, invoices, CAST(total AS DOUBLE) AS total, worst_band, stage, stage_label,
-        replace({_case("stage", SUBJECTS)}, '{{client}}', client) AS subject, {_text(OPENINGS)} AS opening, {_CLOSING} AS closing FROM stages""",
+        replace({_case("stage", SUBJECTS)}, '{{client}}', client) AS subject, {_text(OPENINGS)} || chr(10) || lines || chr(10) || {_CLOSING} AS body
+        FROM stages JOIN (SELECT client, string_agg({_LINE}, chr(10) ORDER BY days_overdue DESC, document, item_ord) AS lines FROM base
+        WHERE NOT is_paid GROUP BY 1) USING (client)""",
     "dunning_lines": f"SELECT client, {_POS_OF_LINE} AS pos, {_LINE} AS line FROM base WHERE NOT is_paid",
     "letters_large_clients": f"""SELECT client, CAST(0 AS BIGINT) AS pos, {_text(OPENINGS)} AS text FROM sstages
         UNION ALL SELECT client, {_POS_OF_LINE}, {_LINE} FROM sitems UNION ALL SELECT client, invoices + 1, {_CLOSING} FROM sstages""",

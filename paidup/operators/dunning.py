@@ -94,16 +94,34 @@ def dunning_letters(base: DataFrame, today: dt.date | str | None = None) -> Data
     )
 
 
+def _unpaid_lines(base: DataFrame) -> DataFrame:
+    return base.filter(~F.col("is_paid")).select(
+        "client", F.coalesce(-F.col("days_overdue"), F.lit(_LAST)).alias("day_key"), "document", "item_ord", invoice_line().alias("line")
+    )
+
+
+def letter_bodies(base: DataFrame, today: dt.date | str | None = None) -> DataFrame:
+    """One row per client: its whole letter as one text, ``body``, and what it is about.
+
+    The lines of a client meet in its row, as the text is one value; ``letter_rows`` has the same letter as rows, at any length.
+    """
+    entry = F.struct("day_key", "document", "item_ord", "line")
+    lines = _unpaid_lines(base).groupBy(F.col("client").alias("__client")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    table = F.array_join(F.transform("entries", lambda e: e["line"]), "\n")
+    letters = dunning_letters(base, today)
+    body = F.concat_ws("\n", "opening", table, "closing").alias("body")
+    return letters.join(lines, F.col("client").eqNullSafe(F.col("__client"))).select(
+        *[c for c in letters.columns if c not in ("opening", "closing")], body
+    )
+
+
 def dunning_lines(base: DataFrame, ws: Workspace) -> DataFrame:
     """(client, pos, line): the lines of all letters, from the most overdue invoice down, then by document.
 
     One sort of all unpaid invoices, cut into ranges: a client with many invoices is spread over as many tasks
     as it fills. ``pos`` counts from 1 within the client.
     """
-    items = base.filter(~F.col("is_paid")).select(
-        "client", F.coalesce(-F.col("days_overdue"), F.lit(_LAST)).alias("day_key"), "document", "item_ord", invoice_line().alias("line")
-    )
-    placed = ws.stage(dense_positions(items, ["client", "day_key", "document", "item_ord"], "place", ws), "lines")
+    placed = ws.stage(dense_positions(_unpaid_lines(base), ["client", "day_key", "document", "item_ord"], "place", ws), "lines")
     firsts = placed.groupBy("client").agg(F.min("place").alias("first"))
     (hot,) = hot_keys(placed, ["client"])
     return lookup(placed, firsts, ["client"], "inner", hot, ["place"]).select(
