@@ -288,7 +288,7 @@ class NearCopies:
         involved = self.lists.select(F.col("rep").alias("doc_id")).distinct()
         sets = self.docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets(self.width), "doc_id long, set binary")
         self.sets = workspace.stage(sets, "sets")
-        self.found = self.labels = self.tested = None
+        self.labels = self.tested = None
         for round_ in range(ROUNDS):
             now = self._open(f"open{round_}")
             order = F.col("rep") if not round_ else F.xxhash64("rep", F.lit(round_))
@@ -337,8 +337,10 @@ class NearCopies:
             self._learn(self.verified(fresh))
 
     def _learn(self, links: DataFrame) -> None:
-        self.found = self.workspace.stage(links if self.found is None else self.found.unionAll(links), "found")
-        self.labels = components(self.workspace, self.found)
+        """Joins the components that the links connect: a known component is as good as the links that made it."""
+        if self.labels is not None:
+            links = links.select("a", "b").unionAll(self.labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.labels = components(self.workspace, links)
 
     def _homes(self, now: DataFrame) -> DataFrame:
         """(rep, home, asked, lists): the longest open list of each document, whether the document is outside
