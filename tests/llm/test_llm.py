@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -439,6 +440,23 @@ def test_tree_matching_equals_brute_force():
             assert [slot for _, slot in pairs] == sorted((slot for _, slot in pairs), reverse=True)
 
 
+def test_words_are_encoded_once_and_joined():
+    """A word costs one encoding whatever stands around it, and new words go to the tokenizer many at a time."""
+    import pyarrow as pa
+
+    encoder = pieces.PieceEncoder(pieces.tokenizer_path("word_bpe_49k.json"), True)
+    given, encode = [], encoder._encode
+    encoder._encode = lambda texts: given.extend(texts) or encode(texts)
+    names = ["".join(c) for c in itertools.product("abcde", repeat=5)][:2000]
+    texts = [" ".join(names), " ".join(x.upper() + "." for x in names), " ".join(f"({x.title()})," for x in names)]
+    texts += ["T\u0308 t\u0308. \u00d7a\u00f7 It's=\u0338 'tis don'T.x <|endoftext|>a b<|endoftext|> I\u0307. 12a3 \u4e2d x."]
+    ids, counts = encoder.encode(pa.array([*texts, None, ""]))
+    want = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [*map(len, want), 0, 0]
+    assert ids.tolist() == [i for own in want for i in own]
+    assert len(given) < 40
+
+
 def test_packing(docs, rows):
     got = packing.pack(packing.pieces_of(docs, pieces.tokenizer_path("word_bpe_49k.json"), 0, True), group=20).toPandas()
     total = 0
