@@ -1,5 +1,7 @@
 """Queries whose rows hold everything they name: all equal invoices, all candidates of a payment, whole letters."""
 
+from pyspark.sql import functions as F
+
 from paidup.config import MatchSettings
 from paidup.operators.amounts import exact_hits, price_levels, priced_items
 from paidup.operators.candidates import candidate_sets, candidates, of_payments, with_exact_lists
@@ -43,3 +45,31 @@ def test_a_letter_body_has_every_line(spark):
     table += "| F-1 | 2026-02-05 | 70 | $100 |\n| F-2 | 2026-04-11 | 5 | $250 |\n| F-3 | 2026-04-13 | 3 | $100 |\n| **TOTAL** |  |  | **$450** |"
     assert bodies["Acero"] == TEMPLATES["SEMANA_4"].format(client="Acero", deadline="09 de mayo de 2026", table=table)
     assert "| G-1 | 2026-04-15 | 1 | $100 |" in bodies["Cobre"]
+
+
+def test_payments_hold_a_derived_text_once(spark):
+    """The filter on the category stays above it, so no filter holds the expression of the text for every keyword."""
+    from paidup.operators.classify import classify, customer_payments
+
+    rows = spark.range(12).select(
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("PAGO DE PROV "), F.col("id").cast("string"))).otherwise(F.lit("ABONO INTERESES")).alias("description"),
+        F.lit("ABONO").alias("flow"),
+    )
+    payments = customer_payments(classify(rows))
+    assert sorted(r.description for r in payments.collect()) == sorted(f"PAGO DE PROV {i}" for i in range(0, 12, 2))
+    plan = payments._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "PAGO DE PROV " in line]
+
+
+def test_substrings_of_shapes_against_all_substrings(spark):
+    from paidup.operators.docref import number_shapes, substrings_of_shapes
+
+    numbers = ["FV-1", "FV-22", "A", "É2", "FV-1"]
+    items = spark.createDataFrame([("C", n) for n in numbers] + [("C", ""), ("C", None)], "client_norm string, document string")
+    texts = ["", "A", "FV", "PAGO FV-1 FV-22", "FAFV-É2A", "no number"]
+    known = spark.createDataFrame([(t,) for t in texts], "description string").join(number_shapes(items))
+    got = {r[0]: r[1] for r in known.select("description", substrings_of_shapes("description", "shapes", "firsts")).collect()}
+    shapes = {(len(n), n[0]) for n in numbers}
+    for t in texts:
+        want = {t[p : p + n] for n, c in shapes for p in range(len(t) - n + 1) if t[p] == c}
+        assert set(got[t]) == want and len(got[t]) == len(want)
